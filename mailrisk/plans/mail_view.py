@@ -1,0 +1,109 @@
+"""Messages derived from the ``documents`` table: one mail per document, over its whole text.
+
+Sender, subject and an appended passage are drawn per row by hash, so the view grows with the
+table and reads the same in Spark and in SQL (see ``oracle_base``).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mailrisk.functions.text import draw, pick
+
+SENDERS = [
+    "newsletter@company.com", "info@netflix.com", "noreply@cal-online.co.il", "transaction@temu.com",
+    "noreply@malwarebytes.com", "no-reply@accounts.google.com", "security-rn@paypal-verify.xyz",
+    "service@bank-leumi-secure.com", "cal-service@secure-billing.info", "ms-support@office365-alert.net",
+    "billing@partner-il-secure.net", "noreply@mailer.net", "service@gmail.com", "user@malicious.xyz123",
+    "updates-noreply@linkedin.com", "orders@mail.ksp.co.il", "Ann.Lee+promo@GMail.com", "", "", "office@",
+]
+SUBJECTS = [
+    "Monthly update", "Your invoice", "כאל — חיוב חודשי", "Your order has shipped",
+    "Your subscription renews soon", "Password reset requested", "URGENT: verify your account",
+    "חשבונך ייחסם", "כאל: חיוב חריג בכרטיס", "Action required: your mailbox is full",
+    "partner - חשבונית לתשלום", "בנק לאומי - אימות חשבון", "Your network: a partner update",
+    "Yes, your order shipped - next steps", "Google account notice", "Meeting notes",
+]
+PASSAGES = [
+    "",
+    "Hello, your monthly Netflix invoice is attached. You can view it in your account settings.",
+    "Your order has been shipped and is on its way. Track it at https://www.temu.com/track?id=5",
+    "We received a request to reset the password. https://accounts.google.com/reset Ignore it if unasked.",
+    "Your account has been suspended. Click here: http://paypal-verify.xyz/login",
+    "זוהתה פעילות חריגה בחשבונך. יש לאמת תוך 24 שעות: http://bank-leumi-secure.com/verify",
+    "Confirm your credentials now to restore Microsoft access. http://office365-alert.net/signin",
+    "לתשלום: https://partner-pay.info/x",
+    "Pay here http://192.0.2.5/login or http://bit.ly/xyz",
+    "See http://a.example.org http://b.example.org:8080/x http://user@c.example.org/?q=1 now",
+    "Unsubscribe at any time. 20% off, free shipping, shop now!",
+    "PayPal and Amazon gift: you have won, claim your prize at https://prize.top/now",
+    "Your receipt and tracking: https://e.ksp.co.il/order/7 https://www.dhl.com/track",
+    "read more at https://www.paypal.com/help about PayPal security",
+    "מבצע: משלוח חינם, הנחה לחברים. להסרה מרשימת התפוצה השב",
+]
+HEADERS = [
+    "From: Ann Lee <{a}>\nTo: you@example.org\nSubject: hello there\nDate: Mon, 1 Jan 2024\n\n",
+    "From {a} Mon Jan  1 00:00:00 2024\nReceived: by mx.example.org\nX-Mailer: none\nMessage-ID: 7\n\n",
+    "Return-Path: <{a}>\nReceived: by mx.example.org\nTo: you@example.org\nSubject: hi\n\n",
+    "From: Ann <{a}> To: you@example.org Subject: flat ",
+    "To: {a}\nSubject: hi\nDate: today\n\n",
+    "From: owner-list@lists.example.org\nSender: {a}\nTo: you@example.org\nDate: today\n\n",
+    "",
+    "Please write to {a}, thanks.\n",
+    "Dear reader,\nFrom: late@example.org is quoted\n{a} asked\n",
+]
+MODEL_RANGE = 10001
+
+
+def h(salt: str) -> Column:
+    return draw(salt, F.col("doc_id"))
+
+
+def _labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic", "quality")
+    return documents.select("doc_id", "text", "lang", "source").join(labels, "doc_id", "left")
+
+
+def mail_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """msg_id, user_id, sender, subject, content, scanned_at, label, source, lang, model_score."""
+    label = F.coalesce(F.col("toxic"), F.when(h("y") % 100 < 48, 1).otherwise(0)).cast("int")
+    return _labelled_documents(spark, sf_dir).select(
+        F.col("doc_id").alias("msg_id"),
+        (h("u") % 50).alias("user_id"),
+        pick(SENDERS, h("s")).alias("sender"),
+        pick(SUBJECTS, h("j")).alias("subject"),
+        F.concat_ws(" ", F.coalesce("text", F.lit("")), pick(PASSAGES, h("c"))).alias("content"),
+        F.timestamp_seconds(1704067200 + h("t") % 2592000).alias("scanned_at"),
+        label.alias("label"),
+        "source",
+        "lang",
+        ((h("m") % MODEL_RANGE) / F.lit(100.0)).alias("model_score"),
+    )
+
+
+def raw_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages as raw text with the header shapes found in public corpora, and a sender at times."""
+    address = pick([s for s in SENDERS if "." in s.rpartition("@")[2]], h("s"))
+    body = F.concat(F.replace(pick(HEADERS, h("r")), F.lit("{a}"), address), F.coalesce("text", F.lit("")))
+    label = F.coalesce(F.col("toxic"), F.when(h("y") % 100 < 48, 1).otherwise(0)).cast("int")
+    return _labelled_documents(spark, sf_dir).select(
+        F.col("doc_id").alias("row_id"),
+        F.when(h("o") % 10 == 0, address).otherwise("").alias("sender"),
+        F.lit("").alias("subject"),
+        F.concat_ws(" ", body, pick(PASSAGES, h("c"))).alias("text"),
+        label.alias("label"),
+        "source",
+    )
+
+
+def corpus_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a labelled corpus; a few sources hold one class only, as public ones do."""
+    number = F.substring("source", 4, 10).cast("int")
+    mixed = F.coalesce(F.col("toxic"), F.when(h("y") % 100 < 48, 1).otherwise(0))
+    label = F.when(number % 5 == 0, 0).when(number % 5 == 1, 1).otherwise(mixed).cast("int")
+    return _labelled_documents(spark, sf_dir).select(
+        F.col("doc_id").alias("row_id"), "text", label.alias("label"), "source", "lang",
+        number.alias("source_rank"),
+    )
