@@ -36,10 +36,8 @@ def recover_senders(df: DataFrame) -> DataFrame:
     ).drop("extracted", "extract_method")
 
 
-def clean_and_filter(df: DataFrame, max_chars: int | None = None) -> DataFrame:
-    """Cleaned text, rows longer than ten characters."""
-    cleaned = df.withColumn("text", tx.clean_text(F.col("text"), max_chars))
-    return cleaned.filter(F.length("text") > MIN_TEXT_CHARS)
+def clean_texts(df: DataFrame, max_chars: int | None = None) -> DataFrame:
+    return df.withColumn("text", tx.clean_text(F.col("text"), max_chars))
 
 
 def dedup_first(df: DataFrame, key: Column, order: Sequence[str]) -> DataFrame:
@@ -53,7 +51,12 @@ def dedup_first(df: DataFrame, key: Column, order: Sequence[str]) -> DataFrame:
 
 
 def dedup_text(df: DataFrame, order: Sequence[str] = ("source_rank", "row_id")) -> DataFrame:
-    return dedup_first(df, F.sha2("text", 256), order)
+    """First row per cleaned text, texts of ten characters or fewer dropped.
+
+    The length is tested on the folded row: tested before, the filter would be pushed below the
+    cleaning and every text would be cleaned twice.
+    """
+    return dedup_first(df, F.sha2("text", 256), order).filter(F.length("text") > MIN_TEXT_CHARS)
 
 
 def source_stats(df: DataFrame) -> DataFrame:
@@ -207,7 +210,7 @@ def prepare_corpus(
     once to the shared folder, because balancing, splitting and the leak check all read it.
     """
     joined = recover_senders(union_sources(frames))
-    unique = dedup_text(clean_and_filter(joined, max_chars))
+    unique = dedup_text(clean_texts(joined, max_chars))
     table = materialise(unique, "corpus-unique")
     balanced = materialise(balance_sources(table, max_single_frac), "corpus-balanced")
     split = stratified_split(balanced)

@@ -58,16 +58,17 @@ def risk_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("brand_impersonation", f"""WITH {ob.MAIL}, {ob.scored()}
-SELECT msg_id, dom AS domain, brand, brand_where, p_brand FROM S WHERE brand IS NOT NULL""")
+SELECT msg_id, dom AS domain, coalesce(brand, '') AS brand, coalesce(brand_where, '') AS brand_where, p_brand FROM S""")
 def brand_impersonation(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = mr.with_impersonation(mr.prepare(mail_view(spark, sf_dir)))
-    points = F.when(F.col("brand_where") == "subject", CFG.impersonation_subject_points).otherwise(
-        CFG.impersonation_body_points
+    points = (
+        F.when(F.col("brand_where") == "subject", CFG.impersonation_subject_points)
+        .when(F.col("brand_where") == "body", CFG.impersonation_body_points)
+        .otherwise(0)
     )
-    # A generator instead of a filter: a filter would be pushed down and judge every text twice.
     return judged.select(
-        "msg_id", F.col("_domain").alias("domain"), "brand_where", points.alias("p_brand"),
-        F.explode(F.when(F.col("brand").isNotNull(), F.array("brand"))).alias("brand"),
+        "msg_id", F.col("_domain").alias("domain"), tx.text_or_empty(F.col("brand")).alias("brand"),
+        tx.text_or_empty(F.col("brand_where")).alias("brand_where"), points.alias("p_brand"),
     )
 
 
