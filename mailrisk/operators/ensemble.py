@@ -5,13 +5,16 @@ All variants the ablation compares are sibling columns of one frame; nothing is
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailrisk import lexicon as lx
 from mailrisk.config import DEFAULT, ScoringConfig
 from mailrisk.functions import verdicts as vd
-from mailrisk.functions.text import round_half_even_exact, text_or_empty
+from mailrisk.functions.text import model_input, round_half_even_exact, text_or_empty
 from mailrisk.operators import mail_rules as mr
 
 
@@ -67,12 +70,6 @@ def with_model_score(df: DataFrame, scorer, cfg: ScoringConfig = DEFAULT) -> Dat
     """
     if isinstance(scorer, Column):
         return df.withColumn("model_score", scorer)
-    from collections.abc import Iterator
-
-    import pandas as pd
-
-    from mailrisk.functions.text import model_input
-
     @F.pandas_udf("double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         score = scorer()
