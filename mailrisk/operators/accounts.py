@@ -62,12 +62,12 @@ def _weighted_step(state: np.ndarray, score: float) -> np.ndarray:
     return np.floor(state * 0.8 + score * 0.2 + 0.5)
 
 
-def weighted_user_risk(emails: DataFrame) -> DataFrame:
-    """Exponentially weighted risk per user, rounded after each message in arrival order.
+def weighted_runs(emails: DataFrame) -> DataFrame:
+    """Runs of consecutive messages per user, each as a table "state before -> state after".
 
-    The rounded state has 101 values, so a run of messages is a table "state before -> state after".
-    Rows are range-partitioned by user and time, which cuts a heavy user into many runs; each task
-    folds its runs into tables, and a user's few tables are then applied in order.
+    The rounded state has 101 values, so any run of messages is such a table. Rows are
+    range-partitioned by user and time, which cuts a heavy user into many runs; there is at most
+    one run per user and partition.
     """
     ordered = (
         emails.select("user_id", "scanned_at", "email_id", "risk_score")
@@ -95,18 +95,47 @@ def weighted_user_risk(emails: DataFrame) -> DataFrame:
         if user is not None:
             yield run()
 
-    runs = ordered.mapInPandas(
+    return ordered.mapInPandas(
         fold, "user_id bigint, first_at timestamp, first_id bigint, n bigint, after array<int>"
     )
-    # At most one run per user and partition.
-    chained = runs.groupBy("user_id").agg(
+
+
+def weighted_user_risk(emails: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """Exponentially weighted risk per user, rounded after each message in arrival order.
+
+    ``start`` (user_id, weighted_risk) continues from an earlier state; otherwise it is 0.
+    """
+    chained = weighted_runs(emails).groupBy("user_id").agg(
         F.sum("n").alias("n_messages"),
         F.array_sort(F.collect_list(F.struct("first_at", "first_id", "after"))).alias("_runs"),
     )
-    final = F.aggregate("_runs", F.lit(0), lambda s, r: F.element_at(r["after"], s + 1))
+    begin = F.lit(0)
+    if start is not None:
+        chained = chained.join(start.select("user_id", F.col("weighted_risk").alias("_start")), "user_id", "left")
+        begin = F.coalesce("_start", F.lit(0))
+    final = F.aggregate("_runs", begin, lambda s, r: F.element_at(r["after"], s + 1))
     return chained.select("user_id", "n_messages", final.alias("weighted_risk"))
 
 
+USER_STATE = "user_id bigint, total_scanned bigint, phishing_blocked bigint, weighted_risk int"
+
+
+def advance_user_state(state: DataFrame, batch: DataFrame) -> DataFrame:
+    """Running totals, blocked messages and weighted risk after one more batch of verdicts."""
+    counts = user_totals(batch).select(
+        "user_id", F.col("total_scanned").alias("_n"), F.col("phishing_blocked").alias("_b")
+    )
+    risk = weighted_user_risk(batch, state).select("user_id", F.col("weighted_risk").alias("_w"))
+    joined = state.join(counts.join(risk, "user_id"), "user_id", "full")
+    zero = F.lit(0)
+    return joined.select(
+        "user_id",
+        (F.coalesce("total_scanned", zero) + F.coalesce("_n", zero)).alias("total_scanned"),
+        (F.coalesce("phishing_blocked", zero) + F.coalesce("_b", zero)).alias("phishing_blocked"),
+        F.coalesce("_w", "weighted_risk").cast("int").alias("weighted_risk"),
+    )
+
+
 def first_flags(emails: DataFrame, keys: list[str]) -> DataFrame:
     """Messages on which the verdict of ``keys`` turns to phishing."""
     marked = hg.previous_value(

@@ -66,10 +66,10 @@ def _labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select("doc_id", "text", "lang", "source").join(labels, "doc_id", "left")
 
 
-def mail_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """msg_id, user_id, sender, subject, content, scanned_at, label, source, lang, model_score."""
+def as_mail(documents: DataFrame) -> DataFrame:
+    """Messages of a document frame, batch or stream; ``toxic`` is the label where it is known."""
     label = F.coalesce(F.col("toxic"), F.when(h("y") % 100 < 48, 1).otherwise(0)).cast("int")
-    return _labelled_documents(spark, sf_dir).select(
+    return documents.select(
         F.col("doc_id").alias("msg_id"),
         (h("u") % 50).alias("user_id"),
         pick(SENDERS, h("s")).alias("sender"),
@@ -83,6 +83,11 @@ def mail_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def mail_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """msg_id, user_id, sender, subject, content, scanned_at, label, source, lang, model_score."""
+    return as_mail(_labelled_documents(spark, sf_dir))
+
+
 def raw_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages as raw text with the header shapes found in public corpora, and a sender at times."""
     address = pick([s for s in SENDERS if "." in s.rpartition("@")[2]], h("s"))

@@ -39,8 +39,9 @@ def replay(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 # One message after another, as the definition has it: a recursive walk along each key.
-REPLAY = f"""{ob.MAIL}, {ob.scored()},
-E1 AS (SELECT *, {ob.DAMPING} AS d, floor((at_epoch - {START}) / {THIRD}e0)::INTEGER AS batch FROM S),
+def walk_sql(batch: str) -> str:
+    return f"""{ob.MAIL}, {ob.scored()},
+E1 AS (SELECT *, {ob.DAMPING} AS d, {batch} AS batch FROM S),
 E2 AS (SELECT *, CASE WHEN batch = 0 THEN rule_score::DOUBLE ELSE {ob.py_round(f'({ob.combined("d")})')} END AS risk_score,
     md5(user_id || chr(10) || sender || chr(10) || substring(subject, 1, 200)) AS msg_key, substring(sha256(content), 1, 32) AS content_hash FROM E1),
 E3 AS (SELECT *, risk_score >= {CFG.threshold} AS phish, row_number() OVER (PARTITION BY msg_key ORDER BY batch, at_epoch, msg_id) AS rn FROM E2),
@@ -57,6 +58,9 @@ WALK AS (
 )"""
 
 
+REPLAY = walk_sql(f"floor((at_epoch - {START}) / {THIRD}e0)::INTEGER")
+
+
 @register("verdict_upsert_replay", f"""WITH RECURSIVE {REPLAY}
 SELECT msg_key, email_id, first_epoch, content_hash, kept, risk_score, phish AS is_phishing,
   CASE WHEN rules_only THEN '{CFG.rules_only_version}' ELSE '{CFG.version}' END AS scoring_version
