@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from mailrisk import lexicon as lx
 from mailrisk.functions.senders import extract_sender
-from mailrisk.functions.text import draw, literal_array, pick, text_or_empty
+from mailrisk.functions.terms import first_term
+from mailrisk.functions.text import draw, pick, text_or_empty
 from mailrisk.operators import hot_groups as hg
 from mailrisk.session import materialise
 
@@ -44,7 +45,7 @@ def first_brand(text: Column, first_chars: int | None = None) -> Column:
     lowered = F.lower(text_or_empty(text))
     if first_chars is not None:
         lowered = F.substring(lowered, 1, first_chars)
-    return F.get(F.filter(literal_array(list(lx.BRANDS)), lambda b: F.contains(lowered, b)), F.lit(0))
+    return first_term(lowered, list(lx.BRANDS))
 
 
 def lookalike(domain: Column, number: Column, second: Column) -> Column:

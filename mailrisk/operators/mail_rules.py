@@ -1,7 +1,7 @@
 """Rule scoring of mail: nine checks, their points and their reasons.
 
-Input needs ``sender``, ``subject`` and ``content``. Everything is a narrow projection: no
-shuffle, no Python. The lowered text and the links are computed once in an earlier projection.
+Input needs ``sender``, ``subject`` and ``content``. Everything is a narrow projection without a
+shuffle. Lowered texts and links are computed once; the terms of all lists are found in one pass.
 """
 
 from __future__ import annotations
@@ -18,9 +18,10 @@ from mailrisk.config import DEFAULT, ScoringConfig
 from mailrisk.functions import domains as dm
 from mailrisk.functions import text as tx
 from mailrisk.functions import verdicts as vd
+from mailrisk.functions.terms import with_hits
 
 _PREPARED = ["_full", "_subject", "_content", "_sender", "_domain", "_urls", "_hebrew", "_hosts",
-             "_trusted"]
+             "_trusted", "_hits"]
 POINTS = ["p_strong", "p_weak", "p_lookalike", "p_links", "p_urgency", "p_suffix", "p_brand", "p_ip",
           "p_shortener", "p_official"]
 
@@ -31,8 +32,8 @@ def word_pattern(name: str) -> str:
     return f"(^|{edge}){re.escape(name)}($|{edge})"
 
 
-def prepare(df: DataFrame) -> DataFrame:
-    """Add the lowered texts, links, hosts and sender facts every check reads."""
+def prepare(df: DataFrame, builtin: bool = False) -> DataFrame:
+    """Add the lowered texts, links, hosts, sender facts and term hits every check reads."""
     sender, subject, content = (tx.text_or_empty(F.col(c)) for c in ("sender", "subject", "content"))
     base = df.select(
         "*",
@@ -43,12 +44,13 @@ def prepare(df: DataFrame) -> DataFrame:
         dm.sender_domain(sender).alias("_domain"),
         tx.urls_in(content).alias("_urls"),
     )
-    return base.select(
+    facts = base.select(
         "*",
         tx.has_hebrew(F.col("_full")).alias("_hebrew"),
         F.transform("_urls", dm.url_host).alias("_hosts"),
         dm.trusted_company(F.col("_domain")).alias("_trusted"),
     )
+    return with_hits(facts, builtin)
 
 
 def drop_prepared(df: DataFrame) -> DataFrame:
@@ -65,23 +67,21 @@ def _brand_table() -> Column:
             "officials": officials,
             "ambiguous": name in lx.AMBIGUOUS_BRANDS,
             "letters": re.sub(r"[^a-z0-9]+", "", name.lower()),
-            "hebrew": tx.is_hebrew_term(name),
         }
         for i, (name, officials) in enumerate(lx.BRANDS.items())
     ]
     schema = (
         "array<struct<id int, name string, pattern string, officials array<string>, "
-        "ambiguous boolean, letters string, hebrew boolean>>"
+        "ambiguous boolean, letters string>>"
     )
     return F.from_json(F.lit(json.dumps(rows)), schema)
 
 
-def _deciding_brand(text: Column, body: bool) -> Column:
+def _deciding_brand(text: Column, mentioned: Column, body: bool) -> Column:
     """First brand, in list order, that settles the question; ``exempt`` says "not posing"."""
 
     def named(b: Column) -> Column:
-        mentioned = F.contains(text, b["name"]) & F.rlike(text, b["pattern"])
-        return (F.col("_hebrew") | ~b["hebrew"]) & mentioned
+        return F.array_contains(mentioned, b["id"]) & F.rlike(text, b["pattern"])
 
     def claimed(b: Column) -> Column:
         return (b["letters"] != "") & F.exists(
@@ -99,7 +99,7 @@ def _deciding_brand(text: Column, body: bool) -> Column:
         return F.struct(b["name"].alias("name"), exempt.alias("exempt"), plain_word.alias("skip"))
 
     judged = F.transform(F.filter(_brand_table(), named), judge)
-    return F.get(F.filter(judged, lambda d: ~d["skip"]), F.lit(0))
+    return F.when(F.size(mentioned) > 0, F.get(F.filter(judged, lambda d: ~d["skip"]), F.lit(0)))
 
 
 def with_impersonation(df: DataFrame) -> DataFrame:
@@ -121,11 +121,11 @@ def with_impersonation(df: DataFrame) -> DataFrame:
         F.when(eligible, F.flatten(F.transform("_hosts", dm.suffixes))).alias("_link_suffixes"),
     )
     by_subject = facts.select(
-        "*", F.when(eligible, _deciding_brand(F.col("_subject"), body=False)).alias("_s")
+        "*", F.when(eligible, _deciding_brand(F.col("_subject"), F.col("_hits.brands_subject"), body=False)).alias("_s")
     )
     undecided = eligible & F.col("_s").isNull() & (F.size("_urls") > 0)
     both = by_subject.select(
-        "*", F.when(undecided, _deciding_brand(F.col("_content"), body=True)).alias("_b")
+        "*", F.when(undecided, _deciding_brand(F.col("_content"), F.col("_hits.brands_content"), body=True)).alias("_b")
     )
     posing = F.coalesce("_s", "_b")
     hit = posing.isNotNull() & ~posing["exempt"]
@@ -138,13 +138,8 @@ def with_impersonation(df: DataFrame) -> DataFrame:
 
 def with_checks(df: DataFrame, cfg: ScoringConfig = DEFAULT) -> DataFrame:
     """Points of each check and the two term counts, on a prepared frame with brands."""
-    full, content, sender, heb = (F.col(c) for c in ("_full", "_content", "_sender", "_hebrew"))
-    counted = df.select(
-        "*",
-        tx.count_terms(full, lx.STRONG_TERMS, heb).alias("n_strong"),
-        tx.count_terms(full, lx.WEAK_TERMS, heb).alias("n_weak"),
-        F.size("_urls").alias("n_urls"),
-    )
+    content, sender = F.col("_content"), F.col("_sender")
+    counted = df.select("*", "_hits.n_strong", "_hits.n_weak", F.size("_urls").alias("n_urls"))
 
     def points(cond: Column, value: int) -> Column:
         return F.when(cond, value).otherwise(0)
@@ -152,14 +147,13 @@ def with_checks(df: DataFrame, cfg: ScoringConfig = DEFAULT) -> DataFrame:
     mailbox_domain = F.when(
         F.contains(sender, F.lit("@")), F.substring_index(sender, "@", -1)
     ).otherwise("")
-    spoken = F.concat_ws("\n", "_subject", "_content")
     return counted.select(
         "*",
         F.least(F.col("n_strong") * cfg.strong_points, F.lit(cfg.strong_cap)).alias("p_strong"),
         F.least(F.col("n_weak") * cfg.weak_points, F.lit(cfg.weak_cap)).alias("p_weak"),
         points(tx.any_term(sender, lx.LOOKALIKE_PATTERNS), cfg.lookalike_points).alias("p_lookalike"),
         points(F.col("n_urls") > cfg.many_links_over, cfg.many_links_points).alias("p_links"),
-        points(tx.any_term(full, lx.URGENCY_TERMS, heb), cfg.urgency_points).alias("p_urgency"),
+        points(F.col("_hits.urgent"), cfg.urgency_points).alias("p_urgency"),
         points(
             F.contains(sender, F.lit("@")) & ~tx.any_term(sender, lx.ACCEPTED_SUFFIXES),
             cfg.odd_suffix_points,
@@ -171,9 +165,9 @@ def with_checks(df: DataFrame, cfg: ScoringConfig = DEFAULT) -> DataFrame:
         points(
             (F.col("n_urls") > 0) & content.rlike(tx.IP_LINK_PATTERN), cfg.ip_link_points
         ).alias("p_ip"),
-        points(tx.any_term(content, lx.MAIL_SHORTENERS), cfg.shortener_points).alias("p_shortener"),
+        points(F.col("_hits.shortener"), cfg.shortener_points).alias("p_shortener"),
         points(
-            tx.any_term(mailbox_domain, lx.FREE_MAIL) & tx.any_term(spoken, lx.OFFICIAL_TERMS, heb),
+            F.col("_hits.official") & tx.any_term(mailbox_domain, lx.FREE_MAIL),
             cfg.official_on_free_points,
         ).alias("p_official"),
     )
@@ -223,28 +217,12 @@ def score_mail(df: DataFrame, cfg: ScoringConfig = DEFAULT) -> DataFrame:
     )
 
 
-def attack_vocabulary(subject: Column, content: Column) -> Column:
-    """Asks for credentials, threatens the account or dangles a prize."""
-    haystack = F.lower(F.concat_ws(" ", tx.text_or_empty(subject), tx.text_or_empty(content)))
-    return tx.any_term(haystack, lx.ATTACK_TERMS)
-
-
 def with_legitimacy(df: DataFrame, strict_organisation: bool = False) -> DataFrame:
     """Flags ``asks_credentials``, ``promotional``, ``trusted_sender``, ``transactional``.
 
     Works on a prepared frame. A transactional message comes from a known company, uses order
     vocabulary, asks for nothing, and every link stays with the sender or a known company.
     """
-    spoken = F.concat_ws(" ", "_subject", "_content")
-    heb = F.col("_hebrew")
-    flagged = df.withColumn("_spoken", spoken).select(
-        *df.columns,
-        tx.any_term(F.col("_spoken"), lx.ATTACK_TERMS, heb).alias("asks_credentials"),
-        tx.any_term(F.col("_spoken"), lx.PROMO_TERMS, heb).alias("_promo"),
-        F.when(F.col("_trusted"), tx.any_term(F.col("_spoken"), lx.TRANSACTION_TERMS, heb))
-        .otherwise(False)
-        .alias("_order_words"),
-    )
     stays = F.forall(
         "_hosts",
         lambda h: (h == "")
@@ -253,10 +231,11 @@ def with_legitimacy(df: DataFrame, strict_organisation: bool = False) -> DataFra
         | dm.same_organisation(h, F.col("_domain"), strict_organisation)
         | dm.belongs_to_any(h, dm.OFFICIAL_DOMAINS),
     )
-    return flagged.select(
-        *df.columns,
-        "asks_credentials",
-        (F.col("_promo") & ~F.col("asks_credentials")).alias("promotional"),
+    asks = F.col("_hits.attack")
+    return df.select(
+        "*",
+        asks.alias("asks_credentials"),
+        (F.col("_hits.promo") & ~asks).alias("promotional"),
         F.col("_trusted").alias("trusted_sender"),
-        (F.col("_order_words") & ~F.col("asks_credentials") & stays).alias("transactional"),
+        (F.col("_trusted") & F.col("_hits.order_words") & ~asks & stays).alias("transactional"),
     )

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailrisk.functions.text import draw, pick
+from mailrisk.session import spread
 
 SENDERS = [
     "newsletter@company.com", "info@netflix.com", "noreply@cal-online.co.il", "transaction@temu.com",
@@ -63,7 +64,7 @@ def h(salt: str) -> Column:
 def _labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic", "quality")
-    return documents.select("doc_id", "text", "lang", "source").join(labels, "doc_id", "left")
+    return spread(documents.select("doc_id", "text", "lang", "source")).join(labels, "doc_id", "left")
 
 
 def as_mail(documents: DataFrame) -> DataFrame:

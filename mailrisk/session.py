@@ -50,6 +50,18 @@ def work_dir(spark: SparkSession) -> str:
     return os.environ[key]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan with fewer partitions than cores enough of them for CPU-bound text work.
+
+    A small table in one file would be read by one task. A large one has more splits than there
+    are cores and is returned as it is, so no text is shuffled at scale.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a frame that several later steps read, and read it back column by column.
 
