@@ -34,6 +34,10 @@ NOT_A_SENDER = (
     r"|mailer-daemon|no-?reply-daemon|root@|daemon@)"
 )
 WRAPPERS = r"<>()\[\]{}\"'.,;:"
+# The address pattern for a search: it starts only at the edge of a run of address characters, or
+# where the last match ended, and never backs out of a run, so each character is read about once.
+_RUN = rf"[{WORD}.+%-]"
+SEARCH_ADDRESS = rf"(?:\G|(?<!{_RUN})){_RUN}++@[{WORD}-]+(?:\.[{WORD}-]+)+"
 MAX_HEADER_LINES, REGION_LINES, OPENING_LINES = 200, 8, 6
 
 
@@ -61,7 +65,7 @@ def header_block(text: Column) -> Column:
     lines = _first_lines(text, MAX_HEADER_LINES)
     stops = F.transform(
         lines,
-        lambda line, i: (F.length(F.regexp_replace(line, f"[{SPACE}]+", "")) == 0)
+        lambda line, i: ~F.rlike(line, F.lit(f"[^{SPACE}]"))
         | ((i >= 3) & ~F.rlike(line, F.lit(HEADER_LINE))),
     )
     first_stop = F.array_position(stops, F.lit(True)).cast("int")
@@ -70,7 +74,9 @@ def header_block(text: Column) -> Column:
 
 
 def _addresses(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(ADDRESS), F.lit(0))
+    none = F.array().cast("array<string>")
+    found = F.regexp_extract_all(text, F.lit(SEARCH_ADDRESS), F.lit(0))
+    return F.when(F.contains(text, F.lit("@")), found).otherwise(none)
 
 
 def _cleaned_addresses(raws: Column) -> Column:

@@ -58,8 +58,9 @@ def risk_trajectory(emails: DataFrame, cfg: ScoringConfig = DEFAULT) -> DataFram
 STATES = 101  # the weighted risk is rounded to a whole number from 0 to 100 after every message
 
 
-def _weighted_step(state: np.ndarray, score: float) -> np.ndarray:
-    return np.floor(state * 0.8 + score * 0.2 + 0.5)
+def _weighted_step(state, score: float):
+    """One message applied to a state, or to the table of all states."""
+    return (state * 0.8 + score * 0.2 + 0.5) // 1
 
 
 def weighted_runs(emails: DataFrame) -> DataFrame:
@@ -79,9 +80,9 @@ def weighted_runs(emails: DataFrame) -> DataFrame:
         user, first, count, state = None, None, 0, None
 
         def run() -> pd.DataFrame:
+            table = np.broadcast_to(np.asarray(state), (STATES,)).astype("int32").tolist()
             return pd.DataFrame({
-                "user_id": [user], "first_at": [first[0]], "first_id": [first[1]], "n": [count],
-                "after": [state.astype("int32").tolist()],
+                "user_id": [user], "first_at": [first[0]], "first_id": [first[1]], "n": [count], "after": [table],
             })
 
         for batch in batches:
@@ -92,6 +93,9 @@ def weighted_runs(emails: DataFrame) -> DataFrame:
                     user, first, count, state = u, (at, i), 0, np.arange(STATES, dtype="float64")
                 state = _weighted_step(state, score)
                 count += 1
+                # The step is monotone: once the ends agree, every earlier state leads here.
+                if count % 8 == 0 and isinstance(state, np.ndarray) and state[0] == state[-1]:
+                    state = float(state[0])
         if user is not None:
             yield run()
 
