@@ -418,10 +418,19 @@ def damping_report(df: DataFrame, cfg: ScoringConfig = DEFAULT) -> DataFrame:
     )
 
 
+def shown_text(df: DataFrame) -> DataFrame:
+    """Sender, subject and content shortened to what an error listing shows."""
+    return df.withColumns({
+        "sender": F.substring(tx.text_or_empty(F.col("sender")), 1, 40),
+        "subject": tx.snippet(F.col("subject"), 50),
+        "content": tx.snippet(F.col("content"), 90),
+    })
+
+
 def errors(df: DataFrame, cfg: ScoringConfig = DEFAULT) -> DataFrame:
     """Every wrong verdict with kind, language, sender presence and what drove the score.
 
-    Needs sender, subject, content, source, language, label, v_ensemble, v_model, v_rules. The
+    Needs the texts of ``shown_text``, source, language, label, v_ensemble, v_model, v_rules. The
     narrow facts are written once; a filter on them must not send the scoring over the texts again.
     """
     wrong = (F.col("v_ensemble") >= cfg.threshold) != (F.col("label") == 1)
@@ -440,9 +449,9 @@ def errors(df: DataFrame, cfg: ScoringConfig = DEFAULT) -> DataFrame:
         .when(F.col("v_model") >= cfg.threshold, "model")
         .otherwise("both")
         .alias("driver"),
-        F.substring(tx.text_or_empty(F.col("sender")), 1, 40).alias("sender"),
-        tx.snippet(F.col("subject"), 50).alias("subject"),
-        tx.snippet(F.col("content"), 90).alias("content"),
+        "sender",
+        "subject",
+        "content",
     )
     return materialise(facts, "errors").filter("kind IS NOT NULL")
 

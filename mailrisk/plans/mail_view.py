@@ -68,8 +68,7 @@ def _labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def as_mail(documents: DataFrame) -> DataFrame:
-    """Messages of a document frame, batch or stream; ``toxic`` is the label where it is known."""
-    label = F.coalesce(F.col("toxic"), F.when(h("y") % 100 < 48, 1).otherwise(0)).cast("int")
+    """Messages of a document frame, batch or stream."""
     return documents.select(
         F.col("doc_id").alias("msg_id"),
         (h("u") % 50).alias("user_id"),
@@ -77,7 +76,6 @@ def as_mail(documents: DataFrame) -> DataFrame:
         pick(SUBJECTS, h("j")).alias("subject"),
         F.concat_ws(" ", F.coalesce("text", F.lit("")), pick(PASSAGES, h("c"))).alias("content"),
         F.timestamp_seconds(1704067200 + h("t") % 2592000).alias("scanned_at"),
-        label.alias("label"),
         "source",
         "lang",
         ((h("m") % MODEL_RANGE) / F.lit(100.0)).alias("model_score"),
@@ -85,8 +83,17 @@ def as_mail(documents: DataFrame) -> DataFrame:
 
 
 def mail_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """msg_id, user_id, sender, subject, content, scanned_at, label, source, lang, model_score."""
-    return as_mail(_labelled_documents(spark, sf_dir))
+    """msg_id, user_id, sender, subject, content, scanned_at, source, lang, model_score."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return as_mail(spread(documents.select("doc_id", "text", "lang", "source")))
+
+
+def with_label(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Add ``label`` to messages. Call it on the narrow result of scoring: the join may shuffle."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("msg_id"), "toxic")
+    drawn = F.when(draw("y", F.col("msg_id")) % 100 < 48, 1).otherwise(0)
+    joined = df.join(labels, "msg_id", "left")
+    return joined.withColumn("label", F.coalesce("toxic", drawn).cast("int")).drop("toxic")
 
 
 def raw_view(spark: SparkSession, sf_dir: str) -> DataFrame:

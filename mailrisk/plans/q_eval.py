@@ -11,14 +11,14 @@ from mailrisk.functions import text as tx
 from mailrisk.operators import ensemble as en
 from mailrisk.operators import metrics as mt
 from mailrisk.plans import oracle_base as ob
-from mailrisk.plans.mail_view import corpus_view
+from mailrisk.plans.mail_view import corpus_view, with_label
 from mailrisk.plans.q_scoring import scored_mail
 from mailrisk.plans.registry import register
 from mailrisk.session import materialise
 
 BASE_RATE, TARGET = 0.01, 0.80
 NARROW = [
-    "msg_id", "label", "source", "trusted_sender", "rule_score", "model_score", "reason", "promo_reason",
+    "msg_id", "source", "trusted_sender", "rule_score", "model_score", "reason", "promo_reason",
     "v_rules", "v_model", "v_ensemble", "v_uncapped", "v_promo", "v_undamped", "v_legacy",
 ]
 
@@ -29,7 +29,9 @@ def with_language(df: DataFrame) -> DataFrame:
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_language(scored_mail(spark, sf_dir)).select(*NARROW, "language")
+    """Scores, language and label of every message; the label is joined after the texts are gone."""
+    narrow = with_language(scored_mail(spark, sf_dir)).select(*NARROW, "language")
+    return with_label(narrow, spark, sf_dir)
 
 
 def score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,7 +262,8 @@ ER AS (SELECT msg_id, CASE WHEN label = 0 THEN 'fp' ELSE 'fn' END AS kind, {ob.p
 
 
 def found_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mt.errors(with_language(scored_mail(spark, sf_dir)))
+    narrow = mt.shown_text(with_language(scored_mail(spark, sf_dir)))
+    return mt.errors(with_label(narrow.select(*NARROW, "language", "sender", "subject", "content"), spark, sf_dir))
 
 
 @register("error_mining", f"WITH {V}, {ERRORS} SELECT * FROM ER")

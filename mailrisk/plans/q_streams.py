@@ -27,7 +27,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(
         f"{sf_dir}/documents.parquet*"
     )
-    return as_mail(stream.withColumn("toxic", F.lit(None).cast("int"))).drop("model_score", "label")
+    return as_mail(stream).drop("model_score")
 
 
 @register("stream_dedup_score", f"""WITH {ob.MAIL}, {ob.scored()}
