@@ -37,6 +37,11 @@ def read_stream(
     return reader.load(path)
 
 
+def read_batch(spark: SparkSession, path: str, schema: StructType | str = MESSAGE_SCHEMA) -> DataFrame:
+    """The same message files read at once, for a back-fill of what a stream would have seen."""
+    return spark.read.schema(schema).json(path)
+
+
 def skip_seen(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Drop messages already seen: a mailbox is polled again and again."""
     keyed = stream.withColumn("content_hash", tx.fingerprint(F.col("content")))
