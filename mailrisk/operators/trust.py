@@ -86,12 +86,24 @@ def _address_windows(sender: Column) -> Column:
     return F.array_distinct(F.when(F.size(parts) >= 2, found).otherwise(none))
 
 
+def _domain_heads(sender: Column) -> Column:
+    """Every start of what follows an ``@``: the domain of a listed address is one of them."""
+    rights = F.transform(
+        F.slice(F.split(sender, "@"), F.lit(2), F.size(F.split(sender, "@"))), lambda p: F.regexp_extract(p, r"^([a-z0-9.\-]*)", 1)
+    )
+    full = F.filter(rights, lambda r: r != "")
+    heads = F.transform(
+        full, lambda r: F.transform(F.sequence(F.lit(1), F.length(r)), lambda k: F.substring(r, F.lit(1), k))
+    )
+    return F.array_distinct(F.flatten(heads))
+
+
 def matched_senders(pairs: DataFrame, entries: DataFrame) -> DataFrame:
     """(user_id, value, is_domain, sender): stored senders a list entry covers.
 
     A domain equals what follows the last ``@``; an address is contained in the sender, found by
-    equality on the address-shaped parts of each distinct sender. Only entries with a wildcard
-    character are compared by pattern, with the distinct senders of their own user.
+    equality on the address-shaped parts of each distinct sender. Entries with a wildcard character
+    are compared by pattern, with those distinct senders of their user that carry their domain.
     """
     lowered = pairs.select("user_id", "sender", F.lower("sender").alias("_s"))
     wild = F.col("value").rlike("[_%]")
@@ -102,8 +114,11 @@ def matched_senders(pairs: DataFrame, entries: DataFrame) -> DataFrame:
     by_address = lowered.select(
         "user_id", "sender", F.explode(_address_windows(F.col("_s"))).alias("value")
     ).join(wanted.filter(~F.col("is_domain") & ~wild), ["user_id", "value"])
-    by_pattern = pairs.join(wanted.filter(~F.col("is_domain") & wild), "user_id").filter(
-        sender_like(F.col("sender"), F.col("value"), F.col("is_domain"))
+    patterns = wanted.filter(~F.col("is_domain") & wild).withColumn("_head", F.substring_index("value", "@", -1))
+    by_pattern = (
+        lowered.select("user_id", "sender", F.explode(_domain_heads(F.col("_s"))).alias("_head"))
+        .join(patterns, ["user_id", "_head"])
+        .filter(sender_like(F.col("sender"), F.col("value"), F.col("is_domain")))
     )
     columns = ["user_id", "value", "is_domain", "sender"]
     return (
