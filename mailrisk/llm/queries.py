@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailrisk.llm import sharding
+from mailrisk.llm import decontamination, sharding, simhash, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +32,63 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = sharding.even_tree(16)
     rows = sharding.shard_rows(_table(spark, sf_dir, "documents"), "doc_id", "text", tree)
     return rows.withColumn("law", F.lit("key"))
+
+
+@_query("op5_simhash")
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_duplicates(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return rows.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
+
+
+@_query("op10_substring_dedup", """
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words
+  FROM documents),
+p AS (
+  SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS s FROM w WHERE len(words) >= 50),
+s AS (
+  SELECT doc_id, s, min(doc_id) OVER (PARTITION BY array_to_string(words[s:s + 49], ' ')) AS first FROM p),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS i FROM s WHERE first < doc_id),
+g AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id)
+SELECT w.doc_id, len(words) AS n_words, coalesce(len(gone), 0) AS n_removed,
+  sha256(array_to_string(list_transform(list_filter(range(1, len(words) + 1),
+    lambda i: NOT list_contains(coalesce(gone, []), i)), lambda i: words[i]), ' ')) AS kept_sha256
+FROM w LEFT JOIN g ON w.doc_id = g.doc_id
+""")
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring.remove_repeats(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@_query("op3_decontamination", """
+WITH words AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents
+  UNION ALL SELECT 'b', item_id, text FROM benchmark),
+w AS (
+  SELECT kind, id, list_filter(regexp_split_to_array(lower(coalesce(text, '')),
+    '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS words FROM words),
+b AS (
+  SELECT DISTINCT id AS item, least(5, len(words)) AS w,
+    unnest(list_transform(range(1, greatest(len(words) - 4, 1) + 1), lambda i: array_to_string(words[i:i + 4], ' '))) AS s
+  FROM w WHERE kind = 'b' AND len(words) > 0),
+n AS (SELECT item, count(*) AS n FROM b GROUP BY item),
+widths AS (SELECT DISTINCT w FROM b),
+d AS (
+  SELECT DISTINCT id AS doc_id, widths.w, unnest(list_transform(range(1, len(words) - widths.w + 2),
+    lambda i: array_to_string(words[i:i + widths.w - 1], ' '))) AS s
+  FROM w, widths WHERE kind = 'd' AND len(words) >= widths.w),
+m AS (
+  SELECT doc_id, item, count(*) / max(n) AS containment
+  FROM d JOIN b USING (w, s) JOIN n USING (item) GROUP BY doc_id, item HAVING count(*) / max(n) >= 0.8),
+g AS (
+  SELECT doc_id, count(*) AS n_items, max(containment) AS max_containment, list_sort(list(item)) AS item_ids
+  FROM m GROUP BY doc_id)
+SELECT documents.doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items,
+  coalesce(max_containment, 0.0) AS max_containment, coalesce(item_ids, []) AS item_ids
+FROM documents LEFT JOIN g USING (doc_id)
+""")
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(
+        _table(spark, sf_dir, "documents"), "doc_id", "text", _table(spark, sf_dir, "benchmark"), "item_id", "text"
+    )
