@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLOCK = 1 << 16
+MEMBERS = 1 << 26
 
 
 @F.pandas_udf(T.BinaryType())
@@ -39,3 +42,21 @@ def collect_bits(cells: DataFrame, rows: int, size: int) -> np.ndarray:
 
 def has_bits(bits: np.ndarray, cell: np.ndarray) -> np.ndarray:
     return (bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
+
+
+def maybe_member(keys: DataFrame, key: str) -> Callable[[Column], Column]:
+    """Test for a key column: true for every value of ``keys[key]``, seldom for others, false for null.
+
+    Rows that fail need not be shuffled to a join with ``keys``. The map has ``MEMBERS`` bits whatever
+    the number of keys; beyond some ten million keys the test passes most rows, and the join does the rest.
+    """
+    cell = lambda c: F.pmod(F.xxhash64(c.cast("string")), F.lit(MEMBERS))
+    bits = keys.sparkSession.sparkContext.broadcast(
+        collect_bits(keys.filter(F.col(key).isNotNull()).select(F.lit(0).alias("depth"), cell(F.col(key)).alias("cell")), 1, MEMBERS)
+    )
+
+    @F.pandas_udf("boolean")
+    def listed(cells: pd.Series) -> pd.Series:
+        return pd.Series(has_bits(bits.value[0], cells.to_numpy()))
+
+    return lambda c: c.isNotNull() & listed(cell(c))

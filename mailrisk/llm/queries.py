@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailrisk.llm import decontamination, sharding, simhash, substring
+from mailrisk.llm import decontamination, fingerprints, packing, quality, sharding, simhash, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +28,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _left_out(modulus: int, remainder: int) -> Column:
+    """Rows no label may be learned from; a null id is none of them."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+
+
+@_query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").filter(~_left_out(3, 1))
+    model = toxicity.fit(documents, "doc_id", "text", labels, "toxic")
+    rows = toxicity.score_documents(model, documents, "doc_id", "text", 0.7)
+    return rows.select("doc_id", _left_out(3, 1).alias("held_out"), "score", "predicted")
+
+
 @_query("op2_sharding")
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = sharding.even_tree(16)
@@ -92,3 +107,32 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(
         _table(spark, sf_dir, "documents"), "doc_id", "text", _table(spark, sf_dir, "benchmark"), "item_id", "text"
     )
+
+
+@_query("op7_packing")
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack_documents(
+        _table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json")
+    )
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@_query("op4_fingerprints")
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fingerprints.edited_neighbours(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return rows.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprints.as_string(F.col("sketch")).alias("fingerprint"),
+        fingerprints.as_string(F.col("edited_sketch")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        fingerprints.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    )
+
+
+@_query("op6_quality")
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").filter(~_left_out(5, 0))
+    model = quality.fit(documents, "doc_id", "text", labels, "quality")
+    rows = quality.score_documents(model, documents, "doc_id", "text", 0.3)
+    return rows.select("doc_id", _left_out(5, 0).alias("held_out"), "score", "predicted")
