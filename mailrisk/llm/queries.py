@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailrisk.llm import decontamination, fingerprints, packing, quality, sharding, simhash, substring, toxicity
+from mailrisk.llm import decontamination, fingerprints, packing, quality, sharding, simhash, substring, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -136,3 +136,31 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(documents, "doc_id", "text", labels, "quality")
     rows = quality.score_documents(model, documents, "doc_id", "text", 0.3)
     return rows.select("doc_id", _left_out(5, 0).alias("held_out"), "score", "predicted")
+
+
+_RULES = [
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"), ("net", "/fr/", "block"),
+]
+
+
+@_query("op8_url_filters", """
+WITH u AS (
+  SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS cut FROM pages),
+r AS (SELECT page_id, CASE WHEN cut > 0 THEN substr(url, cut + 3) ELSE '' END AS rest FROM u),
+h AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM r),
+rules(rule_host, rule_path, rule_verdict) AS (VALUES
+  ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+  ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+f AS (
+  SELECT page_id, rule_host || rule_path AS rule, rule_verdict FROM h JOIN rules
+    ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)),
+b AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(rule_verdict, length(rule)) AS verdict FROM f GROUP BY page_id)
+SELECT h.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM h LEFT JOIN b USING (page_id)
+""")
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(_RULES, "host string, path string, verdict string")
+    return url_filters.judge(_table(spark, sf_dir, "pages"), "page_id", "url", rules)
