@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailrisk.llm import decontamination, fingerprints, packing, quality, sharding, simhash, substring, toxicity, url_filters
+from mailrisk.llm import decontamination, fingerprints, html_extraction, packing, quality, sharding, simhash, substring, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -164,3 +164,20 @@ SELECT h.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM h
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(_RULES, "host string, path string, verdict string")
     return url_filters.judge(_table(spark, sf_dir, "pages"), "page_id", "url", rules)
+
+
+@_query("op9_html_extraction", """
+WITH a AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|<footer|$)', 1) AS body FROM pages),
+b AS (
+  SELECT page_id, url, list_filter(
+    list_transform(regexp_split_to_array(regexp_replace(body, '</?(b|i|br|a|em|strong|span)[^>]*>', ' ', 'g'), '<[^>]*(>|$)'),
+      lambda x: trim(regexp_replace(
+        replace(replace(replace(regexp_replace(x, '&amp;?', '&', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'),
+        '\\s+', ' ', 'g'))), lambda x: x <> '') AS blocks
+  FROM a)
+SELECT page_id, url, array_to_string(blocks, chr(10)) AS text, length(array_to_string(blocks, chr(10))) AS n_chars FROM b
+""")
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = html_extraction.extract_pages(_table(spark, sf_dir, "pages"), "page_id", "url", "html")
+    return rows.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
