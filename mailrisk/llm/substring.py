@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mailrisk.llm.bitmap import BLOCK, collect_bits, has_bits
+from mailrisk.llm.bitmap import BLOCK, collect_bits, has_bits, maybe_member
 from mailrisk.llm.words import hash_words, mix, rolling, sliding_min, split_words
+from mailrisk.session import materialise
 
 ANCHOR = 16
 DEPTH = 2
@@ -121,24 +122,30 @@ _CUT = T.StructType([
 
 
 @F.pandas_udf(_CUT)
-def _cut(texts: pd.Series, starts: pd.Series, window: pd.Series) -> pd.DataFrame:
+def _cut(texts: pd.Series, starts: pd.Series, copy: pd.Series, window: pd.Series) -> pd.DataFrame:
     out = []
-    for text, at, width in zip(texts, starts, window):
+    for text, at, whole, width in zip(texts, starts, copy, window):
         words = split_words(text)
-        gone = 0
-        if at is not None and len(at):
+        keep = np.ones(len(words), dtype=bool)
+        if whole and len(words) >= width:
+            keep[:] = False
+        elif at is not None and len(at):
             change = np.zeros(len(words) + 1, dtype=np.int64)
             np.add.at(change, at, 1)
             np.add.at(change, np.asarray(at) + width, -1)
             keep = np.cumsum(change[:-1]) == 0
-            gone = len(words) - int(keep.sum())
-            kept = b" ".join(w for w, k in zip(words, keep) if k)
-        else:
-            kept = b" ".join(words)
-        out.append((len(words), gone, kept.decode("utf-8", "surrogatepass")))
+        kept = b" ".join(words) if keep.all() else b" ".join(w for w, k in zip(words, keep) if k)
+        out.append((len(words), len(words) - int(keep.sum()), kept.decode("utf-8", "surrogatepass")))
     return pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
 
 
+def _copies(rows: DataFrame) -> DataFrame:
+    """``k``, ``t`` of the rows whose whole text also stands under a smaller key."""
+    narrow = rows.select("k", "t", F.md5(F.col("x").cast("binary")).alias("d")).filter("k IS NOT NULL")
+    repeated = narrow.groupBy("t", "d").agg(F.min("k").alias("first"), F.max("k").alias("last")).filter("first < last")
+    return materialise(narrow.join(repeated, ["t", "d"]).filter("k > first").select("k", "t").distinct(), "copies")
+
+
 def remove_repeats(df: DataFrame, key: str, text: str, window: int = 50, cells: int | None = None) -> DataFrame:
     """One row per input row: ``key`` (bigint), ``n_words``, ``n_removed``, ``kept``.
 
@@ -148,20 +155,36 @@ def remove_repeats(df: DataFrame, key: str, text: str, window: int = 50, cells:
     lose nothing. Rows with one key are one document: they do not repeat each other. A null key is
     neither smaller nor larger than another, so such rows lose nothing and cost others nothing.
     An empty table gives an empty result; other columns are not read.
+
+    Exact copies are settled by checksums of 192 bits: all but the first lose every window, and only the first
+    takes part in the search. Texts are shuffled only where something may go.
     """
     rows = df.select(F.col(key).cast("bigint").alias("k"), F.xxhash64(text).alias("t"), F.col(text).alias("x"))
     spark = df.sparkSession
     if cells is None:
         size = rows.agg(F.sum(F.octet_length("x").cast("bigint"))).first()[0]
         cells = cells_for(size or 0)
-    sketch = spark.sparkContext.broadcast(_repeated_cells(rows.filter("k IS NOT NULL").select("x"), window, cells))
-    likely = rows.mapInArrow(
+    copies = _copies(rows)
+    copied = maybe_member(copies, "k")(F.col("k"))
+    searched = rows.filter("k IS NOT NULL")
+    searched = searched.filter(~copied).unionByName(searched.filter(copied).join(copies, ["k", "t"], "left_anti").select("k", "t", "x"))
+    sketch = spark.sparkContext.broadcast(_repeated_cells(searched.select("x"), window, cells))
+    likely = searched.mapInArrow(
         lambda it: _windows(it, window, cells, sketch), "k bigint, t bigint, pos int, h bigint, g int"
     )
-    # Partial counts fold the copies of a task first; the join back may split a hot window.
+    # Partial counts fold the repeats of a task first; the join back may split a hot window.
     first = likely.groupBy("h", "g").agg(F.min("k").alias("first"), F.max("k").alias("last")).filter("first < last")
     repeated = likely.join(first, ["h", "g"]).filter("k > first")
-    starts = repeated.groupBy("k", "t").agg(F.collect_set("pos").alias("starts"))
-    return rows.join(starts, ["k", "t"], "left").select(
-        F.col("k").alias(key), _cut("x", "starts", F.lit(window)).alias("_r")
+    starts = repeated.groupBy("k", "t").agg(F.collect_set("pos").alias("starts")).withColumn("copy", F.lit(False))
+    gone = materialise(
+        starts.unionByName(copies.select("k", "t", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("copy"))),
+        "repeats",
+    )
+    touched = maybe_member(gone, "k")(F.col("k"))
+    whole = rows.filter(F.col("k").isNull() | ~touched).select(
+        "k", "x", F.lit(None).cast("array<int>").alias("starts"), F.lit(False).alias("copy")
+    )
+    cut = rows.filter(touched).join(gone, ["k", "t"], "left").select("k", "x", "starts", F.coalesce("copy", F.lit(False)).alias("copy"))
+    return whole.unionByName(cut).select(
+        F.col("k").alias(key), _cut("x", "starts", "copy", F.lit(window)).alias("_r")
     ).select(key, "_r.*")
