@@ -91,18 +91,12 @@ def balance_sources(df: DataFrame, max_single_frac: float = 0.15, floor: int = 1
 
     Only capped sources are ranked, and of those only the bucket their quota falls into.
     """
-    quotas = hg.bounded_local(source_quotas(df, max_single_frac, floor))
-    keyed = df.withColumn("_key", hg.hash_key("balance", F.col("text"))).join(
-        quotas.select("source", "quota", "n"), "source"
+    quotas = materialise(source_quotas(df, max_single_frac, floor).select("source", "quota", "n"), "quotas")
+    keyed = df.withColumn("_key", hg.hash_key("balance", F.col("text"))).join(quotas, "source")
+    ranked = hg.slot_by_rank(
+        keyed.filter("quota < n"), ["source", "quota"], "_key", "row_id", lambda n: [F.col("quota")], 1
     )
-    capped = keyed.filter("quota < n")
-    cuts = hg.bounded_local(
-        hg.rank_cuts(capped, ["source", "quota"], "_key", "row_id", lambda n: [F.col("quota")])
-    )
-    judged = keyed.join(cuts, ["source", "quota"], "left")
-    pair = F.struct(F.col("_key"), F.col("row_id"))
-    keep = F.col("_cuts").isNull() | (pair <= F.col("_cuts")[F.lit(0)])
-    return judged.filter(keep).select(*df.columns)
+    return keyed.filter("quota >= n").select(*df.columns).unionByName(ranked.filter("slot = 0").select(*df.columns))
 
 
 def stratified_split(df: DataFrame) -> DataFrame:
@@ -161,11 +155,10 @@ def exact_sample(df: DataFrame, n: int, key: str = "text", seed: str = "sample")
 
 def stratified_sample(df: DataFrame, n: int, seed: str = "stratified") -> DataFrame:
     """``n`` rows with the class ratio kept: each label gets its rounded share."""
-    total = df.count()
     keyed = df.withColumn("_key", hg.hash_key(seed, F.col("text"), F.col("row_id")))
 
     def targets(size: Column) -> list[Column]:
-        return [F.least(size, F.round(size * F.lit(float(n)) / F.lit(float(max(total, 1)))))]
+        return [F.least(size, F.round(size * F.lit(float(n)) / F.greatest(F.col("_everything"), F.lit(1)).cast("double")))]
 
     return hg.slot_by_rank(keyed, ["label"], "_key", "row_id", targets, 1).filter("slot = 0").select(*df.columns)
 

@@ -13,20 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-LOCAL_ROWS = 20_000
-
-
-def bounded_local(df: DataFrame, max_rows: int = LOCAL_ROWS) -> DataFrame:
-    """A small result as a local relation, so that joins with it are broadcast.
-
-    At most ``max_rows + 1`` rows are fetched; a larger result stays distributed and is joined
-    with a shuffle (adaptive execution splits skewed partitions).
-    """
-    head = df.limit(max_rows + 1).collect()
-    if len(head) > max_rows:
-        return df
-    return df.sparkSession.createDataFrame(head, df.schema)
-
+from mailrisk.session import materialise
 
 def hash_key(salt: str, *parts: Column) -> Column:
     """Reproducible sort key: 32 hex digits, evenly spread."""
@@ -41,10 +28,12 @@ def rank_cuts(
     targets: Callable[[Column], Sequence[Column]],
     bucket_hex: int = 4,
 ) -> DataFrame:
-    """Per group, the (key, tie) pair standing at each wanted rank; null means "before all rows".
+    """``groups`` and ``_cuts``: per wanted rank the (key, tie) pair standing there, written to the shared folder.
 
-    ``targets`` maps the group's row count to ranks. Rows are counted by the first hex digits of
-    the key; only the one bucket that holds a wanted rank is ordered.
+    Each entry of the map ``_cuts`` has the ``pair`` (null: before all rows), how many of its rows are wanted
+    (``take``) and how many there are (``of``). ``targets`` maps the group's row count to ranks, and may name
+    ``_everything``, the count of all groups. Rows are counted by the first hex digits of the key; only the bucket that
+    holds a wanted rank is ordered, and there copies of a pair are one row.
     """
     groups = list(groups)
     bucket = F.substring(key, 1, bucket_hex)
@@ -54,29 +43,39 @@ def rank_cuts(
         "*",
         F.sum("_n").over(upto).alias("_end"),
         F.sum("_n").over(W.partitionBy(*groups)).alias("_total"),
+        F.sum("_n").over(W.partitionBy()).alias("_everything"),
     )
     wanted = F.array(*[t.cast("bigint") for t in targets(F.col("_total"))])
     edges = placed.select(
-        *groups, "_bucket", (F.col("_end") - F.col("_n")).alias("_start"), "_end",
+        *groups, "_bucket", (F.col("_end") - F.col("_n")).alias("_before"), "_end",
         F.posexplode(wanted).alias("_slot", "_rank"),
     )
-    inside = (F.col("_rank") > F.col("_start")) & (F.col("_rank") <= F.col("_end"))
-    edges = edges.filter(inside | ((F.col("_start") == 0) & (F.col("_rank") <= 0)))
-    edges = bounded_local(
-        edges.select(*groups, "_bucket", "_slot", "_rank", (F.col("_rank") - F.col("_start")).alias("_need"))
+    inside = (F.col("_rank") > F.col("_before")) & (F.col("_rank") <= F.col("_end"))
+    edges = edges.filter(inside | ((F.col("_before") == 0) & (F.col("_rank") <= 0)))
+    edges = materialise(
+        edges.select(*groups, "_bucket", "_slot", "_rank", (F.col("_rank") - F.col("_before")).alias("_need")), "edges"
     )
     hits = edges.filter("_rank > 0").select(*groups, "_bucket").distinct()
-    rows = df.select(*groups, key, tie, bucket.alias("_bucket")).join(
-        hits, [*groups, "_bucket"], "left_semi"
+    pairs = (
+        df.select(*groups, key, tie, bucket.alias("_bucket"))
+        .join(hits, [*groups, "_bucket"], "left_semi")
+        .groupBy(*groups, "_bucket", key, tie)
+        .agg(F.count(F.lit(1)).alias("_of"))
     )
     within = W.partitionBy(*groups, "_bucket").orderBy(key, tie)
-    numbered = rows.withColumn("_need", F.row_number().over(within).cast("bigint"))
-    found = edges.join(numbered, [*groups, "_bucket", "_need"], "left")
-    return found.groupBy(*groups).agg(
-        F.map_from_entries(
-            F.collect_list(F.struct("_slot", F.struct(F.col(key), F.col(tie)).alias("_pair")))
-        ).alias("_cuts")
+    ranked = pairs.withColumn("_last", F.sum("_of").over(within)).withColumnRenamed("_bucket", "_b")
+    same = [edges[g] == ranked[g] for g in groups]
+    reached = (F.col("_need") > F.col("_last") - F.col("_of")) & (F.col("_need") <= F.col("_last"))
+    found = edges.join(ranked, [*same, F.col("_bucket") == F.col("_b"), reached], "left")
+    cut = F.struct(
+        F.when(F.col("_of").isNotNull(), F.struct(F.col(key), F.col(tie))).alias("pair"),
+        (F.col("_need") - F.col("_last") + F.col("_of")).alias("take"),
+        F.col("_of").alias("of"),
     )
+    cuts = found.groupBy(*[edges[g] for g in groups]).agg(
+        F.map_from_entries(F.collect_list(F.struct("_slot", cut.alias("_cut")))).alias("_cuts")
+    )
+    return materialise(cuts, "cuts")
 
 
 def slot_by_rank(
@@ -90,16 +89,31 @@ def slot_by_rank(
 ) -> DataFrame:
     """Add ``slot``: how many of the wanted ranks lie before the row (0 = within the first).
 
-    The big table is only filtered against one pair per group and rank: it is neither sorted
-    nor shuffled.
+    Counts are exact whatever repeats: rows that share the (key, tie) pair at a cut are written with a number
+    of their own, counted in salted slices, and the wanted number of them is taken. All other rows are only
+    compared with one pair per group and rank; they are neither sorted nor shuffled.
     """
-    cuts = bounded_local(rank_cuts(df, groups, key, tie, targets, bucket_hex))
+    groups = list(groups)
+    cuts = rank_cuts(df, groups, key, tie, targets, bucket_hex)
     row = F.struct(F.col(key), F.col(tie))
-    total = F.lit(0)
-    for j in range(n_targets):
-        cut = F.col("_cuts")[F.lit(j)]
-        total = total + F.when(cut[key].isNull() | (row > cut), 1).otherwise(0)
-    return df.join(cuts, list(groups), "left").withColumn("slot", total).drop("_cuts")
+
+    def slotted(rows: DataFrame, copy: Column) -> DataFrame:
+        total = F.lit(0)
+        for j in range(n_targets):
+            cut = F.col("_cuts")[F.lit(j)]
+            after = (row > cut["pair"]) | ((row == cut["pair"]) & (copy > cut["take"]))
+            total = total + F.when(cut["pair"].isNull() | after, 1).otherwise(0)
+        return rows.withColumn("slot", total).drop("_cuts")
+
+    judged = df.join(cuts, groups, "left")
+    if cuts.filter(F.exists(F.map_values("_cuts"), lambda c: c["take"] < c["of"])).isEmpty():
+        return slotted(judged, F.lit(0))
+    tied = F.coalesce(F.exists(F.map_values("_cuts"), lambda c: (c["pair"] == row) & (c["take"] < c["of"])), F.lit(False))
+    held = materialise(judged.filter(tied).drop("_cuts").withColumn("_id", F.monotonically_increasing_id()), "ties")
+    numbered = salted_row_number(held, [*groups, key, tie], "_id", "_copy").drop("_id")
+    return slotted(judged.filter(~tied), F.lit(0)).unionByName(
+        slotted(numbered.join(cuts, groups), F.col("_copy")).drop("_copy").select(*df.columns, "slot")
+    )
 
 
 def salted_row_number(

@@ -38,11 +38,16 @@ def first_column(columns: Sequence[str], marks: Sequence[str], fallback: int) ->
     return columns[fallback]
 
 
+def spelled_number(label: Column) -> Column:
+    """Number of a label, with True and False as 1 and 0; null for any other word."""
+    truth = F.when(label.isin("True", "TRUE", "true"), 1.0).when(label.isin("False", "FALSE", "false"), 0.0)
+    return F.coalesce(truth, label.try_cast("double"))
+
+
 def numeric_label(label: Column) -> Column:
-    """Label as 0 or 1; anything that is not a number counts as 0."""
-    value = F.coalesce(label.try_cast("double"), F.lit(0.0))
-    whole = F.when(F.isnan(value), 0.0).otherwise(value).cast("int")
-    return F.least(F.greatest(whole, F.lit(0)), F.lit(1))
+    """Label as 0 or 1; anything that is not a number counts as 0. Clipped first: no value is too large to cast."""
+    value = F.coalesce(spelled_number(label), F.lit(0.0))
+    return F.least(F.greatest(F.when(F.isnan(value), 0.0).otherwise(value), F.lit(0.0)), F.lit(1.0)).cast("int")
 
 
 def mixed_corpus(df: DataFrame, spam_label: int | None = 0) -> DataFrame:
@@ -55,7 +60,7 @@ def mixed_corpus(df: DataFrame, spam_label: int | None = 0) -> DataFrame:
     rows = df.select(F.col(text).cast("string").alias("text"), F.col(label).cast("string").alias("raw")).dropna()
     # One row of two flags decides how the whole column is read.
     kinds = rows.agg(
-        F.bool_and(F.coalesce(F.col("raw").try_cast("double").isin(0.0, 1.0), F.lit(False))).alias("binary"),
+        F.bool_and(F.coalesce(spelled_number(F.col("raw")).isin(0.0, 1.0), F.lit(False))).alias("binary"),
         F.bool_and(F.col("raw").isin(list(SPELLED_LABELS))).alias("spelled"),
     ).first()
     if not kinds["binary"] and kinds["spelled"]:
@@ -82,10 +87,12 @@ def pick_text_column(df: DataFrame) -> tuple[str, float]:
     return best, widths[best] or 0.0
 
 
-def negative_corpus(df: DataFrame, limit: int = 40_000) -> DataFrame:
-    """A corpus of legitimate mail only; an exact, reproducible sample when it is larger."""
+def negative_corpus(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """A corpus of legitimate mail only; with a ``limit``, an exact, reproducible sample when it is larger."""
     column, _ = pick_text_column(df)
     rows = df.select(F.col(column).cast("string").alias("text")).dropna().withColumn("label", F.lit(0))
+    if limit is None:
+        return rows
     keyed = rows.withColumn("row_id", F.xxhash64("text"))
     return exact_sample(keyed, limit, seed="42").drop("row_id")
 
@@ -144,7 +151,10 @@ def load_split(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def load_diagnostic(spark: SparkSession, path: str, limit: int = 40_000) -> DataFrame:
-    """Train split for diagnostics: rows with text, label and source, sampled to ``limit``."""
+    """Train split for diagnostics: rows with text, label and source.
+
+    ``limit`` bounds the labelled rows that a fit is given (0: all); it is a sample, exact and reproducible.
+    """
     table = spark.read.parquet(path).where("split = 'train'").dropna(subset=["text", "label"])
     if "source" not in table.columns:
         raise ValueError(f"no source column in {path}; prepare the corpus again")

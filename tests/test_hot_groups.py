@@ -101,3 +101,15 @@ def test_dedup_keeps_the_first_row_of_a_hot_text(spark):
     df = spark.createDataFrame(data, "row_id long, text string, label int, source string, source_rank int")
     got = sorted((r.row_id, r.text) for r in cp.dedup_text(df.repartition(5)).collect())
     assert got == [(0, "same old text here"), (900, "another long text")]
+
+
+def test_copies_at_a_cut_are_counted_exactly(spark):
+    rows = [(i, "a", "same text") for i in range(1, 101)] + [(1000 + i, "a", f"t{i}") for i in range(5)]
+    df = spark.createDataFrame(rows, "n int, label string, text string").repartition(3)
+    df = df.withColumn("row_id", F.xxhash64("text"))
+    for wanted in (1, 10, 50, 104, 105, 200):
+        assert cp.exact_sample(df, wanted).count() == min(wanted, 105)
+    split = cp.stratified_split(df)
+    sizes = {r["split"]: r["count"] for r in split.groupBy("split").count().collect()}
+    assert sizes == {"train": 73, "val": 16, "test": 16}
+    assert split.select("n").distinct().count() == 105
