@@ -36,11 +36,16 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
+# Rows are whole texts: the default of 10,000 to a batch would hold tens of megabytes several times over.
+ARROW_ROWS = 1000
 _SHIPPED: set[str] = set()
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application, wherever they run from."""
+def prepare_workers(spark: SparkSession) -> None:
+    """Bound the batches sent to Python, and send it this package, once per application, wherever it runs from."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= ARROW_ROWS:
+        spark.conf.set(rows, str(ARROW_ROWS))
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return

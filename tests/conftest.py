@@ -6,12 +6,12 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from mailrisk.session import local_session, ship_package  # noqa: E402
+from mailrisk.session import local_session, prepare_workers  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = local_session("4", shuffle_partitions=4, memory="4g")
-    ship_package(session)
+    prepare_workers(session)
     yield session
     session.stop()
