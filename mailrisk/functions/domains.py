@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mailrisk import lexicon as lx
-from mailrisk.functions.text import literal_array, text_or_empty
+from mailrisk.functions.text import literal_array, strip_space, text_or_empty
 
 OFFICIAL_DOMAINS = sorted({d for domains in lx.BRANDS.values() for d in domains})
 
@@ -74,7 +74,7 @@ def display_name(address: Column) -> Column:
 
 def canonical_mailbox(address: Column) -> Column:
     """Mailbox identity: no ``+tag``; Gmail ignores dots and has two domain names."""
-    cleaned = F.trim(F.lower(text_or_empty(address)))
+    cleaned = F.lower(strip_space(address))
     parts = F.split(cleaned, "@")
     local = F.substring_index(F.element_at(parts, 1), "+", 1)
     domain = F.when(F.size(parts) > 1, F.element_at(parts, 2)).otherwise("")

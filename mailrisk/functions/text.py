@@ -18,6 +18,11 @@ def text_or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def strip_space(c: Column) -> Column:
+    """Text without white space of any kind at either end; null is empty."""
+    return F.regexp_replace(text_or_empty(c), f"^[{SPACE}]+|[{SPACE}]+$", "")
+
+
 def is_hebrew_term(term: str) -> bool:
     return any("֐" <= ch <= "׿" for ch in term)
 
@@ -99,9 +104,10 @@ def fingerprint(c: Column) -> Column:
     return F.substring(F.sha2(text_or_empty(c), 256), 1, 32)
 
 
-def row_identity(sender: Column, subject: Column) -> Column:
-    """Stable identity of a listed message, independent of where it is shown."""
-    return F.md5(F.concat_ws("|", text_or_empty(sender), text_or_empty(subject)))
+def row_identity(sender: Column, subject: Column, position: Column | None = None) -> Column:
+    """Stable identity of a listed message; ``position`` tells apart rows of one list with the same sender and subject."""
+    parts = [text_or_empty(sender), text_or_empty(subject)]
+    return F.md5(F.concat_ws("|", *parts, *([] if position is None else [position.cast("string")])))
 
 
 def model_input(sender: Column, subject: Column, content: Column) -> Column:

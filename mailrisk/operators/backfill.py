@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 from mailrisk import lexicon as lx
 from mailrisk.functions.senders import extract_sender
 from mailrisk.functions.terms import first_term
-from mailrisk.functions.text import draw, pick, text_or_empty
+from mailrisk.functions.text import draw, pick, strip_space, text_or_empty
 from mailrisk.operators import hot_groups as hg
 from mailrisk.session import materialise
 
 
 def with_extraction(df: DataFrame) -> DataFrame:
     """Add ``sender_extracted`` and ``extract_method``; a sender already present is kept."""
-    present = F.trim(text_or_empty(F.col("sender")))
+    present = strip_space(F.col("sender"))
     has = F.contains(present, F.lit("@"))
     found = extract_sender(df, "text")
     return found.select(

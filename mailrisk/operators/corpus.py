@@ -32,7 +32,7 @@ def recover_senders(df: DataFrame) -> DataFrame:
     found = extract_sender(df, "text")
     return found.withColumn(
         "sender",
-        F.when(F.trim(tx.text_or_empty(F.col("sender"))) == "", F.col("extracted")).otherwise(F.col("sender")),
+        F.when(tx.strip_space(F.col("sender")) == "", F.col("extracted")).otherwise(F.col("sender")),
     ).drop("extracted", "extract_method")
 
 
@@ -173,6 +173,13 @@ def balanced_sample(df: DataFrame, n: int, seed: str = "balanced") -> DataFrame:
     return placed.filter("slot = 0").select(*df.columns)
 
 
+def shuffled(df: DataFrame, seed: str = "shuffle") -> DataFrame:
+    """Add ``position`` from 1: a random order fixed by the seed and ``row_id``. Ordered within hash buckets only."""
+    keyed = df.withColumn("_key", hg.hash_key(seed, F.col("row_id")))
+    placed = hg.sliced_row_number(keyed.withColumn("_all", F.lit(0)), ["_all"], F.substring("_key", 1, 3), ["_key", "row_id"], "position")
+    return placed.select(*df.columns, "position")
+
+
 def translatable(df: DataFrame, low: int = 40, high: int = 4500) -> DataFrame:
     """Messages without Hebrew whose length suits one translation request."""
     return df.filter(~tx.has_hebrew(F.col("text")) & F.length("text").between(low, high))
@@ -180,7 +187,7 @@ def translatable(df: DataFrame, low: int = 40, high: int = 4500) -> DataFrame:
 
 def sender_share(df: DataFrame) -> DataFrame:
     """How many rows carry a sender or Hebrew; ``partial_engine`` warns below one half."""
-    with_sender = F.trim(tx.text_or_empty(F.col("sender"))) != ""
+    with_sender = tx.strip_space(F.col("sender")) != ""
     counted = df.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(with_sender).alias("n_sender"),

@@ -20,7 +20,7 @@ DOMAIN_SHAPE = r"^[A-Za-z0-9.\-]+\.[A-Za-z]{2,}$"
 
 def normalise_entry(raw: Column) -> Column:
     """struct(value, is_domain, error): an address, a domain, or why it is neither."""
-    value = F.regexp_replace(F.lower(F.trim(tx.text_or_empty(raw))), "^@+", "")
+    value = F.regexp_replace(F.lower(tx.strip_space(raw)), "^@+", "")
     has_at = F.contains(value, F.lit("@"))
     error = (
         F.when(value == "", "empty")
@@ -37,7 +37,7 @@ def trusted_pairs(pairs: DataFrame, entries: DataFrame) -> DataFrame:
 
     ``pairs`` should be distinct, so that a sender who writes a lot is matched once.
     """
-    address = F.lower(F.trim(tx.text_or_empty(F.col("sender"))))
+    address = F.lower(tx.strip_space(F.col("sender")))
     by_address = pairs.select("user_id", "sender", address.alias("value")).join(
         entries.filter("NOT is_domain").select("user_id", "value"), ["user_id", "value"], "left_semi"
     )
@@ -64,36 +64,15 @@ def sender_like(sender: Column, value: Column, is_domain: Column) -> Column:
     return F.ilike(sender, pattern)
 
 
-def _address_windows(sender: Column) -> Column:
-    """Every text around an ``@`` that a listed address could be: end of the left, start of the right."""
-    parts = F.split(sender, "@")
-
-    def around(i: Column) -> Column:
-        left = F.regexp_extract(F.get(parts, i), r"([^\s]*)$", 1)
-        right = F.regexp_extract(F.get(parts, i + 1), r"^([a-z0-9.\-]*)", 1)
-        tails = F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(left), F.lit(1))), lambda k: F.substring(left, k, F.length(left))
-        )
-        heads = F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(right), F.lit(1))), lambda k: F.substring(right, F.lit(1), k)
-        )
-        return F.flatten(
-            F.transform(tails, lambda a: F.transform(heads, lambda b: F.concat(a, F.lit("@"), b)))
-        )
-
-    none = F.array().cast("array<string>")
-    found = F.flatten(F.transform(F.sequence(F.lit(0), F.size(parts) - 2), around))
-    return F.array_distinct(F.when(F.size(parts) >= 2, found).otherwise(none))
-
-
-def _domain_heads(sender: Column) -> Column:
-    """Every start of what follows an ``@``: the domain of a listed address is one of them."""
+def _domain_heads(sender: Column, longest: Column) -> Column:
+    """Starts, of at most ``longest`` characters, of what follows each ``@``: the domain of a listed address is one."""
     rights = F.transform(
-        F.slice(F.split(sender, "@"), F.lit(2), F.size(F.split(sender, "@"))), lambda p: F.regexp_extract(p, r"^([a-z0-9.\-]*)", 1)
+        F.slice(F.split(sender, "@"), F.lit(2), F.size(F.split(sender, "@"))),
+        lambda p: F.regexp_extract(p, r"^([a-z0-9.\-]*)", 1),
     )
-    full = F.filter(rights, lambda r: r != "")
     heads = F.transform(
-        full, lambda r: F.transform(F.sequence(F.lit(1), F.length(r)), lambda k: F.substring(r, F.lit(1), k))
+        F.filter(rights, lambda r: r != ""),
+        lambda r: F.transform(F.sequence(F.lit(1), F.least(F.length(r), longest)), lambda k: F.substring(r, F.lit(1), k)),
     )
     return F.array_distinct(F.flatten(heads))
 
@@ -101,49 +80,47 @@ def _domain_heads(sender: Column) -> Column:
 def matched_senders(pairs: DataFrame, entries: DataFrame) -> DataFrame:
     """(user_id, value, is_domain, sender): stored senders a list entry covers.
 
-    A domain equals what follows the last ``@``; an address is contained in the sender, found by
-    equality on the address-shaped parts of each distinct sender. Entries with a wildcard character
-    are compared by pattern, with those distinct senders of their user that carry their domain.
+    A domain equals what follows the last ``@``. An address is contained in the sender: its domain starts what
+    follows some ``@`` of the sender, which is an equality join, and the whole is compared where that
+    holds. A sender has as many such starts as characters, but no longer ones than the longest listed domain.
     """
-    lowered = pairs.select("user_id", "sender", F.lower("sender").alias("_s"))
-    wild = F.col("value").rlike("[_%]")
+    lowered = pairs.select("user_id", "sender", F.lower("sender").alias("_s")).filter(F.contains("_s", F.lit("@")))
     wanted = entries.select("user_id", "value", "is_domain").distinct()
-    by_domain = lowered.filter(F.contains("_s", F.lit("@"))).select(
-        "user_id", "sender", F.substring_index("_s", "@", -1).alias("value")
-    ).join(wanted.filter("is_domain"), ["user_id", "value"])
-    by_address = lowered.select(
-        "user_id", "sender", F.explode(_address_windows(F.col("_s"))).alias("value")
-    ).join(wanted.filter(~F.col("is_domain") & ~wild), ["user_id", "value"])
-    patterns = wanted.filter(~F.col("is_domain") & wild).withColumn("_head", F.substring_index("value", "@", -1))
-    by_pattern = (
-        lowered.select("user_id", "sender", F.explode(_domain_heads(F.col("_s"))).alias("_head"))
-        .join(patterns, ["user_id", "_head"])
-        .filter(sender_like(F.col("sender"), F.col("value"), F.col("is_domain")))
+    by_domain = lowered.select("user_id", "sender", F.substring_index("_s", "@", -1).alias("value")).join(
+        wanted.filter("is_domain"), ["user_id", "value"]
     )
-    columns = ["user_id", "value", "is_domain", "sender"]
-    return (
-        by_domain.select(columns).unionByName(by_address.select(columns)).unionByName(by_pattern.select(columns))
+    addresses = wanted.filter(~F.col("is_domain")).withColumn("_head", F.substring_index("value", "@", -1))
+    longest = F.broadcast(addresses.agg(F.max(F.length("_head")).alias("_longest")))  # one row
+    wild = F.col("value").rlike("[_%]")
+    holds = F.when(wild, sender_like(F.col("sender"), F.col("value"), F.col("is_domain"))).otherwise(
+        F.contains("_s", F.col("value"))
+    )
+    by_address = (
+        lowered.crossJoin(longest.filter("_longest IS NOT NULL"))
+        .select("user_id", "sender", "_s", F.explode(_domain_heads(F.col("_s"), F.col("_longest"))).alias("_head"))
+        .join(addresses, ["user_id", "_head"])
+        .filter(holds)
     )
+    columns = ["user_id", "value", "is_domain", "sender"]
+    return by_domain.select(columns).unionByName(by_address.select(columns).distinct())
 
 
 def rule_evidence(emails: DataFrame, entries: DataFrame, cfg: ScoringConfig = DEFAULT) -> DataFrame:
     """Worst rule score among the 50 newest stored messages of each entry's senders.
 
-    Messages are cut to 50 per entry in every task before they are shuffled, then scored again
-    from their stored text, not from the stored score.
+    Ids and dates are ranked first, each task passing on 50 per entry; texts are fetched for the messages that
+    remain, and each of them is scored once, from its stored text, however many entries name it.
     """
     pairs = emails.select("user_id", "sender").distinct()
     hits = matched_senders(pairs, entries)
-    found = emails.select("user_id", "sender", "subject", "content", "scanned_at", "email_id").join(
-        hits, ["user_id", "sender"]
-    )
+    found = emails.select("user_id", "sender", "scanned_at", "email_id").join(hits, ["user_id", "sender"])
     newest = W.partitionBy("user_id", "value").orderBy(F.desc("scanned_at"), F.desc("email_id"))
-    recent = found.withColumn("_nth", F.row_number().over(newest)).filter(
-        F.col("_nth") <= cfg.trust_evidence_window
-    )
-    scored = mr.score_mail(recent, cfg)
+    recent = found.withColumn("_nth", F.row_number().over(newest)).filter(F.col("_nth") <= cfg.trust_evidence_window)
+    recent = materialise(recent.select("user_id", "value", "is_domain", "email_id", "_nth"), "trust-recent")
+    needed = emails.join(recent.select("email_id").distinct(), "email_id", "left_semi")
+    scored = mr.score_mail(needed, cfg).select("email_id", "rule_score", "rule_indicators")
     worst = F.max_by("rule_indicators", F.struct("rule_score", -F.col("_nth")))
-    return scored.groupBy("user_id", "value", "is_domain").agg(
+    return recent.join(scored, "email_id").groupBy("user_id", "value", "is_domain").agg(
         F.max("rule_score").alias("evidence"),
         F.when(F.max("rule_score") > 0, worst).otherwise(F.array().cast("array<string>")).alias("signs"),
         F.count(F.lit(1)).alias("n_examined"),
@@ -192,17 +169,30 @@ def add_entries(
         .otherwise("full")
     )
     decided = judged.join(fits, ["user_id", "value"], "left").select(
-        "user_id", "value", "is_domain", outcome.alias("outcome"), F.coalesce("evidence", F.lit(0)).alias("evidence")
+        "user_id", "value", "is_domain", outcome.alias("outcome"), F.coalesce("evidence", F.lit(0)).alias("evidence"),
+        "first_at",
     )
-    broken = parsed.filter("error IS NOT NULL").select(
-        "user_id", "value", "is_domain", F.col("error").alias("outcome"), F.lit(0).alias("evidence")
+    broken = parsed.filter("error IS NOT NULL").groupBy("user_id", "value", "is_domain", F.col("error").alias("outcome")).agg(
+        F.lit(0).alias("evidence"), F.min("requested_at").alias("first_at")
     )
-    return decided.unionByName(broken.distinct())
+    return decided.unionByName(broken)
 
 
 def apply_additions(entries: DataFrame, outcomes: DataFrame) -> DataFrame:
-    added = outcomes.filter("outcome = 'added'").select("user_id", "value", "is_domain")
-    return entries.select("user_id", "value", "is_domain").unionByName(added)
+    """The lists with what was added; entries that carry ``added_at`` keep it, new ones get their request's."""
+    columns = [c for c in ("user_id", "value", "is_domain", "added_at") if c in entries.columns]
+    added = outcomes.filter("outcome = 'added'").withColumnRenamed("first_at", "added_at").select(*columns)
+    return entries.select(*columns).unionByName(added)
+
+
+def newest_first(entries: DataFrame) -> DataFrame:
+    """Per user the list of known senders, newest entry first; ties by the entry. At most the cap of a list."""
+    entry = F.struct((-F.col("added_at")).alias("age"), "value", "is_domain", "added_at")
+    listed = F.array_sort(F.collect_list(entry))
+    return entries.groupBy("user_id").agg(
+        F.transform(listed, lambda e: e["value"]).alias("values"),
+        F.transform(listed, lambda e: e["added_at"]).alias("added_at"),
+    )
 
 
 def remove_entries(entries: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -216,6 +206,16 @@ def remove_entries(entries: DataFrame, requests: DataFrame) -> tuple[DataFrame,
     return left, outcome
 
 
+def remove_and_invalidate(
+    entries: DataFrame, requests: DataFrame, emails: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``remove_entries``, and the stored mail with the version cleared where a removed entry had covered the sender."""
+    left, outcome = remove_entries(entries, requests)
+    removed = outcome.filter("outcome = 'removed'").join(entries.select("user_id", "value", "is_domain"), ["user_id", "value"])
+    cleared, _ = invalidate(emails, removed.select("user_id", "value", "is_domain"))
+    return left, outcome, cleared
+
+
 def invalidate(emails: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Clear the version of stored verdicts the entries touch; and how many each entry touched."""
     pairs = emails.select("user_id", "sender").distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailrisk import lexicon as lx
-from mailrisk.functions.text import SPACE, any_term, literal_array, text_or_empty
+from mailrisk.functions.text import any_term, literal_array, strip_space, text_or_empty
 
 URL_POINTS = ["u_http", "u_ip", "u_shortener", "u_tld", "u_long", "u_dots", "u_homoglyph", "u_brand",
               "u_path"]
@@ -25,7 +25,7 @@ def _foreign_brand(host: Column) -> Column:
 
 def score_urls(df: DataFrame, url: str = "url") -> DataFrame:
     """Add ``url_scored``, points per check, ``url_score``, level, reasons, advice and flag."""
-    trimmed = F.regexp_replace(text_or_empty(F.col(url)), f"^[{SPACE}]+|[{SPACE}]+$", "")
+    trimmed = strip_space(F.col(url))
     full = F.when(trimmed.rlike("^https?://"), trimmed).otherwise(F.concat(F.lit("http://"), trimmed))
     authority = F.regexp_extract("_url", "^https?://([^/?#]*)", 1)
     path = F.regexp_extract("_url", "^https?://[^/?#]*([^?#]*)", 1)

@@ -97,7 +97,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = (
         F.when(kind == 0, F.col("sender"))
         .when(kind == 1, F.concat(F.lit("@"), domain))
-        .when(kind == 2, F.concat(F.lit("  "), F.upper("sender"), F.lit(" ")))
+        .when(kind == 2, F.concat(F.lit("\t "), F.upper("sender"), F.lit(" \n")))
         .when(kind == 3, domain)
         .otherwise(F.concat(F.lit("not an address "), F.col("sender")))
     )
@@ -121,8 +121,8 @@ def stored_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DOM = "string_split(sender, '@')[-1]"
 REQUESTS = f"""
 RQ AS (SELECT user_id, at_epoch AS requested_at, CASE {ob.draw('tk', 'msg_id')} % {SHAPES} WHEN 0 THEN sender WHEN 1 THEN '@' || {_DOM}
-    WHEN 2 THEN '  ' || upper(sender) || ' ' WHEN 3 THEN {_DOM} ELSE 'not an address ' || sender END AS raw FROM M),
-N0 AS (SELECT *, ltrim(lower(trim(raw)), '@') AS v FROM RQ),
+    WHEN 2 THEN chr(9) || ' ' || upper(sender) || ' ' || chr(10) WHEN 3 THEN {_DOM} ELSE 'not an address ' || sender END AS raw FROM M),
+N0 AS (SELECT *, ltrim(lower(regexp_replace(raw, '^[{ob.SP}]+|[{ob.SP}]+$', '', 'g')), '@') AS v FROM RQ),
 NM AS (SELECT user_id, requested_at, raw, v AS "value", v <> '' AND NOT contains(v, '@') AS is_domain,
   CASE WHEN v = '' THEN 'empty' WHEN contains(v, '@') THEN CASE WHEN regexp_matches(v, '^[^@\\s]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{{2,}}$') THEN '' ELSE 'bad_address' END
     WHEN NOT regexp_matches(v, '^[A-Za-z0-9.\\-]+\\.[A-Za-z]{{2,}}$') THEN 'bad_domain'
@@ -172,7 +172,7 @@ SELECT user_id, "value", is_domain, evidence, CASE WHEN size >= 500 THEN 'full'
   WHEN size + pos <= 500 THEN 'added' ELSE 'full' END AS outcome FROM PO
 UNION ALL SELECT DISTINCT user_id, "value", is_domain, 0, error FROM NM WHERE error <> ''""")
 def trust_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tr.add_entries(requests(spark, sf_dir), listed(spark, sf_dir), stored_mail(spark, sf_dir))
+    return tr.add_entries(requests(spark, sf_dir), listed(spark, sf_dir), stored_mail(spark, sf_dir)).drop("first_at")
 
 
 @register("trust_invalidate", f"""WITH {ob.MAIL}, {REQUESTS}
@@ -185,12 +185,27 @@ def trust_invalidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(F.broadcast(total))
 
 
-@register("trust_remove", f"""WITH {ob.MAIL}, {REQUESTS}, AK AS (SELECT DISTINCT user_id, "value" FROM NM WHERE user_id % 3 = 0)
+@register("trust_remove", f"""WITH {ob.MAIL}, {REQUESTS}, AK AS (SELECT DISTINCT user_id, "value" FROM NM WHERE user_id % 3 = 0),
+RM AS (SELECT LI.* FROM LI JOIN AK ON AK.user_id = LI.user_id AND AK."value" = LI."value")
 SELECT AK.user_id, AK."value", CASE WHEN LI.user_id IS NULL THEN 'not_listed' ELSE 'removed' END AS outcome,
-  (SELECT count(*) FROM LI WHERE user_id % 3 <> 0 OR "value" NOT IN (SELECT "value" FROM AK a WHERE a.user_id = LI.user_id)) AS n_left
+  (SELECT count(*) FROM LI WHERE user_id % 3 <> 0 OR "value" NOT IN (SELECT "value" FROM AK a WHERE a.user_id = LI.user_id)) AS n_left,
+  (SELECT count(*) FROM M m WHERE EXISTS (SELECT 1 FROM RM l WHERE l.user_id = m.user_id AND {_MATCH})) AS n_cleared
 FROM AK LEFT JOIN LI ON LI.user_id = AK.user_id AND LI."value" = AK."value\"""")
 def trust_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users whose number divides by three take back all their requests."""
+    """Users whose number divides by three take back all their requests; what those covered is scored again."""
     asked = requests(spark, sf_dir).filter("user_id % 3 = 0")
-    left, outcome = tr.remove_entries(listed(spark, sf_dir), asked)
-    return outcome.join(F.broadcast(left.agg(F.count(F.lit(1)).alias("n_left"))))
+    left, outcome, cleared = tr.remove_and_invalidate(listed(spark, sf_dir), asked, stored_mail(spark, sf_dir))
+    totals = left.agg(F.count(F.lit(1)).alias("n_left")), cleared.agg(F.count_if(F.col("scoring_version") == "").alias("n_cleared"))
+    return outcome.join(F.broadcast(totals[0])).join(F.broadcast(totals[1]))  # one row each
+
+
+@register("trust_lists", f"""WITH {ob.MAIL}, {REQUESTS},
+LD AS (SELECT user_id, "value", min(requested_at) AS added_at FROM NM WHERE error = '' AND user_id % 2 = 0 GROUP BY ALL)
+SELECT user_id, list("value" ORDER BY added_at DESC, "value") AS "values", list(added_at ORDER BY added_at DESC, "value") AS added_at
+FROM LD GROUP BY user_id""")
+def trust_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lists as their owner sees them: newest entry first."""
+    rows = requests(spark, sf_dir).select("user_id", "requested_at", tr.normalise_entry(F.col("raw")).alias("n"))
+    valid = rows.select("user_id", "requested_at", "n.*").filter("error IS NULL AND user_id % 2 = 0")
+    dated = valid.groupBy("user_id", "value", "is_domain").agg(F.min("requested_at").alias("added_at"))
+    return tr.newest_first(dated)

@@ -80,8 +80,8 @@ def stream_user_state(spark: SparkSession, sf_dir: str) -> DataFrame:
         score.alias("risk_score"), (score >= CFG.threshold).alias("is_phishing"),
     )
     folder = _folder(spark, "user-state")
-    last = ms.run_to_end(ms.per_batch(verdicts, ms.user_state_step(f"{folder}/out"), f"{folder}/checkpoint"))
-    return ms.read_user_state(spark, f"{folder}/out", last)
+    ms.run_to_end(ms.per_batch(verdicts, ms.user_state_step(f"{folder}/out"), f"{folder}/checkpoint"))
+    return ms.read_user_state(spark, f"{folder}/out", ms.newest_version(spark, f"{folder}/out", "state"))
 
 
 @register("stream_verdict_store", f"""WITH RECURSIVE {walk_sql('0')}
@@ -90,6 +90,6 @@ FROM WALK QUALIFY row_number() OVER (PARTITION BY msg_key ORDER BY rn DESC) = 1"
 def stream_verdict_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark, "store")
     step = ms.store_step(spark, f"{folder}/out", model_ready=False)
-    last = ms.run_to_end(ms.per_batch(_documents(spark, sf_dir), step, f"{folder}/checkpoint"))
-    store = st.read_version(spark, f"{folder}/out", last)
+    ms.run_to_end(ms.per_batch(_documents(spark, sf_dir), step, f"{folder}/checkpoint"))
+    store = st.read_version(spark, f"{folder}/out", ms.newest_version(spark, f"{folder}/out", "store"))
     return store.select("msg_key", "email_id", "content_hash", "risk_score", "is_phishing", "scoring_version")

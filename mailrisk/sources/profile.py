@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailrisk import lexicon as lx
-from mailrisk.functions.text import text_or_empty
+from mailrisk.functions.text import strip_space, text_or_empty
 
 
 def looks_like(name: str, hints: Sequence[str]) -> bool:
@@ -18,7 +18,7 @@ def looks_like(name: str, hints: Sequence[str]) -> bool:
 
 def surviving_senders(prepared: DataFrame) -> DataFrame:
     """Rows and rows with a sender per source of the prepared corpus."""
-    has = F.trim(text_or_empty(F.col("sender"))) != "" if "sender" in prepared.columns else F.lit(False)
+    has = strip_space(F.col("sender")) != "" if "sender" in prepared.columns else F.lit(False)
     return prepared.groupBy("source").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_if(has).alias("n_kept")
     )

@@ -115,9 +115,20 @@ def read_user_state(spark: SparkSession, folder: str, number: int) -> DataFrame:
     return spark.read.schema(ac.USER_STATE).parquet(f"{folder}/state-{number:012d}")
 
 
-def run_to_end(writer: DataStreamWriter) -> int:
-    """Process everything available; number of the last micro-batch, -1 if there was none."""
-    query = writer.start()
-    query.awaitTermination()
-    last = query.lastProgress
-    return -1 if last is None else int(last["batchId"])
+def run_to_end(writer: DataStreamWriter) -> None:
+    """Process everything available."""
+    writer.start().awaitTermination()
+
+
+def newest_version(spark: SparkSession, folder: str, prefix: str) -> int:
+    """Highest number among the complete folders ``prefix-<number>``, -1 if there is none.
+
+    Read from the folder itself, wherever it lies: a restarted stream that finds nothing new reports no batch.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return -1
+    names = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith(f"{prefix}-")]
+    done = [p.getName() for p in names if fs.exists(p.suffix("/_SUCCESS"))]
+    return max((int(n.rpartition("-")[2]) for n in done), default=-1)

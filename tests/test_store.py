@@ -84,8 +84,12 @@ def test_stream_equals_batch(spark, tmp_path):
     for part in range(3):
         spark.createDataFrame(rows[part * 20:(part + 1) * 20], SCHEMA).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
     stream = ms.read_stream(spark, str(tmp_path / "in"), files_per_batch=1)
-    last = ms.run_to_end(ms.per_batch(stream, ms.store_step(spark, str(tmp_path / "out"), False), str(tmp_path / "cp")))
-    assert last == 2
+    run = ms.per_batch(stream, ms.store_step(spark, str(tmp_path / "out"), False), str(tmp_path / "cp"))
+    ms.run_to_end(run)
+    last = ms.newest_version(spark, str(tmp_path / "out"), "store")
+    assert last == 2 and ms.newest_version(spark, str(tmp_path / "none"), "store") == -1
+    ms.run_to_end(run)  # a restart that finds nothing new
+    assert ms.newest_version(spark, str(tmp_path / "out"), "store") == 2
     got = {(r.user_id, r.sender): r.risk_score for r in st.read_version(spark, str(tmp_path / "out"), last).collect()}
     df = spark.createDataFrame(rows, SCHEMA)
     score = {r.msg_id: r.risk_score for r in ms.score_stream(df).collect()}
@@ -108,7 +112,7 @@ def test_user_state_stream_equals_batch(spark, tmp_path):
 
 def test_normalise_entries(spark):
     raws = {
-        "  Ann@B.com ": ("ann@b.com", False, None), "@Studio.org": ("studio.org", True, None), "": ("", False, "empty"),
+        "  Ann@B.com ": ("ann@b.com", False, None), "\tfoo@bar.com\n": ("foo@bar.com", False, None), "@Studio.org": ("studio.org", True, None), "": ("", False, "empty"),
         "a@b": ("a@b", False, "bad_address"), "nodots": ("nodots", True, "bad_domain"),
         "gmail.com": ("gmail.com", True, "free_provider"), "my.friend@gmail.com": ("my.friend@gmail.com", False, None),
     }
@@ -140,6 +144,18 @@ def test_trust_requests_are_refused_on_evidence_and_idempotent(spark):
     cleared, counts = tr.invalidate(emails, entries.unionByName(wild))
     assert {r.email_id for r in cleared.collect() if r.scoring_version == ""} == {2, 4, 5}
     assert {r.value: r.n_rescored for r in counts.collect()} == {"dance-studio.com": 1, "a_b@wild.org": 2}
+    left, outcome, cleared = tr.remove_and_invalidate(entries, asked, emails)
+    assert left.count() == 0 and {r.value: r.outcome for r in outcome.collect()}["dance-studio.com"] == "removed"
+    assert {r.email_id for r in cleared.collect() if r.scoring_version == ""} == {2}
+
+
+def test_a_very_long_sender_is_matched(spark):
+    sender = "x" * 5000 + "@a.org" + "y" * 5000 + "@end.com"
+    pairs = spark.createDataFrame([(1, sender), (1, "q@b.org")], "user_id long, sender string")
+    entries = spark.createDataFrame(
+        [(1, "x@a.org", False), (1, "end.com", True), (1, "q@c.org", False)], "user_id long, value string, is_domain boolean"
+    )
+    assert {(r.value, r.sender[:1]) for r in tr.matched_senders(pairs, entries).collect()} == {("x@a.org", "x"), ("end.com", "x")}
 
 
 def test_trust_covers_subdomains_of_its_own_user_only(spark):
