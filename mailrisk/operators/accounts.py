@@ -318,7 +318,6 @@ def system_kpis(users: DataFrame, emails: DataFrame) -> DataFrame:
     return mail.join(F.broadcast(people)).select(
         "*",
         F.when(F.col("total_users") > 0, F.format_string("%.1f%%", share)).otherwise("0.0%").alias("active_share"),
-        F.lit(0.3).alias("avg_response_seconds"),
     )
 
 

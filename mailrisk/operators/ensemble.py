@@ -69,7 +69,8 @@ def with_model_score(df: DataFrame, scorer, cfg: ScoringConfig = DEFAULT) -> Dat
     ``list[str] -> list[float in 0..1]``; the factory runs once per Python worker.
     """
     if isinstance(scorer, Column):
-        return df.withColumn("model_score", scorer)
+        return df.withColumn("model_score", round_half_even_exact(scorer.cast("double"), 2))
+
     @F.pandas_udf("double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         score = scorer()
@@ -149,7 +150,18 @@ def with_variants(df: DataFrame, cfg: ScoringConfig = DEFAULT) -> DataFrame:
     ).drop("_d")
 
 
-def formula_drift(df: DataFrame, tolerance: float = 1e-9) -> DataFrame:
-    """Rows on which the mirrored formula differs from the shipped verdict score; must be none."""
-    gap = F.abs(F.col("v_ensemble") - F.col("final_score"))
+def mirrored_score(cfg: ScoringConfig = DEFAULT) -> Column:
+    """The verdict formula written out a second time, from its definition, without ``combine`` or ``damping``."""
+    d = (
+        f"CASE WHEN coalesce(sender, '') = '' THEN 1D WHEN transactional THEN {cfg.transactional_damping}D "
+        f"WHEN trusted_sender AND NOT asks_credentials THEN {cfg.trust_damping}D ELSE 1D END"
+    )
+    whole = f"least(100D, greatest(CAST(rule_score AS DOUBLE), model_score * ({d}) + {cfg.rule_boost}D * rule_score))"
+    held = f"CASE WHEN rule_score >= {cfg.corroboration_floor} THEN {whole} ELSE least({whole}, {cfg.ceiling}D) END"
+    return F.expr(f"CASE WHEN model_score IS NULL THEN CAST(rule_score AS DOUBLE) ELSE {held} END")
+
+
+def formula_drift(df: DataFrame, cfg: ScoringConfig = DEFAULT, tolerance: float = 1e-9) -> DataFrame:
+    """Verdicts on which the mirrored formula differs from the shipped score; must be none."""
+    gap = F.abs(mirrored_score(cfg) - F.col("final_score"))
     return df.agg(F.count_if(gap > tolerance).alias("drifted"), F.count(F.lit(1)).alias("n_rows"))

@@ -222,12 +222,12 @@ GRID_THRESHOLDS = (20, 95)
 def calibration_grid(df: DataFrame) -> DataFrame:
     """Confusion and metrics for every boost, damping and threshold.
 
-    Rows are folded into cells of equal (model, rules, trusted, label) first; model scores have two
-    decimals and rule scores are whole, so the number of cells does not grow with the data. Mail
+    Rows are folded into cells of equal (model, rules, trusted, label) first. Model scores enter with two
+    decimals (``ensemble.with_model_score``) and rule scores are whole, so the number of cells does not grow with
+    the data. Mail
     from unknown senders does not depend on the damping and is expanded after the histogram.
     """
-    model = F.round("model_score", 2)
-    cells = df.groupBy(model.alias("m"), "rule_score", "trusted_sender", "label").agg(F.count(F.lit(1)).alias("n"))
+    cells = df.groupBy(F.col("model_score").alias("m"), "rule_score", "trusted_sender", "label").agg(F.count(F.lit(1)).alias("n"))
     boosts = F.array(*[F.lit(b) for b in BOOSTS])
     dampings = F.array(*[F.lit(d) for d in DAMPINGS])
     undamped = F.array(F.lit(None).cast("double"))
@@ -313,10 +313,17 @@ def mcnemar(df: DataFrame, base: Column, others: dict[str, Column]) -> DataFrame
     return counts.withColumn("chi2", F.when(n > 0, gap * gap / n).otherwise(0.0))
 
 
+CRITICAL_CHI2 = 3.841458820694124  # fixed value: 95 % point of a chi-square with one degree of freedom
+
+
 def with_p_value(tests: DataFrame) -> DataFrame:
-    """p of a chi-square with one degree of freedom, on the handful of result rows."""
-    survival = F.udf(lambda x: math.erfc(math.sqrt(x / 2)) if x > 0 else 1.0, "double")
-    return tests.withColumn("p", survival("chi2")).withColumn("significant", F.col("p") < 0.05)
+    """p of a chi-square with one degree of freedom; ``significant`` compares the statistic itself."""
+
+    @F.pandas_udf("double")
+    def survival(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: math.erfc(math.sqrt(v / 2)) if v > 0 else 1.0)
+
+    return tests.withColumn("p", survival("chi2")).withColumn("significant", F.col("chi2") > CRITICAL_CHI2)
 
 
 def bootstrap_interval(df: DataFrame, correct: dict[str, Column], rounds: int = 2000, seed: int = 0) -> DataFrame:
@@ -351,18 +358,28 @@ def bootstrap_interval(df: DataFrame, correct: dict[str, Column], rounds: int =
     )
 
 
-def exact_auc(df: DataFrame, score: str, label: str = "label") -> DataFrame:
-    """Area under the ROC curve with ties counted half, over scores of two decimals (0..100)."""
-    steps = df.groupBy(F.round(F.col(score) * 100).cast("bigint").alias("s")).agg(
+def exact_auc(df: DataFrame, score: str, label: str = "label", per_unit: int = 1000) -> DataFrame:
+    """Area under the ROC curve with ties counted half, over the scores as they are.
+
+    Equal scores are folded first. Scores are ordered within steps of 1/``per_unit``, which spread over the tasks;
+    only the counts of the steps are summed across them. Null scores are left out.
+    """
+    values = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
-    )
-    below = _all().orderBy("s").rowsBetween(W.unboundedPreceding, -1)
-    twice = F.col("pos") * (2 * F.coalesce(F.sum("neg").over(below), F.lit(0)) + F.col("neg"))
-    summed = steps.select("pos", "neg", twice.alias("t")).agg(
+    ).withColumn("step", F.floor(F.col("s") * per_unit))
+    steps = values.groupBy("step").agg(F.sum("neg").alias("_n"))
+    before = _all().orderBy("step").rowsBetween(W.unboundedPreceding, -1)
+    lower = steps.select(F.col("step").alias("_step"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_lower"))
+    within = W.partitionBy("step").orderBy("s").rowsBetween(W.unboundedPreceding, -1)
+    placed = values.withColumn("_near", F.coalesce(F.sum("neg").over(within), F.lit(0))).join(
+        lower, F.col("step") == F.col("_step")
+    )
+    twice = F.col("pos") * (2 * (F.col("_lower") + F.col("_near")) + F.col("neg"))
+    summed = placed.select("pos", "neg", twice.alias("t")).agg(
         F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum("t").alias("_t")
     )
     area = F.col("_t") / (F.lit(2.0) * F.col("n_pos") * F.col("n_neg"))
-    return summed.select("n_pos", "n_neg", area.alias("auc"))
+    return summed.select("n_pos", "n_neg", F.when(F.col("n_pos") * F.col("n_neg") > 0, area).alias("auc"))
 
 
 def target_gate(metrics: DataFrame, f1: float = 0.88, fnr: float = 0.05, auc: float = 0.92) -> DataFrame:
@@ -434,7 +451,7 @@ def errors(df: DataFrame, cfg: ScoringConfig = DEFAULT) -> DataFrame:
     narrow facts are written once; a filter on them must not send the scoring over the texts again.
     """
     wrong = (F.col("v_ensemble") >= cfg.threshold) != (F.col("label") == 1)
-    has_sender = F.trim(tx.text_or_empty(F.col("sender"))) != ""
+    has_sender = tx.strip_space(F.col("sender")) != ""
     one = tx.round_half_even_exact
     facts = df.select(
         "msg_id",

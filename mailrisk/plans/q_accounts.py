@@ -167,7 +167,7 @@ def user_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("system_kpis", f"""WITH {BASE} SELECT (SELECT count(*) FROM E) AS total_emails, (SELECT count(*) FROM E WHERE is_phishing) AS phishing_blocked,
   count(*) AS total_users, count(*) FILTER (WHERE daily_active) AS active_users,
-  printf('%.1f%%', count(*) FILTER (WHERE daily_active) / count(*)::DOUBLE * 100) AS active_share, 3e-1 AS avg_response_seconds FROM U""")
+  printf('%.1f%%', count(*) FILTER (WHERE daily_active) / count(*)::DOUBLE * 100) AS active_share FROM U""")
 def system_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ac.system_kpis(users(spark, sf_dir), emails(spark, sf_dir))
 

@@ -13,7 +13,7 @@ from mailrisk.operators import metrics as mt
 from mailrisk.plans import oracle_base as ob
 from mailrisk.plans.mail_view import corpus_view, with_label
 from mailrisk.plans.q_scoring import scored_mail
-from mailrisk.plans.registry import register
+from mailrisk.plans.registry import ORACLES, register
 from mailrisk.session import materialise
 
 BASE_RATE, TARGET = 0.01, 0.80
@@ -231,17 +231,32 @@ def mcnemar_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mt.mcnemar(scores(spark, sf_dir), base, others)
 
 
-@register("mcnemar_test")
+@register("mcnemar_test", f"""SELECT *, chi2 > {mt.CRITICAL_CHI2!r}::DOUBLE AS significant, true AS p_agrees FROM ({ORACLES['mcnemar_counts']})""")
 def mcnemar_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the p-value; its error function is not available in SQL."""
+    """With the decision at 5 %, and whether the p-value agrees with it; p itself needs a function SQL lacks."""
     base, others = _others()
-    return mt.with_p_value(mt.mcnemar(scores(spark, sf_dir), base, others))
+    tested = mt.with_p_value(mt.mcnemar(scores(spark, sf_dir), base, others))
+    return tested.withColumn("p_agrees", (F.col("p") < 0.05) == F.col("significant")).drop("p")
 
 
-@register("bootstrap_ci")
+@register("bootstrap_ci", f"""WITH {V}, N AS (SELECT unnest([
+  {{'c': 'the system', 'ok': (v_ensemble >= 70) = (label = 1)}}, {{'c': 'model alone', 'ok': (v_model >= 70) = (label = 1)}},
+  {{'c': 'rules alone', 'ok': (v_rules >= 70) = (label = 1)}}, {{'c': 'always safe', 'ok': label <> 1}}]) AS x FROM VL)
+SELECT x.c AS configuration, count(*) AS n_rows, count(*) FILTER (WHERE x.ok) / count(*)::DOUBLE AS accuracy,
+  true AS holds_accuracy, true AS plausible_width FROM N GROUP BY 1""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Resampled intervals depend on the random generator, so there is no SQL twin."""
-    return mt.bootstrap_interval(scores(spark, sf_dir), correctness())
+    """Resampled ends depend on the random generator; SQL checks what they must satisfy.
+
+    The interval holds the accuracy and is 0.6 to 1.5 times as wide as the normal approximation.
+    """
+    found = mt.bootstrap_interval(scores(spark, sf_dir), correctness())
+    normal = 2 * 1.96 * F.sqrt(F.col("accuracy") * (1 - F.col("accuracy")) / F.col("n_rows"))
+    width = F.col("ci_high") - F.col("ci_low")
+    return found.select(
+        "configuration", "n_rows", "accuracy",
+        F.col("accuracy").between(F.col("ci_low"), F.col("ci_high")).alias("holds_accuracy"),
+        ((normal == 0) | width.between(0.6 * normal, 1.5 * normal)).alias("plausible_width"),
+    )
 
 
 _SNIP = "trim(regexp_replace({c}, '[" + ob.SP + "]+', ' ', 'g'))"
@@ -342,13 +357,16 @@ def damping_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mt.damping_report(scores(spark, sf_dir))
 
 
-@register("formula_drift", f"WITH {ob.MAIL} SELECT 0 AS drifted, count(*) AS n_rows FROM M")
+@register("formula_drift", f"""WITH {ob.MAIL}, {ob.scored()}, E1 AS (SELECT *, {ob.DAMPING} AS d FROM S),
+E2 AS (SELECT {ob.combined('d')} AS shipped, least(greatest(model_score * d + rule_score / 2e0, rule_score::DOUBLE),
+  CASE WHEN rule_score < {CFG.corroboration_floor} THEN {CFG.ceiling}e0 ELSE 1e2 END) AS mirrored FROM E1)
+SELECT count(*) FILTER (WHERE abs(shipped - mirrored) > 1e-9) AS drifted, count(*) AS n_rows FROM E2""")
 def formula_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mirrored formula of the ablation against the shipped verdict, on every message."""
     from mailrisk.plans.mail_view import mail_view
 
     shipped = en.score_ensemble(mail_view(spark, sf_dir))
-    return en.formula_drift(en.with_variants(shipped.drop("damping")))
+    return en.formula_drift(shipped)
 
 
 @register("corpus_guards", f"""WITH {ob.CORPUS} SELECT count(DISTINCT source) AS n_sources, count(DISTINCT label) AS n_labels,

@@ -27,12 +27,13 @@ from mailrisk.sources import sinks as sk
 @register("sender_facts", f"""WITH {ob.MAIL}, T AS (SELECT *, lower(trim(sender)) AS s, split_part(lower(trim(sender)), '@', 1) AS loc, split_part(lower(trim(sender)), '@', 2) AS dm FROM M)
 SELECT msg_id, {ob.sender_domain('sender')} AS domain, split_part(sender, '@', 1) AS display_name,
   CASE WHEN dm IN ('gmail.com', 'googlemail.com') THEN replace(split_part(loc, '+', 1), '.', '') || '@gmail.com' ELSE split_part(loc, '+', 1) || '@' || dm END AS mailbox,
-  md5(sender || '|' || subject) AS row_identity FROM T""")
+  md5(sender || '|' || subject) AS row_identity, md5(sender || '|' || subject || '|' || msg_id % 50) AS placed_identity FROM T""")
 def sender_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     sender = F.col("sender")
     return mail_view(spark, sf_dir).select(
         "msg_id", dm.sender_domain(sender).alias("domain"), dm.display_name(sender).alias("display_name"),
         dm.canonical_mailbox(sender).alias("mailbox"), tx.row_identity(sender, F.col("subject")).alias("row_identity"),
+        tx.row_identity(sender, F.col("subject"), F.col("msg_id") % 50).alias("placed_identity"),
     )
 
 
