@@ -3,8 +3,8 @@
 Two language models, toxic and ordinary, are compared word by word. Following Kneser and Ney, an
 expression is counted by the contexts it occurs in, here the documents, not by its repetitions; a discount
 is taken from every count, and the mass it frees goes to the next lower order. Word pairs back off to
-words of the class, and words to a distribution shared by both classes and counted over the whole
-corpus, labelled or not. An expression too rare for a class thus has the same share in both models, and
+words of the class, and words, with one weight in both models, to a distribution shared by the classes and counted
+over the whole corpus, labelled or not. An expression too rare for either class thus has the same share in both, and
 says nothing.
 
 The log-likelihood ratio is normalised by length: over the whole text, and over its best passages of 1, 4 and 16
@@ -119,7 +119,8 @@ class Counts:
             np.zeros((GROUPS, WORDS), np.float32), np.zeros((GROUPS, PAIRS), np.float32), np.zeros((1, WORDS), np.float32)
         )
         once = parts.repartition("table", "block", "salt").mapInArrow(_add, _COUNTS)
-        for row in once.repartition("table", "block").mapInArrow(_add, _COUNTS).toLocalIterator():
+        summed = once.repartition("table", "block").mapInArrow(_add, _COUNTS).repartition(8)
+        for row in summed.toLocalIterator(prefetchPartitions=True):
             table = getattr(out, row["table"])
             counts = np.frombuffer(zlib.decompress(row["counts"]), dtype="<u8").reshape(len(table), BLOCK)
             table[:, row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = counts
@@ -129,14 +130,14 @@ class Counts:
         """The two models learned from some folds."""
         groups = [[2 * fold + label for fold in folds] for label in (0, 1)]
         base = (self.shared[0] + 0.5) / (self.shared[0].sum(dtype=np.float64) + 0.5 * WORDS)
-        share, seen, kept = [], [], []
-        for own in groups:
-            n = self.words[own].sum(axis=0)
-            total = max(1.0, float(n.sum(dtype=np.float64)))
-            left = np.maximum(n - DISCOUNT, 0)
-            share.append((left / total + (1 - left.sum(dtype=np.float64) / total) * base).astype(np.float32))
-            seen.append(np.maximum(n, 1).astype(np.float32))
-            kept.append(np.maximum(self.pairs[own].sum(axis=0) - DISCOUNT, 0).astype(np.float32))
+        words = [self.words[own].sum(axis=0) for own in groups]
+        left = [np.maximum(n - DISCOUNT, 0) for n in words]
+        sums = [max(float(x.sum(dtype=np.float64)), 1e-9) for x in left]
+        # One backoff weight for both models, the larger: words that neither knows then weigh nothing.
+        weight = max(1 - s / max(1.0, float(n.sum(dtype=np.float64))) for s, n in zip(sums, words))
+        share = [((1 - weight) * x / s + weight * base).astype(np.float32) for x, s in zip(left, sums)]
+        seen = [np.maximum(n, 1).astype(np.float32) for n in words]
+        kept = [np.maximum(self.pairs[own].sum(axis=0) - DISCOUNT, 0).astype(np.float32) for own in groups]
         return Tables(share, seen, kept)
 
 
