@@ -1,17 +1,15 @@
 """Finding many fixed terms in a text in one pass.
 
 The rules look for about 300 terms as substrings. One ``contains`` per term reads each text 300
-times; an Aho-Corasick automaton reads it once, in Arrow batches on the executors. Where that
-library is missing, the same columns are computed with built-in functions.
-
-The function is declared non-deterministic although it is not: the optimizer then keeps filters on
-its results above it, instead of copying the scan of every text into a pushed-down filter.
+times; an Aho-Corasick automaton reads it once, in Arrow batches on the executors. Every term has a bit, so the
+terms of a message are one number, and a list of terms is a mask of it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,11 +17,6 @@ from pyspark.sql import functions as F
 from mailrisk import lexicon as lx
 from mailrisk.functions import text as tx
 
-try:
-    import ahocorasick
-except ImportError:  # built-in functions are used instead
-    ahocorasick = None
-
 HIT_SCHEMA = (
     "n_strong int, n_weak int, urgent boolean, attack boolean, promo boolean, order_words boolean, "
     "official boolean, shortener boolean, brands_subject array<int>, brands_content array<int>"
@@ -43,96 +36,69 @@ def automaton(terms: Sequence[str]):
     return _CACHE[key]
 
 
-def _every_term() -> list[str]:
-    lists = [lx.STRONG_TERMS, lx.WEAK_TERMS, lx.URGENCY_TERMS, lx.ATTACK_TERMS, lx.PROMO_TERMS,
-             lx.TRANSACTION_TERMS, lx.OFFICIAL_TERMS, lx.MAIL_SHORTENERS, list(lx.BRANDS)]
-    return list(dict.fromkeys(t for terms in lists for t in terms))
+_LISTS = {
+    "strong": lx.STRONG_TERMS, "weak": lx.WEAK_TERMS, "urgent": lx.URGENCY_TERMS, "attack": lx.ATTACK_TERMS,
+    "promo": lx.PROMO_TERMS, "order": lx.TRANSACTION_TERMS, "official": lx.OFFICIAL_TERMS, "shortener": lx.MAIL_SHORTENERS,
+    "brands": list(lx.BRANDS),
+}
+
+
+def _scanner():
+    """Automaton whose hits are (bit of the term, length), the mask of each list, and the brands' bits in order."""
+    if "scanner" not in _CACHE:
+        every = list(dict.fromkeys(t for terms in _LISTS.values() for t in terms))
+        bit = {t: 1 << i for i, t in enumerate(every)}
+        machine = ahocorasick.Automaton()
+        for term in every:
+            machine.add_word(term, (bit[term], len(term)))
+        machine.make_automaton()
+        masks = {name: sum(bit[t] for t in set(terms)) for name, terms in _LISTS.items()}
+        _CACHE["scanner"] = machine, masks, [bit[b] for b in lx.BRANDS]
+    return _CACHE["scanner"]
 
 
 def _scan_messages(sender: pd.Series, subject: pd.Series, content: pd.Series) -> pd.DataFrame:
     """Per message, which lists hit and where. Positions tell sender, subject and content apart."""
-    every = _every_term()
-    number = {t: i for i, t in enumerate(every)}
-    machine = automaton(every)
-
-    def ids(terms: Sequence[str]) -> frozenset[int]:
-        return frozenset(number[t] for t in terms)
-
-    strong, weak, urgent = ids(lx.STRONG_TERMS), ids(lx.WEAK_TERMS), ids(lx.URGENCY_TERMS)
-    attack, promo, order = ids(lx.ATTACK_TERMS), ids(lx.PROMO_TERMS), ids(lx.TRANSACTION_TERMS)
-    official, shortener = ids(lx.OFFICIAL_TERMS), ids(lx.MAIL_SHORTENERS)
-    brand_of = {number[b]: i for i, b in enumerate(lx.BRANDS)}
-    brands = frozenset(brand_of)
+    machine, mask, brand_bits = _scanner()
+    strong, weak, urgent, attack, promo, order, official, shortener, brands = mask.values()
+
+    def brands_of(found: int) -> list[int]:
+        return [i for i, b in enumerate(brand_bits) if found & b] if found & brands else []
+
     rows = []
     for s, j, c in zip(sender, subject, content):
         subject_at = len(s) + 1
         content_at = subject_at + len(j) + 1
-        anywhere, spoken, in_subject, in_content = set(), set(), set(), set()
+        anywhere = spoken = in_subject = in_content = 0
         for end, (term, length) in machine.iter(f"{s} {j} {c}"):
             start = end - length + 1
-            anywhere.add(term)
-            if start >= subject_at:
-                spoken.add(term)
-                if start >= content_at:
-                    in_content.add(term)
-                elif end < content_at - 1:
-                    in_subject.add(term)
+            anywhere |= term
+            if start >= content_at:
+                in_content |= term
+            elif start >= subject_at:
+                spoken |= term
+                if end < content_at - 1:
+                    in_subject |= term
+        spoken |= in_content
         rows.append((
-            len(anywhere & strong), len(anywhere & weak), bool(anywhere & urgent), bool(spoken & attack),
-            bool(spoken & promo), bool(spoken & order), bool((in_subject | in_content) & official),
-            bool(in_content & shortener), sorted(brand_of[t] for t in in_subject & brands),
-            sorted(brand_of[t] for t in in_content & brands),
+            (anywhere & strong).bit_count(), (anywhere & weak).bit_count(), anywhere & urgent != 0, spoken & attack != 0,
+            spoken & promo != 0, spoken & order != 0, (in_subject | in_content) & official != 0,
+            in_content & shortener != 0, brands_of(in_subject), brands_of(in_content),
         ))
     return pd.DataFrame(rows, columns=[part.split()[0] for part in HIT_SCHEMA.split(", ")])
 
 
-def _named(text: Column, names: Sequence[str], hebrew: Column) -> Column:
-    rows = [F.struct(F.lit(i).alias("i"), F.lit(n).alias("n"), F.lit(tx.is_hebrew_term(n)).alias("h"))
-            for i, n in enumerate(names)]
-    hits = F.filter(F.array(*rows), lambda b: (hebrew | ~b["h"]) & F.contains(text, b["n"]))
-    return F.transform(hits, lambda b: b["i"])
-
-
-def _builtin_hits(df: DataFrame) -> DataFrame:
-    """The same columns as the automaton's, one ``contains`` per term."""
-    full, subject, content, heb = (F.col(c) for c in ("_full", "_subject", "_content", "_hebrew"))
-    spoken = F.concat_ws(" ", subject, content)
-    apart = F.concat_ws("\n", subject, content)
-    names = list(lx.BRANDS)
-    return df.select(
-        "*",
-        F.struct(
-            tx.count_terms(full, lx.STRONG_TERMS, heb).alias("n_strong"),
-            tx.count_terms(full, lx.WEAK_TERMS, heb).alias("n_weak"),
-            tx.any_term(full, lx.URGENCY_TERMS, heb).alias("urgent"),
-            tx.any_term(spoken, lx.ATTACK_TERMS, heb).alias("attack"),
-            tx.any_term(spoken, lx.PROMO_TERMS, heb).alias("promo"),
-            tx.any_term(spoken, lx.TRANSACTION_TERMS, heb).alias("order_words"),
-            tx.any_term(apart, lx.OFFICIAL_TERMS, heb).alias("official"),
-            tx.any_term(content, lx.MAIL_SHORTENERS).alias("shortener"),
-            _named(subject, names, heb).alias("brands_subject"),
-            _named(content, names, heb).alias("brands_content"),
-        ).alias("_hits"),
-    )
-
-
-def with_hits(df: DataFrame, builtin: bool = False) -> DataFrame:
+def with_hits(df: DataFrame) -> DataFrame:
     """Add ``_hits`` to a frame with ``_sender``, ``_subject``, ``_content``, ``_full``, ``_hebrew``."""
-    if builtin or ahocorasick is None:
-        return _builtin_hits(df)
-    scan = F.pandas_udf(_scan_messages, HIT_SCHEMA).asNondeterministic()
-    return df.select("*", scan("_sender", "_subject", "_content").alias("_hits"))
+    return df.select("*", F.pandas_udf(_scan_messages, HIT_SCHEMA)("_sender", "_subject", "_content").alias("_hits"))
 
 
 def first_term(text: Column, terms: Sequence[str]) -> Column:
     """First of ``terms``, in list order, that occurs in the text."""
     names = list(terms)
-    if ahocorasick is None:
-        return F.get(F.filter(tx.literal_array(names), lambda b: F.contains(text, b)), F.lit(0))
 
     def lowest(texts: pd.Series) -> pd.Series:
         machine = automaton(names)
         return texts.map(lambda t: min((i for _, (i, _) in machine.iter(t)), default=-1))
 
-    at = F.pandas_udf(lowest, "int").asNondeterministic()(text)
-    return F.get(tx.literal_array(names), at)
+    return F.get(tx.literal_array(names), F.pandas_udf(lowest, "int")(text))

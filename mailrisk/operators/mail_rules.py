@@ -32,7 +32,7 @@ def word_pattern(name: str) -> str:
     return f"(^|{edge}){re.escape(name)}($|{edge})"
 
 
-def prepare(df: DataFrame, builtin: bool = False) -> DataFrame:
+def prepare(df: DataFrame) -> DataFrame:
     """Add the lowered texts, links, hosts, sender facts and term hits every check reads."""
     sender, subject, content = (tx.text_or_empty(F.col(c)) for c in ("sender", "subject", "content"))
     base = df.select(
@@ -50,7 +50,7 @@ def prepare(df: DataFrame, builtin: bool = False) -> DataFrame:
         F.transform("_urls", dm.url_host).alias("_hosts"),
         dm.trusted_company(F.col("_domain")).alias("_trusted"),
     )
-    return with_hits(facts, builtin)
+    return with_hits(facts)
 
 
 def drop_prepared(df: DataFrame) -> DataFrame:
