@@ -51,7 +51,8 @@ def plan_scans(
         F.least(F.length(content), F.lit(cfg.content_chars)).alias("kept_chars"),
     )
     rows = materialise(rows, "scan-rows")
-    before = stored.select(
+    # Only stored verdicts of the batch's keys go on: one row per key on both sides, so no key is hot here.
+    before = stored.join(rows.select("msg_key").distinct(), "msg_key", "left_semi").select(
         "msg_key",
         F.col("content_hash").alias("old_hash"),
         F.length("content").alias("old_chars"),
@@ -60,7 +61,7 @@ def plan_scans(
     order = ["scanned_at", "msg_id"]
     hour = F.date_trunc("hour", F.col("scanned_at"))
     peaks = hg.running_max_before(rows, ["msg_key"], hour, order, "kept_chars", "_batch_peak")
-    # ``before`` has one row per key; copies of a hot key are spread over salted partitions.
+    # Rows of a hot key are spread over salted partitions; the few stored rows they meet are repeated for that.
     joined = hg.salted_left_join(peaks, before, ["msg_key"], "msg_id")
     in_force = F.greatest("_batch_peak", F.when(F.col("old_counts"), F.col("old_chars")))
     judged = materialise(
@@ -116,7 +117,9 @@ def apply_scans(
         fresh.select("msg_key", "msg_id", "scanned_at", "is_phishing"), ["msg_key"],
         F.date_trunc("hour", F.col("scanned_at")), ["scanned_at", "msg_id"], "is_phishing", "_was",
     )
-    earlier = stored.select("msg_key", F.col("is_phishing").alias("_stored"))
+    earlier = stored.join(fresh.select("msg_key").distinct(), "msg_key", "left_semi").select(
+        "msg_key", F.col("is_phishing").alias("_stored")
+    )
     known = hg.salted_left_join(steps, earlier, ["msg_key"], "msg_id")
     was = F.coalesce("_was", "_stored", F.lit(False))
     flagged = known.filter(F.col("is_phishing") & ~was).select("msg_id", "msg_key")

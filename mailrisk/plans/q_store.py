@@ -26,12 +26,13 @@ def replay(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     mail = mail.withColumn("batch", number).withColumn(
         "model_score", F.when(F.col("batch") > 0, F.col("model_score"))
     )
-    verdicts = materialise(en.score_ensemble(mail), "verdicts")
     store, flagged = st.empty_store(spark), None
     for n in range(3):
-        batch = verdicts.filter(F.col("batch") == n)
+        batch = mail.filter(F.col("batch") == n)
         plan = st.plan_scans(store, batch, model_ready=n > 0)
-        after, new = st.apply_scans(store, batch, plan)
+        # Deciding comes first: only what is due is scored.
+        due = batch.join(plan.filter("scored").select("msg_id"), "msg_id", "left_semi")
+        after, new = st.apply_scans(store, en.score_ensemble(due), plan)
         store = materialise(after, f"store-{n}")
         new = new.select("msg_id", F.lit(n).alias("batch"))
         flagged = new if flagged is None else flagged.unionByName(new)
