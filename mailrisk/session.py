@@ -86,12 +86,25 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+_WRITTEN: list[str] = []
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Delete the intermediates this process wrote so far; how many. Frames read from them are of no use then."""
+    paths = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in _WRITTEN]
+    gone = sum(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True) for p in paths)
+    _WRITTEN.clear()
+    return gone
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a frame that several later steps read, and read it back column by column.
 
-    Cuts the lineage, survives the loss of executors, and lets each reader prune columns.
+    Cuts the lineage, survives the loss of executors, and lets each reader prune columns. The files stay until
+    ``drop_written``: only the caller knows when the results built on them are no longer read.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

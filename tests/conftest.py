@@ -6,7 +6,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from mailrisk.session import local_session, prepare_workers  # noqa: E402
+from mailrisk.session import drop_written, local_session, prepare_workers  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -14,4 +14,5 @@ def spark():
     session = local_session("4", shuffle_partitions=4, memory="4g")
     prepare_workers(session)
     yield session
+    drop_written(session)
     session.stop()

@@ -10,7 +10,8 @@ FOLDER = "/root/testdata/sf0.001"
 SAMPLE = [
     "mail_rule_score", "url_rule_score", "ensemble_score", "source_balance", "stratified_split", "sender_backfill",
     "threshold_curve", "calibration_best", "error_shares", "first_flag_alerts", "guardian_dashboard", "ewma_user_risk",
-    "verdict_upsert_replay", "trust_requests", "labelled_sources", "stream_user_state",
+    "verdict_upsert_replay", "trust_requests", "labelled_sources", "stream_user_state", "training_frames",
+    "negative_corpus", "prepared_splits", "json_intake", "trust_lists", "formula_drift", "exact_auc", "filled_store",
 ]
 
 
