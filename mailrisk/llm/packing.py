@@ -27,16 +27,29 @@ TIERS = (1024, 512, 256)
 END = 0
 STEP_WINDOWS = 64
 PENDING_TOKENS = 2_000_000
-CACHE = 400_000  # pieces in each of two generations
-_ODD_SPACE = re.compile(r"[^\S \n]|\s\s")
+CACHE = 500_000  # words in each of two generations
+_MARKS = ".,;:!?"
+_LAST_LETTER = "\u052f"  # Latin, Greek and Cyrillic: letters that no library disputes
+
+
+def _byte_signs() -> list[str]:
+    """The printable character that stands for each byte in a byte-level vocabulary (a fixed, published mapping)."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(256 + hidden.index(b)) if b in hidden else chr(b) for b in range(256)]
+
+
+_BYTE_SIGNS = _byte_signs()
 _BEFORE_WORD = re.compile(r"(?<=\S)(?= \S)")
 
 
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit values.
 
-    A byte-level pre-tokenizer never joins a character that is not white space with a space after it, so a text is
-    encoded piece by piece, and pieces seen lately are looked up. Special tokens in a text are text.
+    A byte-level pre-tokenizer never joins a character that is not white space with a space or a single line break
+    after it, so a text is encoded word by word, and words seen lately are looked up. Letters alone are one piece,
+    which goes to the tokenizer's model directly, and a comma or stop after them is another. Special tokens in a
+    text are text.
     """
 
     def __init__(self, path: str):
@@ -45,28 +58,72 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # ids of a word with the space or line break before it
         self.aged: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.line_break, *marks = self._ids(["\n", *_MARKS])
+        self.marks = dict(zip(_MARKS, marks))
 
-    def encode(self, text: str) -> bytes:
-        if "\0" in text or _ODD_SPACE.search(text):
-            pieces = _BEFORE_WORD.split(text)
-        else:
-            pieces = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-        missing = {p for p in pieces if p not in self.known}
-        if len(self.known) + len(missing) > CACHE:
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _letters(self, piece: str) -> bytes:
+        """Ids of a piece that the pre-tokenizer leaves whole."""
+        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin1").translate(_BYTE_SIGNS))]).tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        """Make every word known."""
+        if len(self.known) + 2 * len(words) > CACHE:
             self.aged, self.known = self.known, {}
-            missing = set(pieces)
-        if missing:
-            new = []
-            for p in missing:
-                if (ids := self.aged.get(p)) is None:
-                    new.append(p)
-                else:
-                    self.known[p] = ids
-            found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            self.known.update(zip(new, (array("I", e.ids).tobytes() for e in found)))
-        return b"".join(map(self.known.__getitem__, pieces))
+        known, aged = self.known, self.aged
+        other: dict[str, None] = {}
+        for word in words:
+            if word in known:
+                continue
+            if (ids := aged.get(word)) is not None:
+                known[word] = ids
+                continue
+            opens = word[0] == "\n"
+            stem = word[1:] if opens else word
+            mark = self.marks.get(stem[-1:], b"")
+            if mark:
+                stem = stem[:-1]
+            if not stem.isalpha() or max(stem) > _LAST_LETTER:
+                other[word] = None
+            elif opens:
+                known[word] = self.line_break + self._letters(stem) + mark
+            else:
+                if (ids := known.get(stem) or aged.get(stem)) is None:
+                    ids = self._letters(" " + stem)
+                known[stem] = ids
+                known[word] = ids + mark
+        if other:
+            known.update(zip(other, self._ids([w if w[0] == "\n" else " " + w for w in other])))
+
+    def encode(self, text: str) -> bytes:
+        words = text.split()
+        gaps = text.count(" ") + text.count("\n")
+        if gaps + 1 != len(words) or gaps + sum(map(len, words)) != len(text):
+            # Other white space, or several in a row: whole pieces up to a space between words.
+            return b"".join(self._ids(_BEFORE_WORD.split(text)))
+        # A word that opens a line keeps the break as its mark; the first word gets one that is taken off again.
+        words = ("\n" + text).replace("\n", " \n")[1:].split(" ")
+        ids = list(map(self.known.get, words))
+        if None in ids:
+            self._learn(words)
+            ids = list(map(self.known.__getitem__, words))
+        return b"".join(ids)[len(self.line_break):]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    """One per Python worker: later tasks find the words of earlier ones."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 class _Piece:
@@ -162,7 +219,7 @@ def _closing(left: list[_Piece], longest: int) -> list[tuple[int, list[_Piece]]]
 def _pack_partition(
     batches: Iterator[pa.RecordBatch], tokenizer: str, tiers: Sequence[int]
 ) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder(tokenizer)
+    encoder = _encoder(tokenizer)
     base = TaskContext.get().partitionId() << 33
     made = 0
     in_tier = dict.fromkeys(tiers, 0)
