@@ -110,26 +110,26 @@ def edited_neighbours(
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(F.col(key).alias("k"), body.alias("x"))
-    names = lambda c: F.coalesce(c.cast("string"), F.lit(""))  # noqa: E731  joins by name: null is a name too
+    # Joins go by name: null has one too, and no column beside it, so that both joins share one exchange of the texts.
+    name = F.coalesce(F.concat(F.lit("="), F.col("k").cast("string")), F.lit(""))
     needs = materialise(rows.groupBy("k").agg(F.max(F.floor(F.char_length("x") / 2)).cast("int").alias("need")), "needs")
     ring = _next_keys(needs.select("k"))
     lone = needs.filter("k IS NULL").crossJoin(needs.agg(F.min("k").alias("next")).filter("next IS NOT NULL"))  # 1 x 1
-    wanted = materialise(
-        needs.join(ring, "k").select(names(F.col("k")).alias("to"), "need", names(F.col("next")).alias("name"))
-        .unionByName(lone.select(names(F.col("k")).alias("to"), "need", names(F.col("next")).alias("name"))),
-        "wanted",
+    wanted = needs.join(ring, "k").unionByName(lone).select(
+        name.alias("to"), "need", F.concat(F.lit("="), F.col("next").cast("string")).alias("name")
     )
-    sketched = with_sketch(rows.select(names(F.col("k")).alias("name"), "k", "x"), F.col("x"), "sketch", width, fraction)
-    sent = sketched.join(wanted, "name").select(
+    wanted = materialise(wanted, "wanted")
+    texts = with_sketch(rows.select(name.alias("name"), "x"), F.col("x"), "sketch", width, fraction)
+    sent = texts.join(wanted, "name").select(
         "to", F.expr("substring(x, 1, need)").alias("prefix"), F.col("sketch").alias("next_sketch"), F.xxhash64("x").alias("t")
     )
     one = sent.withColumn("rn", F.row_number().over(W.partitionBy("to").orderBy("t"))).filter("rn = 1").drop("rn", "t")
-    joined = sketched.join(one.withColumnRenamed("to", "name"), "name", "left").select(
-        F.col("k").alias(key),
+    half = "cast(floor(char_length(x) / 2) AS int)"
+    joined = texts.join(one.withColumnRenamed("to", "name"), "name", "left").select(
+        F.when(F.col("name") != "", F.expr("substring(name, 2)")).cast(df.schema[key].dataType).alias(key),
         F.char_length("x").cast("bigint").alias("n_chars"),
         F.expr(
-            "concat(substring(x, 1, cast(char_length(x) - floor(char_length(x) / 2) AS int)),"
-            " coalesce(substring(prefix, 1, cast(floor(char_length(x) / 2) AS int)), ''))"
+            f"concat(substring(x, 1, char_length(x) - {half}), coalesce(substring(prefix, 1, {half}), ''))"
         ).alias("edited"),
         "sketch",
         F.coalesce("next_sketch", F.array().cast("array<bigint>")).alias("next_sketch"),
