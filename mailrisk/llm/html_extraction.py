@@ -328,7 +328,9 @@ def infer_wrappers(pages: DataFrame, url: str, html: str) -> DataFrame:
     found = found.withColumn("hash", F.xxhash64("wrapper"))
     for n in BUCKETS:
         bucket = F.pmod(F.col("hash"), F.lit(n)).alias("bucket")
-        found = found.groupBy("host", bucket).applyInPandas(_align_group, "host string, hash bigint, wrapper string, pages bigint")
+        found = found.groupBy("host", bucket).applyInPandas(
+            _align_group, "host string, hash bigint, wrapper string, pages bigint"
+        )
     return materialise(found.drop("hash"), "wrappers")
 
 

@@ -223,13 +223,14 @@ def fit(documents: DataFrame, key: str, text: str, labels: DataFrame, label: str
     known = (
         labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull())
         .groupBy(F.col(key).alias("k"))
-        .agg(F.max(F.col(label).cast("int")).alias("y"))
+        .agg(F.max((F.col(label) > 0).cast("int")).alias("y"))
         .withColumn("fold", F.pmod(F.xxhash64("k", F.lit("fold")), F.lit(2)).cast("int"))
     )
     both = known.agg(F.min("y"), F.max("y")).first()
     if tuple(both) != (0, 1):
         return ToxicityModel(None, None)
-    labelled = docs.filter(maybe_member(known, "k")(F.col("k"))).join(known, "k").select("x", (2 * F.col("fold") + F.col("y")).alias("g"))
+    maybe = docs.filter(maybe_member(known, "k")(F.col("k")))
+    labelled = maybe.join(known, "k").select("x", (2 * F.col("fold") + F.col("y")).alias("g"))
     parts = docs.select("x").mapInArrow(_count_shared, _COUNTS).unionByName(labelled.mapInArrow(_count_classes, _COUNTS))
     counts = Counts.merge(parts)
 

@@ -34,12 +34,14 @@ def url_path(url: Column) -> Column:
 
 def host_key(host: Column) -> Column:
     """Reversed labels with a dot after each; the empty host is the root of all."""
-    return F.when(host == "", F.lit("")).otherwise(F.concat(F.concat_ws(".", F.reverse(F.split(host, r"\."))), F.lit(".")))
+    labels = F.reverse(F.split(host, r"\."))
+    return F.when(host == "", F.lit("")).otherwise(F.concat(F.concat_ws(".", labels), F.lit(".")))
 
 
 def _domains(key: Column) -> Column:
     """Keys of a host and of the domains above it, the root included."""
-    dots = F.filter(F.sequence(F.lit(1), F.greatest(F.char_length(key), F.lit(1))), lambda i: F.substring(key, i, F.lit(1)) == ".")
+    places = F.sequence(F.lit(1), F.greatest(F.char_length(key), F.lit(1)))
+    dots = F.filter(places, lambda i: F.substring(key, i, F.lit(1)) == ".")
     return F.concat(F.array(F.lit("")), F.transform(dots, lambda i: F.substring(key, F.lit(1), i)))
 
 
