@@ -11,7 +11,6 @@ from mailrisk.functions import senders as sd
 from mailrisk.functions import text as tx
 from mailrisk.operators import backfill as bf
 from mailrisk.operators import corpus as cp
-from mailrisk.operators import hot_groups as hg
 from mailrisk.plans import oracle_base as ob
 from mailrisk.plans.mail_view import corpus_view, raw_view
 from mailrisk.plans.registry import register
