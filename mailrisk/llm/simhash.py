@@ -96,7 +96,8 @@ def links(
             fp.bitwiseAND(F.lit(_signed(sum(masks[i] for i in c)))) for c in choices
         ])).alias("choice", "key"),
     )
-    shared = keys.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # Written, so that Spark can split the join back where a bucket is hot.
+    shared = materialise(keys.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared")
     members = materialise(keys.join(shared, ["choice", "key"]), "buckets")
 
     small = members.filter(F.col("n") <= pair_bucket)
@@ -232,6 +233,7 @@ def similar_documents(
 
     keys = one.select("k", F.posexplode("keys").alias("block", "key"))
     shared = keys.groupBy("block", "key").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("least")).filter("n > 1")
+    shared = materialise(shared, "shared")
     members = materialise(keys.join(shared, ["block", "key"]).join(one.select("k", *names), "k"), "buckets")
     most = most_bits(similarity)
 

@@ -37,8 +37,8 @@ BYTES_PER_ANCHOR = 100
 
 
 def cells_for(text_bytes: int) -> int:
-    """Cells of a sketch row: about sixteen for each anchor, a power of two within fixed bounds."""
-    return min(MAX_CELLS, max(BLOCK, 1 << (16 * text_bytes // BYTES_PER_ANCHOR).bit_length()))
+    """Cells of a sketch row: eight or more for each anchor, a power of two within fixed bounds."""
+    return min(MAX_CELLS, max(BLOCK, 1 << (8 * text_bytes // BYTES_PER_ANCHOR).bit_length()))
 
 
 def _anchors(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +54,8 @@ def _cells(anchors: np.ndarray, row: int, cells: int) -> np.ndarray:
 def _searched(batch: pa.RecordBatch, copied) -> np.ndarray:
     """Rows to search: those known to be no copies, and of the others those that cannot be one."""
     sure = batch.column("sure").to_numpy(zero_copy_only=False)
-    return np.flatnonzero(batch.column("k").is_valid().to_numpy(zero_copy_only=False) & (sure | ~listed(copied.value, batch.column("cell"))))
+    named = batch.column("k").is_valid().to_numpy(zero_copy_only=False)
+    return np.flatnonzero(named & (sure | ~listed(copied.value, batch.column("cell"))))
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], window: int, cells: int, copied) -> Iterator[pa.RecordBatch]:
@@ -147,7 +148,10 @@ def _results(schema: T.StructType, window: int, touched) -> Callable:
             starts = batch.column("starts") if "starts" in names else [None] * batch.num_rows
             copies = batch.column("copy") if "copy" in names else [None] * batch.num_rows
             done = [
-                _without(x.as_py(), s.values.to_numpy() if s is not None and s.is_valid else None, c is not None and c.as_py() is True, window)
+                _without(
+                    x.as_py(), s.values.to_numpy() if s is not None and s.is_valid else None,
+                    c is not None and c.as_py() is True, window,
+                )
                 for x, s, c in zip(batch.column("x"), starts, copies)
             ]
             n, gone, kept = zip(*done) if done else ((), (), ())
@@ -162,6 +166,7 @@ def _copies(rows: DataFrame) -> DataFrame:
     """``k``, ``t`` of the rows whose whole text also stands under a smaller key."""
     narrow = rows.select("k", "t", F.md5(F.col("x").cast("binary")).alias("d")).filter("k IS NOT NULL")
     repeated = narrow.groupBy("t", "d").agg(F.min("k").alias("first"), F.max("k").alias("last")).filter("first < last")
+    repeated = materialise(repeated, "repeated-texts")  # a table of its own lets Spark split the join of a hot text
     return materialise(narrow.join(repeated, ["t", "d"]).filter("k > first").select("k", "t").distinct(), "copies")
 
 
@@ -199,8 +204,10 @@ def remove_repeats(
     likely = searched.mapInArrow(
         lambda it: _windows(it, window, cells, sketch, copied), "k bigint, t bigint, pos int, h bigint, g int"
     )
-    # Partial counts fold the repeats of a task first; the join back may split a hot window.
+    # Partial counts fold the repeats of a task first. The result is written, so that Spark can split the join back
+    # where a window is hot; read straight from the aggregation it could not.
     first = likely.groupBy("h", "g").agg(F.min("k").alias("first"), F.max("k").alias("last")).filter("first < last")
+    first = materialise(first, "repeated-windows")
     repeated = likely.join(first, ["h", "g"]).filter("k > first")
     starts = repeated.groupBy("k", "t").agg(F.collect_set("pos").alias("starts")).withColumn("copy", F.lit(False))
     gone = materialise(
