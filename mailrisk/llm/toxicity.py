@@ -38,6 +38,7 @@ BLOCK = 1 << 14
 GROUPS = 4  # (fold, label)
 SHARED = 4
 DISCOUNT = 2.0
+PAIR_DISCOUNT = 30.0  # pairs are many and share places: only frequent expressions speak for themselves
 PASSAGES = (1, 4, 16)
 CALIBRATION_ROWS = 20_000
 SALTS = 16
@@ -137,7 +138,7 @@ class Counts:
         weight = max(1 - s / max(1.0, float(n.sum(dtype=np.float64))) for s, n in zip(sums, words))
         share = [((1 - weight) * x / s + weight * base).astype(np.float32) for x, s in zip(left, sums)]
         seen = [np.maximum(n, 1).astype(np.float32) for n in words]
-        kept = [np.maximum(self.pairs[own].sum(axis=0) - DISCOUNT, 0).astype(np.float32) for own in groups]
+        kept = [np.maximum(self.pairs[own].sum(axis=0) - PAIR_DISCOUNT, 0).astype(np.float32) for own in groups]
         return Tables(share, seen, kept)
 
 
@@ -156,7 +157,9 @@ class Tables:
         for share, seen, kept in zip(self.share, self.seen, self.kept):
             p = share[words]
             if len(pairs):
-                own = np.minimum(kept[pairs] / seen[words[:-1]], 0.9)
+                # No pair is in more documents than either of its words: that bounds what collisions can add.
+                n = np.minimum(np.minimum(seen[words[:-1]], seen[words[1:]]) - PAIR_DISCOUNT, kept[pairs])
+                own = np.maximum(n, 0) / seen[words[:-1]]
                 p[1:] = own + (1 - own) * p[1:]
             logs.append(np.log(p))
         return logs[1] - logs[0]
@@ -206,7 +209,9 @@ class ToxicityModel:
         def of(texts: pd.Series) -> pd.Series:
             tables, weights = held.value
             x = np.array([tables.features(t) for t in texts], dtype=np.float64).reshape(len(texts), -1)
-            return pd.Series(1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -35, 35))))
+            # Row by row: a matrix product may round equal rows apart.
+            z = (x * weights[:-1]).sum(axis=1) + weights[-1]
+            return pd.Series(1 / (1 + np.exp(-np.clip(z, -35, 35))))
 
         return of(text)
 
