@@ -1,20 +1,23 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two language models, toxic and ordinary, are compared word by word. Following Kneser and Ney, an
-expression is counted by the contexts it occurs in, here the documents, not by its repetitions; a discount
-is taken from every count, and the mass it frees goes to the next lower order. Word pairs back off to
-words of the class, and words, with one weight in both models, to a distribution shared by the classes and counted
-over the whole corpus, labelled or not. An expression too rare for either class thus has the same share in both, and
-says nothing.
-
-The log-likelihood ratio is normalised by length: over the whole text, and over its best passages of 1, 4 and 16
-words, since a few words make a long text toxic. A logistic calibration weighs these four. It is
+Two interpolated Kneser-Ney models of word pairs, toxic and ordinary, are compared word by word. Pairs are counted by
+occurrence, words by their distinct left neighbours. One absolute discount per order and class comes from
+the counts of counts, n1 / (n1 + 2 n2), and every context gives the mass its discounts free to the next lower order. Words
+back off, with one weight in both models, to a distribution shared by the classes and counted over
+the whole corpus, labelled or not. A word too rare for either class thus has the same share in both.
+
+Pairs seen once weigh much in a class of few texts, so two models of single words stand beside them: shares of the
+documents a word is in, less ``DISCOUNT`` documents, with the same shared distribution behind them.
+
+Both log-likelihood ratios are normalised by length: over the whole text, and over its best passages of 1, 4 and 16
+words, since a few words make a long text toxic. A logistic calibration weighs these eight. It is
 learned by cross-fitting: training rows fall into two folds, and rows of one are measured by counts of
 the other.
 
-Counts are kept in tables of fixed size indexed by hash. Every task counts its documents in such a
-table and emits it in compressed blocks, which are added up in two rounds; the driver receives the sum, at most
-``(WORDS * 5 + PAIRS * 4)`` numbers however large the corpus is.
+Counts are exact, by 64-bit hashes of words, in tables that Spark groups and writes; they grow with the corpus. The ratio of a
+word after another is a sum of up to three table entries: what the earlier word says as a context, what
+the later one says, and what the pair adds if a class holds it. Entries of the commonest expressions, at
+most ``HOT``, are broadcast; a bit map tells which others a text may need, and those are joined.
 """
 
 from __future__ import annotations
@@ -22,23 +25,29 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailrisk.llm.bitmap import maybe_member
+from mailrisk.llm import bitmap
+from mailrisk.llm.bitmap import collect_bits, has_bits, maybe_member
 from mailrisk.llm.words import hash_words, mix, plain_words
+from mailrisk.session import materialise
 
 WORDS = 1 << 20
 PAIRS = 1 << 21
 BLOCK = 1 << 14
 GROUPS = 4  # (fold, label)
 SHARED = 4
-DISCOUNT = 2.0
-PAIR_DISCOUNT = 30.0  # pairs are many and share places: only frequent expressions speak for themselves
+DISCOUNT = 2.0  # documents of a word, in the word models
+HOT = 1 << 18
+MAP_CELLS = 1 << 28
+FLUSH_WORDS = 1 << 19
+START = 0  # left neighbour of a text's first word
+FOLDS = ((0, 1), (1,), (0,))  # what the models are learned from: all, and for measuring fold 0 and fold 1
 PASSAGES = (1, 4, 16)
 CALIBRATION_ROWS = 20_000
 SALTS = 16
@@ -127,54 +136,277 @@ class Counts:
             table[:, row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = counts
         return out
 
-    def tables(self, folds: tuple[int, ...]) -> Tables:
-        """The two models learned from some folds."""
-        groups = [[2 * fold + label for fold in folds] for label in (0, 1)]
-        base = (self.shared[0] + 0.5) / (self.shared[0].sum(dtype=np.float64) + 0.5 * WORDS)
-        words = [self.words[own].sum(axis=0) for own in groups]
-        left = [np.maximum(n - DISCOUNT, 0) for n in words]
-        sums = [max(float(x.sum(dtype=np.float64)), 1e-9) for x in left]
-        # One backoff weight for both models, the larger: words that neither knows then weigh nothing.
-        weight = max(1 - s / max(1.0, float(n.sum(dtype=np.float64))) for s, n in zip(sums, words))
-        share = [((1 - weight) * x / s + weight * base).astype(np.float32) for x, s in zip(left, sums)]
-        seen = [np.maximum(n, 1).astype(np.float32) for n in words]
-        kept = [np.maximum(self.pairs[own].sum(axis=0) - PAIR_DISCOUNT, 0).astype(np.float32) for own in groups]
-        return Tables(share, seen, kept)
 
+def _neighbours(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every word: the hash of the word before it, its own, and that of the pair."""
+    w = hash_words(plain_words(text))
+    v = np.concatenate((np.full(min(1, len(w)), START, dtype=np.uint64), w[:-1]))
+    return v, w, mix(v * _ORDER ^ w, 3)
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences of each pair in each group, and how many brought a text its second word first; over some texts at a time."""
+    held: list[tuple] = []
+    size = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        v, w, p, d, g = (np.concatenate(x) for x in zip(*held))
+        for group in np.unique(g):
+            own = np.flatnonzero(g == group)
+            _, at, which, n = np.unique(p[own], return_index=True, return_inverse=True, return_counts=True)
+            new = np.bincount(which, weights=d[own], minlength=len(n)).astype(np.int64)
+            at = own[at]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x[at].view(np.int64)) for x in (v, w, p)]
+                + [pa.array(np.full(len(at), group, np.int32)), pa.array(n), pa.array(new)],
+                ["v", "w", "p", "g", "n", "d"],
+            )
+        held.clear()
 
-@dataclass
-class Tables:
-    """For the ordinary and the toxic model: share of a word, its documents, discounted documents of a pair."""
-
-    share: list[np.ndarray]
-    seen: list[np.ndarray]
-    kept: list[np.ndarray]
-
-    def ratios(self, text: str | None) -> np.ndarray:
-        """Log-likelihood ratio, toxic over ordinary, of each word given the one before it."""
-        words, pairs = _expressions(text)
-        logs = []
-        for share, seen, kept in zip(self.share, self.seen, self.kept):
-            p = share[words]
-            if len(pairs):
-                # No pair is in more documents than either of its words: that bounds what collisions can add.
-                n = np.minimum(np.minimum(seen[words[:-1]], seen[words[1:]]) - PAIR_DISCOUNT, kept[pairs])
-                own = np.maximum(n, 0) / seen[words[:-1]]
-                p[1:] = own + (1 - own) * p[1:]
-            logs.append(np.log(p))
-        return logs[1] - logs[0]
-
-    def features(self, text: str | None) -> list[float]:
-        """Length-normalised ratios: of the whole text and of its best passages. Zeros without words."""
-        r = self.ratios(text).astype(np.float64)
-        if not len(r):
-            return [0.0] * (1 + len(PASSAGES))
-        sums = np.concatenate(([0.0], np.cumsum(r)))
-        out = [sums[-1] / len(r)]
-        for width in PASSAGES:
-            w = min(width, len(r))
-            out.append(float((sums[w:] - sums[:-w]).max()) / width)
-        return out
+    for batch in batches:
+        for text, group in zip(batch.column(0), batch.column(1).to_pylist()):
+            v, w, p = _neighbours(text.as_py())
+            first = np.zeros(len(w), dtype=bool)
+            first[np.unique(w, return_index=True)[1]] = True
+            held.append((v, w, p, first, np.full(len(w), group, np.int32)))
+            size += len(w)
+            if size >= FLUSH_WORDS:
+                yield from flush()
+                size = 0
+    if size:
+        yield from flush()
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of each word, added up over some texts at a time."""
+    held: list[np.ndarray] = []
+    size = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        w, n = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n)], ["w", "n"])
+
+    for batch in batches:
+        for text in batch.column(0):
+            held.append(np.unique(hash_words(plain_words(text.as_py()))))
+            size += len(held[-1])
+            if size >= FLUSH_WORDS:
+                yield from flush()
+                size = 0
+    if size:
+        yield from flush()
+
+
+def pair_counts(labelled: DataFrame) -> DataFrame:
+    """Occurrences ``n0`` to ``n3`` by group of every pair ``v``, ``w``, from texts ``x`` and groups ``g``.
+
+    ``d0`` to ``d3`` are those that are the first occurrence of ``w`` in a text: over all ``v``, the texts that hold ``w``.
+    """
+    found = labelled.select("x", "g").mapInArrow(_pairs, "v bigint, w bigint, p bigint, g int, n bigint, d bigint")
+    return found.groupBy("v", "w", "p").agg(*[
+        F.sum(F.when(F.col("g") == g, F.col(x)).otherwise(0)).alias(f"{x}{g}") for x in "nd" for g in range(GROUPS)
+    ])
+
+
+def _discount(ones: int | None, twos: int | None) -> float:
+    """Absolute discount by the counts of counts, strictly between 0 and 1."""
+    ones, twos = ones or 0, twos or 0
+    return min(max(ones / max(1, ones + 2 * twos), 0.05), 0.95)
+
+
+_KINDS = [(m, y) for m in range(len(FOLDS)) for y in (0, 1)]
+
+
+def _by_kind(name: str) -> dict[tuple[int, int], Column]:
+    """Counts of both classes over each of ``FOLDS``."""
+    return {(m, y): reduce(Column.__add__, [F.col(f"{name}{2 * fold + y}") for fold in FOLDS[m]]) for m, y in _KINDS}
+
+
+def _number(x: Column) -> Column:
+    return F.sum(x.cast("bigint"))
+
+
+def word_shares(pairs: DataFrame, shared: DataFrame) -> tuple[DataFrame, dict[tuple[int, int], float]]:
+    """Every word of the classes (``key``), and the discount of pairs, for each of ``FOLDS`` and each class.
+
+    ``p``: share of the word in the Kneser-Ney model; ``q``: in the word model; ``c``, ``b``: its
+    occurrences as a context, and the mass it leaves to the lower order.
+    """
+    c, d = _by_kind("n"), _by_kind("d")
+    contexts = pairs.groupBy(F.col("v").alias("key")).agg(*[
+        x.alias(f"{name}{m}{y}") for m, y in _KINDS for name, x in (("c", F.sum(c[m, y])), ("t", _number(c[m, y] > 0)))
+    ])
+    ends = pairs.groupBy(F.col("w").alias("key")).agg(*[
+        x.alias(f"{name}{m}{y}") for m, y in _KINDS for name, x in (("k", _number(c[m, y] > 0)), ("d", F.sum(d[m, y])))
+    ])
+    words = materialise(
+        contexts.join(ends, "key", "full").join(shared.select(F.col("w").alias("key"), "n"), "key", "left").fillna(0), "words"
+    )
+    of_pairs = pairs.agg(*[_number(c[m, y] == i).alias(f"{i}{m}{y}") for m, y in _KINDS for i in (1, 2)]).first()
+    of_words = words.agg(*[
+        F.coalesce(x, F.lit(0)).alias(f"{name}{m}{y}") for m, y in _KINDS for k, n in [(F.col(f"k{m}{y}"), F.col(f"d{m}{y}"))]
+        for name, x in (("1", _number(k == 1)), ("2", _number(k == 2)), ("t", _number(k > 0)), ("s", _number(k)),
+                        ("n", F.sum(n)), ("l", F.sum(F.greatest(n - DISCOUNT, F.lit(0.0)))))
+    ]).first()
+    total, number = shared.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    base = F.when(F.col("key") == START, 0.0).otherwise((F.col("n") + 0.5) / (total + 0.5 * max(1, number)))
+    discounts, columns = {}, []
+    for m in range(len(FOLDS)):
+        sums = {}
+        for y in (0, 1):
+            of = lambda x: float(of_words[f"{x}{m}{y}"])  # noqa: B023, E731
+            low = _discount(of("1"), of("2"))
+            # For the shares p and q: discount, sum of the counts, sum of what the discounts leave.
+            sums[y] = (("p", "k", low, of("s"), of("s") - low * of("t")), ("q", "d", DISCOUNT, of("n"), of("l")))
+        for own in zip(*sums.values()):
+            # One backoff weight for both models, the larger: words that neither knows then weigh nothing.
+            weight = max(1 - left / max(1.0, every) for _, _, _, every, left in own)
+            for y, (name, count, low, _, left) in enumerate(own):
+                kept = F.greatest(F.col(f"{count}{m}{y}") - low, F.lit(0.0)) / max(left, 1e-9)
+                columns.append(((1 - weight) * kept + weight * base).alias(f"{name}{m}{y}"))
+        for y in (0, 1):
+            discounts[m, y] = _discount(of_pairs[f"1{m}{y}"], of_pairs[f"2{m}{y}"])
+            back = discounts[m, y] * F.col(f"t{m}{y}") / F.col(f"c{m}{y}")
+            columns += [F.when(F.col(f"c{m}{y}") > 0, back).otherwise(1.0).alias(f"b{m}{y}"), F.col(f"c{m}{y}")]
+    return materialise(words.select("key", "n", *columns), "shares"), discounts
+
+
+def entries(pairs: DataFrame, shared: DataFrame) -> DataFrame:
+    """What expressions add to the ratios: ``key``, ``n``, and for each of ``FOLDS`` ``here`` and, as a context, ``next``
+    in the Kneser-Ney models, and ``word`` in the word models.
+
+    The former are p(w|v) = max(c(v,w) - D, 0) / c(v) + D t(v) / c(v) p(w), where t(v) is the number of words seen after v.
+    """
+    words, discounts = word_shares(pairs, shared)
+    c = _by_kind("n")
+    as_context = words.select(F.col("key").alias("v"), *[F.col(f"{x}{m}{y}") for m, y in _KINDS for x in "bc"])
+    as_word = words.select(F.col("key").alias("w"), *[F.col(f"p{m}{y}") for m, y in _KINDS])
+    joined = pairs.join(as_context, "v").join(as_word, "w")
+
+    def added(m: int, y: int) -> Column:
+        own = F.greatest(c[m, y] - discounts[m, y], F.lit(0.0)) / F.greatest(F.col(f"c{m}{y}"), F.lit(1))
+        return F.log1p(own / (F.col(f"b{m}{y}") * F.col(f"p{m}{y}")))
+
+    of_pair, of_word = [], []
+    start = F.col("key") == START
+    for m in range(len(FOLDS)):
+        ratio = {x: F.log(F.col(f"{x}{m}1") / F.col(f"{x}{m}0")) for x in "pqb"}
+        of_pair += [(added(m, 1) - added(m, 0)).alias(f"here{m}"), F.lit(0.0).alias(f"next{m}"), F.lit(0.0).alias(f"word{m}")]
+        of_word += [F.when(start, 0.0).otherwise(ratio["p"]).alias(f"here{m}"), ratio["b"].alias(f"next{m}"),
+                    F.when(start, 0.0).otherwise(ratio["q"]).alias(f"word{m}")]
+    n = reduce(Column.__add__, [F.col(f"n{g}") for g in range(GROUPS)])
+    return words.select("key", F.when(start, F.lit(1 << 40)).otherwise(F.col("n")).alias("n"), *of_word).unionByName(
+        joined.select(F.col("p").alias("key"), n.alias("n"), *of_pair)
+    )
+
+
+_VALUES = ("here", "next", "word")
+
+
+def _held(table: DataFrame, m: int) -> tuple:
+    """Broadcast of the commonest entries and of a bit map of the others, and the others."""
+    steps = table.groupBy(F.floor(4 * F.log2(F.col("n") + 1)).alias("step")).count().collect()
+    least, total = None, 0
+    for step, n in sorted(((r["step"], r["count"]) for r in steps), reverse=True):
+        if total + n > HOT:
+            break
+        least, total = step, total + n
+    many = F.lit(False) if least is None else F.floor(4 * F.log2(F.col("n") + 1)) >= least
+    one = table.select("key", "n", *[F.col(f"{x}{m}").alias(x) for x in _VALUES])
+    hot = one.filter(many).select("key", *_VALUES).toPandas().sort_values("key")
+    cold = one.filter(~many).filter("here <> 0 OR next <> 0 OR word <> 0").select("key", *_VALUES)
+    left = max(1, sum(r["count"] for r in steps) - total)
+    cells = min(MAP_CELLS, max(bitmap.BLOCK, 1 << (8 * left).bit_length()))
+    bits = collect_bits(cold.select(F.lit(0).alias("depth"), F.col("key").bitwiseAND(F.lit(cells - 1)).alias("cell")), 1, cells)[0]
+    arrays = [hot[x].to_numpy() for x in ("key", *_VALUES)]
+    return table.sparkSession.sparkContext.broadcast((arrays, bits, cells)), cold
+
+
+def _lookups(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
+    """A head row per text, with what the common expressions say word by word, and a row per entry to be joined."""
+    (keys, here, after, alone), bits, cells = held.value
+
+    def common(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(keys, k), max(0, len(keys) - 1))
+        return at, keys[at] == k if len(keys) else np.zeros(len(k), dtype=bool)
+
+    for batch in batches:
+        rows = batch.column(0).to_numpy()
+        heads, found = [], []
+        for row, text in zip(rows, batch.column(1)):
+            _, w, p = _neighbours(text.as_py())
+            said = np.zeros((2, len(w)), dtype=np.float32)
+            if len(w):
+                words = np.concatenate((np.full(1, START, dtype=np.uint64), w)).view(np.int64)
+                for k, first in ((words, -1), (p.view(np.int64), 0)):
+                    at, is_common = common(k)
+                    if len(keys):
+                        said[0] += np.where(is_common, here[at], 0)[-len(w):]
+                        if first:
+                            said[0] += np.where(is_common, after[at], 0)[:-1]
+                            said[1] += np.where(is_common, alone[at], 0)[1:]
+                    rest = np.flatnonzero(~is_common & has_bits(bits, k & (cells - 1)))
+                    found.append((np.full(len(rest), row), k[rest], rest + first))
+            heads.append(said.tobytes())
+        none = len(rows)
+        own = [np.concatenate(x) for x in zip(*found)] if found else [np.empty(0, dtype=np.int64)] * 3
+        # A head's key is its own, so that heads are spread over the join.
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.concatenate((rows, own[0]))),
+            pa.array(np.concatenate((mix(rows.astype(np.uint64), 7).view(np.int64), own[1]))),
+            pa.array(np.concatenate((np.full(none, -2), own[2])).astype(np.int32)),
+            pa.array(heads + [None] * len(own[0]), pa.binary()),
+            pa.concat_arrays([batch.column(2), pa.nulls(len(own[0]), batch.column(2).type)]),
+        ], ["row", "key", "at", "said", "k"])
+
+
+def length_normalised(r: np.ndarray) -> list[float]:
+    """Ratios of the whole text and of its best passages. Zeros without words."""
+    if not len(r):
+        return [0.0] * (1 + len(PASSAGES))
+    sums = np.concatenate(([0.0], np.cumsum(r)))
+    out = [sums[-1] / len(r)]
+    for width in PASSAGES:
+        w = min(width, len(r))
+        out.append(float((sums[w:] - sums[:-w]).max()) / width)
+    return out
+
+
+def _ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column(2)
+        parts = lists.flatten()
+        at, here, after, alone = (parts.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+        edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        out = []
+        for i, said in enumerate(batch.column(1)):
+            r = np.frombuffer(said.as_py(), dtype=np.float32).astype(np.float64).reshape(2, -1)
+            part = slice(edges[i], edges[i + 1])
+            # Sorted, so that sums do not depend on the order of arrival.
+            order = np.lexsort((alone[part], after[part], here[part], at[part]))
+            a, h, n, o = (x[part][order] for x in (at, here, after, alone))
+            np.add.at(r[0], a[a >= 0], h[a >= 0])
+            np.add.at(r[1], a[a >= 0], o[a >= 0])
+            inside = a + 1 < r.shape[1]
+            np.add.at(r[0], a[inside] + 1, n[inside])
+            out.append(length_normalised(r[0]) + length_normalised(r[1]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], ["k", "f"])
+
+
+def measured(rows: DataFrame, table: DataFrame, m: int) -> DataFrame:
+    """``k`` and features ``f`` of every row (``k``, ``x``) by the models of ``FOLDS[m]``."""
+    held, cold = _held(table, m)
+    kind = rows.schema["k"].dataType.simpleString()
+    lines = rows.select(F.monotonically_increasing_id().alias("row"), "x", "k").mapInArrow(
+        lambda it: _lookups(it, held), f"row bigint, key bigint, at int, said binary, k {kind}"
+    )
+    met = lines.join(cold, "key", "left").filter("at = -2 OR here IS NOT NULL")
+    texts = met.groupBy("row").agg(
+        F.first(F.when(F.col("at") == -2, F.col("k")), ignorenulls=True).alias("k"), F.first("said", ignorenulls=True).alias("said"),
+        F.collect_list(F.when(F.col("at") > -2, F.struct("at", *_VALUES))).alias("parts"),
+    )
+    return texts.select("k", "said", "parts").mapInArrow(_ratios, f"k {kind}, f array<double>")
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 100) -> np.ndarray:
@@ -196,34 +428,22 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
 
 @dataclass
 class ToxicityModel:
-    tables: Tables | None
+    tables: DataFrame | None
     weights: np.ndarray | None
 
-    def score(self, spark, text: Column) -> Column:
-        """Probability of label 1 for a text column; 0.0 throughout if the model never saw both classes."""
-        if self.tables is None:
-            return F.lit(0.0)
-        held = spark.sparkContext.broadcast((self.tables, self.weights))
-
-        @F.pandas_udf("double")
-        def of(texts: pd.Series) -> pd.Series:
-            tables, weights = held.value
-            x = np.array([tables.features(t) for t in texts], dtype=np.float64).reshape(len(texts), -1)
-            # Row by row: a matrix product may round equal rows apart.
-            z = (x * weights[:-1]).sum(axis=1) + weights[-1]
-            return pd.Series(1 / (1 + np.exp(-np.clip(z, -35, 35))))
-
-        return of(text)
+    def score(self, features: Column) -> Column:
+        """Probability of label 1 for a column of features."""
+        z = reduce(Column.__add__, [features[i] * float(w) for i, w in enumerate(self.weights[:-1])]) + float(self.weights[-1])
+        return 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(35.0)), F.lit(-35.0))))
 
 
 def fit(documents: DataFrame, key: str, text: str, labels: DataFrame, label: str) -> ToxicityModel:
     """Learn from ``documents`` (counts over all rows) and ``labels`` (``key``, ``label`` 0/1; training rows only).
 
     Counts use every labelled row and the shared counts every document. The calibration uses at most
-    ``CALIBRATION_ROWS`` labelled rows, those with the smallest key hash. An id labelled twice is toxic if
+    ``CALIBRATION_ROWS`` labelled ids, those with the smallest key hash, with one text each. An id labelled twice is toxic if
     any label is; null ids and labels are left out. Null and empty texts have no words.
     """
-    spark = documents.sparkSession
     docs = documents.select(F.col(key).alias("k"), F.col(text).alias("x"))
     known = (
         labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull())
@@ -236,30 +456,35 @@ def fit(documents: DataFrame, key: str, text: str, labels: DataFrame, label: str
         return ToxicityModel(None, None)
     maybe = docs.filter(maybe_member(known, "k")(F.col("k")))
     labelled = maybe.join(known, "k").select("x", (2 * F.col("fold") + F.col("y")).alias("g"))
-    parts = docs.select("x").mapInArrow(_count_shared, _COUNTS).unionByName(labelled.mapInArrow(_count_classes, _COUNTS))
-    counts = Counts.merge(parts)
+    pairs = materialise(pair_counts(labelled), "pairs")
+    shared = materialise(docs.select("x").mapInArrow(_words, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n")), "shared")
+    table = materialise(entries(pairs, shared), "entries")
 
     sample = F.broadcast(known.orderBy(F.xxhash64("k"), "k").limit(CALIBRATION_ROWS))
-    halves = spark.sparkContext.broadcast([counts.tables((1,)), counts.tables((0,))])
-
-    @F.pandas_udf("array<double>")
-    def measured(texts: pd.Series, fold: pd.Series) -> pd.Series:
-        return pd.Series([halves.value[f].features(t) for t, f in zip(texts, fold)])
-
-    rows = docs.join(sample, "k").select("y", measured("x", "fold").alias("f")).limit(2 * CALIBRATION_ROWS).collect()
-    halves.unpersist()
-    x = np.array([r["f"] for r in rows], dtype=np.float64).reshape(len(rows), 1 + len(PASSAGES))
-    y = np.array([r["y"] for r in rows], dtype=np.float64)
+    # One text for each id: repeated ids crowd out no others.
+    texts = docs.join(sample, "k").groupBy("k", "y", "fold").agg(F.min(F.struct(F.xxhash64("x").alias("h"), "x")).alias("t"))
+    texts = materialise(texts.select("y", "fold", "t.x"), "sample")
+    rows = []
+    for fold in (0, 1):
+        part = texts.filter(F.col("fold") == fold).select(F.col("y").alias("k"), "x")
+        rows += measured(part, table, 1 + fold).collect()
+    x = np.array([r["f"] for r in rows], dtype=np.float64).reshape(len(rows), 2 * (1 + len(PASSAGES)))
+    y = np.array([r["k"] for r in rows], dtype=np.float64)
     if not 0 < y.sum() < len(y):
         return ToxicityModel(None, None)
-    return ToxicityModel(counts.tables((0, 1)), fit_logistic(x, y))
+    return ToxicityModel(table, fit_logistic(x, y))
 
 
 def score_documents(model: ToxicityModel, documents: DataFrame, key: str, text: str, cut: float) -> DataFrame:
     """One row per input row: ``key``, ``score`` (0 to 1), ``predicted`` (1 from ``cut`` on).
 
-    Only the text is scored. Null and empty texts get the score of a text without evidence. Repeated rows
+    Only the text is scored; the score is 0.0 throughout if the model never saw both classes. Null and empty texts
+    get the score of a text without evidence. Repeated rows
     and null keys are kept; an empty table gives an empty result; other columns are not read.
     """
-    scored = documents.select(F.col(key), model.score(documents.sparkSession, F.col(text)).alias("score"))
+    rows = documents.select(F.col(key).alias("k"), F.col(text).alias("x"))
+    if model.tables is None:
+        scored = rows.select(F.col("k").alias(key), F.lit(0.0).alias("score"))
+    else:
+        scored = measured(rows, model.tables, 0).select(F.col("k").alias(key), model.score(F.col("f")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= cut).cast("int"))

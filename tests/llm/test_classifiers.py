@@ -103,3 +103,33 @@ def test_quality_of_odd_rows(spark):
     assert len(rows) == 13 and all(0 <= r["score"] <= 1 for r in rows)
     assert len({r["score"] for r in rows if r["doc_id"] in (2, 3)}) == 1
     assert quality.score_documents(model, empty(spark), "doc_id", "text", 0.3).count() == 0
+
+
+def test_pairs_are_counted_by_their_words_alone(spark):
+    documents, marks = labelled(spark, 40)
+    texts = {r["doc_id"]: toxicity.plain_words(r["text"]) for r in documents.collect()}
+    rows = toxicity.pair_counts(documents.join(marks, "doc_id").selectExpr("text AS x", "y AS g").repartition(5)).collect()
+    names = {int(h.view(np.int64)): w for t in texts.values() for w, h in zip(t, toxicity.hash_words(t))} | {toxicity.START: None}
+    want, holding = {}, {}
+    for i, t in texts.items():
+        for v, w in zip([None, *t], t):
+            want.setdefault((v, w), [0, 0, 0, 0])[int(i % 4 == 0)] += 1
+        for w in set(t):
+            holding.setdefault(w, [0, 0, 0, 0])[int(i % 4 == 0)] += 1
+    assert {(names[r["v"]], names[r["w"]]): [r[f"n{g}"] for g in range(4)] for r in rows} == want
+    got = {w: np.zeros(4, dtype=int) for w in holding}
+    for r in rows:
+        got[names[r["w"]]] += [r[f"d{g}"] for g in range(4)]
+    assert {w: n.tolist() for w, n in got.items()} == holding
+
+
+def test_scores_do_not_depend_on_what_is_broadcast(spark, monkeypatch):
+    documents, marks = labelled(spark)
+    new = spark.createDataFrame([(i, f"w{i} w{i + 1} {'fool' if i % 2 else 'w7'} w{i + 2}") for i in range(60)], "doc_id int, text string")
+    scores = []
+    for hot in (toxicity.HOT, 8, 0):
+        monkeypatch.setattr(toxicity, "HOT", hot)
+        model = toxicity.fit(documents, "doc_id", "text", marks, "y")
+        scores.append({r["doc_id"]: r["score"] for r in toxicity.score_documents(model, new, "doc_id", "text", 0.7).collect()})
+    assert scores[0] == pytest.approx(scores[1], abs=1e-4) and scores[0] == pytest.approx(scores[2], abs=1e-4)
+    assert min(scores[0][i] for i in range(1, 60, 2)) > max(scores[0][i] for i in range(0, 60, 2))
