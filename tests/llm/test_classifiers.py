@@ -133,3 +133,21 @@ def test_scores_do_not_depend_on_what_is_broadcast(spark, monkeypatch):
         scores.append({r["doc_id"]: r["score"] for r in toxicity.score_documents(model, new, "doc_id", "text", 0.7).collect()})
     assert scores[0] == pytest.approx(scores[1], abs=1e-4) and scores[0] == pytest.approx(scores[2], abs=1e-4)
     assert min(scores[0][i] for i in range(1, 60, 2)) > max(scores[0][i] for i in range(0, 60, 2))
+
+
+def test_every_context_sums_to_one(spark):
+    documents, marks = labelled(spark, 80)
+    groups = documents.join(marks, "doc_id").selectExpr("text AS x", "2 * (doc_id % 2) + y AS g")
+    pairs = toxicity.pair_counts(groups).cache()
+    shared = documents.select("text").mapInArrow(toxicity._words, "w bigint, n bigint").groupBy("w").sum("n").toDF("w", "n")
+    words, discounts = toxicity.word_shares(pairs, shared)
+    words, seen = {r["key"]: r for r in words.collect()}, pairs.collect()
+    for (m, y), discount in discounts.items():
+        assert 0 < discount < 1
+        assert sum(r[f"p{m}{y}"] for r in words.values()) == pytest.approx(1) == sum(r[f"q{m}{y}"] for r in words.values())
+        own = dict.fromkeys(words, 0.0)
+        for r in seen:
+            n = sum(r[f"n{2 * fold + y}"] for fold in toxicity.FOLDS[m])
+            own[r["v"]] += max(n - discount, 0) / max(1, words[r["v"]][f"c{m}{y}"])
+        assert all(own[v] + r[f"b{m}{y}"] == pytest.approx(1) for v, r in words.items())
+    pairs.unpersist()
