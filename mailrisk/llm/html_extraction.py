@@ -8,7 +8,7 @@ optional group, until all streams of the host are explained by one wrapper.
 Pages with the same stream are counted before anything is shuffled. The distinct streams of a host are aligned
 in rounds of hashed buckets, so that no task sees all streams of a large host. The wrapper is then
 read once for the article: its slots are the article's or not by the containers around them, and a
-page's text is taken from the article's slots. Page bodies are not shuffled unless the
+page's text is taken from the article's slots, by the first choice of containers that gives the page any text. Page bodies are not shuffled unless the
 wrappers outgrow a broadcast.
 """
 
@@ -45,6 +45,7 @@ _CLOSED_BY = {  # an open element on the left is closed by the start of one on t
     "option": {"option"},
 }
 _PAGE_PARTS = {"nav", "footer", "header", "aside", "form", "menu", "dialog", "fieldset"}
+_WHOLE = {"html", "body", "main", "article"}
 _PART_NAMES = re.compile(
     r"(?:^|[-_ ])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|header|login|menu|modal|"
     r"nav\w*|newsletter|notice|popup|promo\w*|related|replies|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|"
@@ -235,6 +236,8 @@ def _merge_options(nodes: list) -> list:
 
 def _is_part(name: str) -> bool:
     tag, _, names = name.partition(" ")
+    if tag in _WHOLE:  # their names tell of the page's layout
+        return False
     return tag in _PAGE_PARTS or tag in _HIDDEN or bool(names and _PART_NAMES.search(names.replace("=", " ")))
 
 
@@ -250,9 +253,12 @@ def _paths(nodes: list, at: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, .
             yield from _paths(node[2], (*at, node[1]))
 
 
-def article_paths(wrapper: list) -> set[tuple[str, ...]]:
-    """Slots of the article: below the outermost article, else main, else a container named as such, else the body,
-    and below no part of the page."""
+def article_paths(wrapper: list) -> list[set[tuple[str, ...]]]:
+    """Choices of slots for the article, best first: below the outermost article, else main, else a container named as
+    such, else the body, and below no part of the page.
+
+    Pages of one host may differ in template, so a page takes the first choice in which it has text.
+    """
     paths = list(_paths(wrapper))
     open_ = [(p, t) for p, t in paths if not any(_is_part(x) for x in p)]
     tests = (
@@ -261,12 +267,17 @@ def article_paths(wrapper: list) -> set[tuple[str, ...]]:
         lambda x: " " in x and bool(_MAIN_NAMES.search(x.partition(" ")[2].replace("=", " "))),
         lambda x: True,
     )
+    choices = []
     for test in tests:
-        roots = [p for p, _ in open_ if p and test(p[-1])]
-        slots = {p for p, text in open_ if text and (any(p[: len(r)] == r for r in roots) or test is tests[-1])}
-        if slots:
-            return slots
-    return set()
+        slots = {p for p, text in open_ if text and (any(map(test, p)) or test is tests[-1])}
+        if slots and slots not in choices:
+            choices.append(slots)
+    return choices
+
+
+def article(html: str | None, choices: list[set[tuple[str, ...]]]) -> str:
+    """Text of the first choice of slots that holds any."""
+    return next(filter(None, (extract(html, slots) for slots in choices)), "")
 
 
 def extract(html: str | None, slots: set[tuple[str, ...]]) -> str:
@@ -345,7 +356,7 @@ def extract_pages(pages: DataFrame, key: str, url: str, html: str, wrappers: Dat
     @F.pandas_udf("string")
     def text_of(htmls: pd.Series, found: pd.Series) -> pd.Series:
         slots = {w: article_paths(json.loads(w)) for w in found.unique()}
-        return pd.Series([extract(h, slots[w]) for h, w in zip(htmls, found)], dtype=object)
+        return pd.Series([article(h, slots[w]) for h, w in zip(htmls, found)], dtype=object)
 
     rows = pages.select(F.col(key), F.col(url), F.col(html).alias("_html"), url_host(F.col(url)).alias("host"))
     return rows.join(wrappers.drop("pages"), "host").select(

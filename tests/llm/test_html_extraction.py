@@ -98,3 +98,18 @@ def test_alignment_explains_both_sides():
     assert hx.align([p, br], [p]) == [p, ["g", "?", [br]]]
     assert hx.align([t], []) == [["g", "?", [t]]]
     assert hx.align([["g", "?", [br]], p], [p, p]) == hx.align([p, p], [["g", "?", [br]], p])
+
+
+def test_every_page_of_a_host_chooses_for_itself(spark):
+    bodies = [
+        ("<body><nav>menu</nav><article>in article</article></body>", "in article"),
+        ("<body><nav>menu</nav><main>in main</main></body>", "in main"),
+        ("<body><div class=content>named</div><div>beside</div></body>", "named"),
+        ("<body><p>plain body</body>", "plain body"),
+        ("<body class='has-sidebar'><p>beside a sidebar</body>", "beside a sidebar"),
+        ("<body><article class='post comments-open'>open to comments</article></body>", "open to comments"),
+        ("<body><nav>menu only</nav></body>", ""),
+    ]
+    rows = [(10 * h + i, url, html) for h, url in enumerate(["http://mixed.org/", None, "no host"]) for i, (html, _) in enumerate(bodies)]
+    got = hx.extract_pages(spark.createDataFrame(rows, "page_id int, url string, html string"), "page_id", "url", "html").collect()
+    assert {r["page_id"]: r["text"] for r in got} == {10 * h + i: text for h in range(3) for i, (_, text) in enumerate(bodies)}
