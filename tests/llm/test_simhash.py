@@ -102,3 +102,35 @@ def test_similar_documents_finds_edited_copies(spark, bucket):
     assert got == {m: members[0] for members in groups for m in members}
     far = simhash.wide_votes(np.arange(1, 500, dtype=np.uint64)) != simhash.wide_votes(np.arange(500, 999, dtype=np.uint64))
     assert far.sum() > 2 * simhash.most_bits(0.8)
+
+
+def five_word_sets(rows):
+    return [{tuple(r[i:i + 5]) for i in range(len(r) - 4)} for r in rows]
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_similar_documents_equals_true_jaccard(spark):
+    draw = random.Random(11)
+    new = lambda n: [f"w{draw.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for _ in range(40):  # just above and below 0.8: replaced, appended and cut passages, scattered words
+        base = new(400)
+        for n in (38, 46):
+            at = draw.randrange(300)
+            rows += [base, base[:at] + new(n) + base[at + n:]]
+            base = new(400)
+        for n in (92, 108):
+            rows += [base, base + new(n)]
+            base = new(400)
+        for n in (322, 308):
+            rows += [base, base[:n]]
+            base = new(400)
+    texts = [" ".join(r) for r in rows]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df, "doc_id", "text").collect()}
+    sets = five_word_sets(rows)
+    want = {j: i if jaccard(sets[i], sets[j]) >= 0.8 else j for i in range(0, len(texts), 2) for j in (i, i + 1)}
+    assert got == want and 100 < sum(i != j for i, j in want.items()) < 140
