@@ -134,3 +134,26 @@ def test_similar_documents_equals_true_jaccard(spark):
     sets = five_word_sets(rows)
     want = {j: i if jaccard(sets[i], sets[j]) >= 0.8 else j for i in range(0, len(texts), 2) for j in (i, i + 1)}
     assert got == want and 100 < sum(i != j for i, j in want.items()) < 140
+
+
+def test_crowds_whose_original_is_not_the_least(spark):
+    draw = random.Random(12)
+    new = lambda n: [f"w{draw.randrange(10**6)}" for _ in range(n)]
+    base, boilerplate = new(300), new(300)
+    rows = []
+    for _ in range(160):  # similar to the original, not to each other
+        copy = list(base)
+        for at in draw.sample(range(300), 6):
+            copy[at] = new(1)[0]
+        rows.append(copy)
+    for _ in range(60):  # pairs on shared words
+        own = new(84)
+        rows += [boilerplate + own, boilerplate + own[:80] + new(4)]
+    draw.shuffle(rows)
+    rows.append(base)
+    texts, sets = [" ".join(r) for r in rows], five_word_sets(rows)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = brute_components(range(len(texts)), lambda a, b: jaccard(sets[a], sets[b]) >= 0.8)
+    for bucket in (64, 4):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df, "doc_id", "text", pair_bucket=bucket).collect()}
+        assert got == want
