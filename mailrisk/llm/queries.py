@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailrisk.llm import decontamination, fingerprints, html_extraction, packing, quality, sharding, simhash, substring, toxicity, url_filters
+from mailrisk.llm import decontamination, fingerprints, html_extraction, packing, quality, sharding, simhash, substring, superminhash, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -181,3 +181,31 @@ SELECT page_id, url, array_to_string(blocks, chr(10)) AS text, length(array_to_s
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = html_extraction.extract_pages(_table(spark, sf_dir, "pages"), "page_id", "url", "html")
     return rows.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+@_query("op13_superminhash", """
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(words) - 3, 1) + 1),
+    lambda i: array_to_string(words[i:i + 3], ' '))) AS shingles
+  FROM w WHERE len(words) > 0),
+n AS (SELECT doc_id, len(shingles) AS n FROM s),
+e AS (SELECT doc_id, unnest(shingles) AS shingle FROM s),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+  FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)),
+both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (
+  WITH RECURSIVE reach(a, b) AS (
+    SELECT doc_id, doc_id FROM documents
+    UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a)
+  SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, documents.doc_id = component_id AS kept
+FROM documents JOIN r USING (doc_id) LEFT JOIN n USING (doc_id)
+""")
+def op13_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(_table(spark, sf_dir, "documents"), "doc_id", "text")
