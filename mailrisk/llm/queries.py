@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailrisk.llm import decontamination, fingerprints, html_extraction, packing, quality, sharding, simhash, substring, superminhash, toxicity, url_filters
+from mailrisk.llm import decontamination, fingerprints, html_extraction, packing, quality, sharding, simhash, structure_repair, substring, superminhash, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -209,3 +209,10 @@ FROM documents JOIN r USING (doc_id) LEFT JOIN n USING (doc_id)
 """)
 def op13_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@_query("op11_structure_repair")
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    damaged = structure_repair.damage(conversations, "conv_id", "turn", "role", "text").withColumnRenamed("conv", "conv_id")
+    return structure_repair.structure_report(damaged, "conv_id", "turn", "role", "text", conversations)
