@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailrisk.llm import decontamination, fingerprints, html_extraction, packing, quality, sharding, simhash, structure_repair, substring, superminhash, toxicity, url_filters
+from mailrisk.llm import decontamination, fingerprints, html_extraction, packing, prefix_trie, quality, sharding, simhash, structure_repair, substring, superminhash, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -216,3 +216,43 @@ def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = _table(spark, sf_dir, "conversations")
     damaged = structure_repair.damage(conversations, "conv_id", "turn", "role", "text").withColumnRenamed("conv", "conv_id")
     return structure_repair.structure_report(damaged, "conv_id", "turn", "role", "text", conversations)
+
+
+@_query("op12_prefix_trie", """
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos,
+    coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+k AS (
+  SELECT DISTINCT c, c - c % 5 AS base, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(
+    string_split(CAST(c AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) % 9 AS h
+  FROM t),
+r AS (
+  SELECT k.c, 0 AS own, pos, role, text FROM k JOIN t ON t.c = k.base WHERE pos < h
+  UNION ALL SELECT k.c, 1, pos, role, text FROM k JOIN t ON t.c = k.c WHERE pos >= h),
+d AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, pos) AS d, md5(role || chr(1) || text) AS turn,
+    strlen(text) AS size FROM r),
+m AS (
+  SELECT c, 0 AS d, '' AS node, 0 AS size FROM k
+  UNION ALL SELECT c, d, string_agg(turn, ',') OVER (PARTITION BY c ORDER BY d), size FROM d),
+l AS (SELECT c, max(d) AS length FROM m GROUP BY c),
+n AS (SELECT d, node, min(c) AS c, count(*) AS n, max(size) AS size FROM m GROUP BY d, node),
+up AS (
+  SELECT n.*, p.node AS above, q.c AS parent FROM n
+  LEFT JOIN m p ON p.c = n.c AND p.d = n.d - 1 LEFT JOIN n q ON q.d = p.d AND q.node = p.node),
+ch AS (SELECT d - 1 AS d, above AS node, count(*) AS children FROM up WHERE d > 0 GROUP BY 1, 2),
+s AS (SELECT n.*, coalesce(children, 0) AS children FROM n LEFT JOIN ch USING (d, node)),
+w AS (
+  SELECT m.d, m.node, count(*) FILTER (s.children = 0) AS leaves, sum((s.n - 1) * s.size) AS saved
+  FROM s JOIN m ON m.c = s.c AND m.d <= s.d GROUP BY 1, 2),
+e AS (
+  SELECT m.d, m.node, string_agg(CAST(m.c AS VARCHAR), ',' ORDER BY m.c) AS ids
+  FROM m JOIN l ON l.c = m.c AND l.length = m.d GROUP BY 1, 2)
+SELECT up.c AS conv_id, CAST(up.d AS BIGINT) AS depth, parent AS parent_conv_id, up.n AS n_convs, s.children AS n_children,
+  leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM up JOIN s USING (d, node) JOIN w USING (d, node) LEFT JOIN e USING (d, node)
+""")
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(_table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
