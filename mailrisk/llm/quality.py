@@ -120,8 +120,8 @@ def learn(x: np.ndarray, y: np.ndarray, seed: int = 7) -> QualityModel | None:
 def fit(documents: DataFrame, key: str, text: str, labels: DataFrame, label: str) -> QualityModel | None:
     """Learn from ``labels`` (``key``, ``label`` 0/1; training rows only) and the texts they name.
 
-    At most ``TRAINING_ROWS`` labelled ids are used, those with the smallest key hash. An id labelled
-    twice is good only if all its labels are; null ids and labels are left out. None without both labels.
+    At most ``TRAINING_ROWS`` labelled ids are used, those with the smallest key hash, with one text each: of several, the one
+    with the least hash. An id labelled twice is good only if all its labels are; null ids and labels are left out. None without both labels.
     """
     known = (
         labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull())
@@ -129,13 +129,14 @@ def fit(documents: DataFrame, key: str, text: str, labels: DataFrame, label: str
         .agg(F.min((F.col(label) > 0).cast("int")).alias("y"))
     )
     sample = F.broadcast(known.orderBy(F.xxhash64("k"), "k").limit(TRAINING_ROWS))
-    rows = (
+    # One text for each id: repeated ids crowd out no others.
+    texts = (
         documents.select(F.col(key).alias("k"), F.col(text).alias("x"))
         .join(sample, "k")
-        .select("y", _features(F.col("x")).alias("f"))
-        .limit(2 * TRAINING_ROWS)
-        .collect()
+        .groupBy("k", "y")
+        .agg(F.min(F.struct(F.xxhash64("x").alias("h"), "x")).alias("t"))
     )
+    rows = texts.orderBy("k").select("y", _features(F.col("t.x")).alias("f")).collect()
     if not rows:
         return None
     return learn(np.array([r["f"] for r in rows]), np.array([r["y"] for r in rows]))
