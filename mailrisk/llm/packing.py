@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 TIERS = (1024, 512, 256)
 END = 0
 STEP_WINDOWS = 64
-PENDING_TOKENS = 2_000_000
-CACHE = 500_000  # words in each of two generations
+PENDING_TOKENS = 500_000
+CACHE = 125_000  # words in each of two generations
 _MARKS = ".,;:!?"
 _LAST_LETTER = "\u052f"  # Latin, Greek and Cyrillic: letters that no library disputes
 
