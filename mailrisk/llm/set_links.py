@@ -6,15 +6,20 @@ then remains are buckets whose members lie in several components:
 
 * buckets of up to ``pair_bucket`` nodes are compared in pairs, but those within one component;
 * larger ones are split by an exact rule instead of being paired. Sets of similarity ``t`` share at least a share ``t`` of
-  either set, so whatever the order of all shingles, they share one of the first ``n - ceil(t n) + 1`` of each. With rare
-  shingles first, documents that share a long passage and differ otherwise meet nowhere, and no similar pair is missed.
+  either set, so whatever the order of all shingles, they share one of the first ``n - ceil(t n) + 1`` of each. The places of
+  the first one that they share also bound from above how many they share. With rare shingles first, documents that share
+  a long passage and differ otherwise meet nowhere or are ruled out where they meet, and no similar pair is missed.
 
 The order comes from a count sketch of fixed size; any fixed order gives the same links.
+
+Wherever two sets meet, their odd sketches are compared first: ``ODD_BITS`` bits, each the parity of the shingles that fall on it. Bits that
+differ never outnumber the shingles that only one of the sets holds, so a pair with too many of them is not similar.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +27,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailrisk.llm.bitmap import maybe_member
+from mailrisk.llm.bitmap import cell_of, listed, member_bits
 from mailrisk.llm.components import components
 from mailrisk.llm.words import hash_words, rolling
 from mailrisk.session import materialise
 
+Prints = Callable[[np.ndarray], np.ndarray]
 CELLS = 1 << 20
-PAIR_BUCKET = 64
+ODD_BITS = 512
+PAIR_BUCKET = 16
 
 
 def lower_words(text: str | None) -> list[bytes]:
@@ -46,17 +53,27 @@ def set_digest(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parities of the shingles by the leading bits of their hashes, as 64-bit words."""
+    at = (shingles >> np.uint64(64 - ODD_BITS.bit_length() + 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=ODD_BITS).astype(np.uint8) & 1, bitorder="little").view("<i8")
+
+
 def least_overlap(n: int, percent: int) -> int:
     """Shingles that a set of ``n`` shares with any set of at least this similarity."""
     return -(-percent * n // 100)
 
 
-def _set_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _set_rows(batches: Iterator[pa.RecordBatch], width: int, prints: Prints | None, bits) -> Iterator[pa.RecordBatch]:
+    """Sets of the texts whose cell is listed or null."""
     for batch in batches:
-        sets = [shingle_set(text.as_py(), width) for text in batch.column(0)]
+        cells = batch.column(0)
+        wanted = listed(bits.value, cells) | cells.is_null().to_numpy(zero_copy_only=False)
+        sets = [shingle_set(text.as_py(), width) for text in batch.column(1).filter(pa.array(wanted))]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(map(set_digest, sets), pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
-            ["digest", "shingles"],
+            [pa.array(map(set_digest, sets), pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+             pa.array([prints(s) for s in sets] if prints else [None] * len(sets), pa.list_(pa.int64()))],
+            ["digest", "shingles", "print"],
         )
 
 
@@ -69,7 +86,7 @@ def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], commonness, percent: int) -> Iterator[pa.RecordBatch]:
-    """The shingles by which a set must meet every similar one."""
+    """The shingles by which a set must meet every similar one, with their places in the order."""
     for batch in batches:
         nodes, tokens = [], []
         for node, shingles in zip(batch.column(0).to_numpy(), batch.column(1)):
@@ -78,26 +95,40 @@ def _prefixes(batches: Iterator[pa.RecordBatch], commonness, percent: int) -> It
             tokens.append(own[order[: len(own) - least_overlap(len(own), percent) + 1]])
             nodes.append(np.full(len(tokens[-1]), node))
         if nodes:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(tokens))], ["node", "key"])
+            places = np.concatenate([np.arange(len(t)) for t in tokens])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (np.concatenate(nodes), np.concatenate(tokens), places)], ["node", "key", "place"])
 
 
 def fold_sets(sketched: DataFrame) -> DataFrame:
-    """One row per distinct set that is not empty: ``node`` (its least row id), ``k`` of that row, ``digest``, ``n``, ``keys``."""
-    least = F.min_by(F.struct("row", "k", "n", "keys"), "row").alias("one")
-    folded = sketched.filter("n > 0").groupBy("digest").agg(least)
-    return folded.select(F.col("one.row").alias("node"), "one.k", "digest", "one.n", "one.keys")
+    """One row per distinct set: ``node`` (its least row id), ``k`` of that row, ``digest``, ``n``, ``odd``, ``keys``."""
+    least = F.min_by(F.struct("row", "k", "n", "odd", "keys"), "row").alias("one")
+    folded = sketched.groupBy("digest").agg(least)
+    return folded.select(F.col("one.row").alias("node"), "one.k", "digest", "one.n", "one.odd", "one.keys")
 
 
 def link_sets(
     one: DataFrame, texts: DataFrame, width: int, percent: int, pair_bucket: int = PAIR_BUCKET,
-    sift: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+    prints: Prints | None = None, most_bits: int = 0,
 ) -> DataFrame:
     """Links ``a``, ``b`` between nodes that give the components of all similar sets sharing a key.
 
     ``one``: rows of ``fold_sets``; ``texts``: ``k``, ``x`` of the documents behind them. Two sets are similar if ``100 *
-    intersection >= percent * union``. ``sift`` may strike out proposals (``a``, ``b``) before whole sets are fetched.
+    intersection >= percent * union``. With ``prints``, fingerprints of 64-bit words, only proposals that differ in at most ``most_bits``
+    bits of them are decided on the sets.
     """
-    nodes = one.select("node", "k", "digest", "n")
+    nodes = one.select("node", "k", "digest", "n", "odd")
+
+    def enough(m: str, n: str) -> Column:
+        """Common shingles of similar sets of these sizes: 100 c >= percent (m + n - c)."""
+        return F.ceil(percent * (F.col(m) + F.col(n)) / (100 + percent))
+
+    def may_be(m: str, n: str, odd_a: str, odd_b: str) -> Column:
+        """False only for pairs that are not similar."""
+        differ = reduce(Column.__add__, [
+            F.bit_count(F.col(odd_a)[i].bitwiseXOR(F.col(odd_b)[i])) for i in range(ODD_BITS // 64)])
+        return (F.least(m, n) >= enough(m, n)) & (differ <= F.col(m) + F.col(n) - 2 * enough(m, n))
+
     keys = one.select("node", F.explode("keys").alias("key"))
     shared = materialise(
         keys.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("z"), F.count(F.lit(1)).alias("members"))
@@ -106,35 +137,43 @@ def link_sets(
     )
     members = materialise(keys.join(shared, "key"), "buckets")
 
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        """``node``, ``shingles`` of the nodes listed."""
-        needed = materialise(wanted.join(nodes.drop("n"), "node"), "needed")
-        maybe = F.col("k").isNull() | maybe_member(needed, "k")(F.col("k"))
-        rows = texts.filter(maybe).select("x").mapInArrow(lambda it: _set_rows(it, width), "digest binary, shingles array<bigint>")
-        return materialise(rows.join(needed.select("node", "digest"), "digest").dropDuplicates(["node"]).drop("digest"), "sets")
+    def sets_of(wanted: DataFrame, prints: Prints | None = None) -> DataFrame:
+        """``node``, ``shingles``, ``print`` of the nodes listed."""
+        needed = materialise(wanted.join(nodes.select("node", "k", "digest"), "node"), "needed")
+        bits = member_bits(needed, "k")
+        rows = texts.select(cell_of(F.col("k")), "x").mapInArrow(
+            lambda it: _set_rows(it, width, prints, bits), "digest binary, shingles array<bigint>, print array<bigint>")
+        sets = materialise(rows.join(needed.select("node", "digest"), "digest").dropDuplicates(["node"]).drop("digest"), "sets")
+        bits.destroy()
+        return sets
 
     def similar(proposed: DataFrame) -> DataFrame:
         """The pairs that are similar, decided on their whole sets."""
-        sizes = [nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab"]
-        both = proposed.distinct().join(sizes[0], "a").join(sizes[1], "b")
-        both = both.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b", "n_a", "n_b")
-        both = materialise(sift(both, texts) if sift else both, "proposed")
+        facts = [nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}")) for x in "ab"]
+        both = proposed.distinct().join(facts[0], "a").join(facts[1], "b").filter(may_be("n_a", "n_b", "odd_a", "odd_b"))
+        both = materialise(both.select("a", "b", "n_a", "n_b"), "proposed")
         wanted = both.select(F.col("a").alias("node")).unionByName(both.select(F.col("b").alias("node"))).distinct()
-        sets = sets_of(wanted)
+        sets = sets_of(wanted, prints)
+        if prints:
+            sides = [sets.select(F.col("node").alias(x), F.col("print").alias(f"print_{x}")) for x in "ab"]
+            differ = F.zip_with("print_a", "print_b", lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("int"))
+            near = F.aggregate(differ, F.lit(0), lambda x, y: x + y) <= most_bits
+            both = materialise(both.join(sides[0], "a").join(sides[1], "b").filter(near).select("a", "b", "n_a", "n_b"), "near")
         sides = [sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab"]
         common = F.size(F.array_intersect("set_a", "set_b"))
         met = both.join(sides[0], "a").join(sides[1], "b")
         return materialise(met.filter(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b"), "similar")
 
-    def apart(buckets: DataFrame) -> DataFrame:
+    def apart(buckets: DataFrame, met: Column) -> DataFrame:
         """Pairs of one bucket in different components; those inside a bucket's largest component are not even met."""
         sizes = buckets.groupBy("key", "label").count()
         largest = sizes.groupBy("key").agg(
             F.max_by("label", F.struct("count", "label")).alias("largest"), F.min("label").alias("l"), F.max("label").alias("m")
         ).filter("l < m").select("key", "largest")
-        mixed = materialise(buckets.join(largest, "key"), "mixed")
+        mixed = materialise(buckets.join(largest, "key").join(nodes.select("node", "n", "odd"), "node"), "mixed")
         a, b = mixed.filter("label <> largest").alias("a"), mixed.alias("b")
-        return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label"))).select(
+        apart_here = (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label"))
+        return a.join(b, apart_here & met & may_be("a.n", "b.n", "a.odd", "b.odd")).select(
             F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")
         ).distinct()
 
@@ -143,7 +182,7 @@ def link_sets(
     labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ends = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).filter("l < m").select("key")
     mixed = materialise(labelled.join(ends, "key", "left_semi"), "several")
-    rest = apart(mixed.filter(F.col("members") <= pair_bucket).select("key", "node", "label"))
+    rest = apart(mixed.filter(F.col("members") <= pair_bucket).select("key", "node", "label"), F.lit(True))
 
     crowd = materialise(mixed.filter(F.col("members") > pair_bucket).select("node", "label").distinct(), "crowd")
     if not crowd.isEmpty():
@@ -153,27 +192,22 @@ def link_sets(
         for row in counts.repartition(8).toLocalIterator(prefetchPartitions=True):
             commonness[row["cell"]] = row["n"]
         held = sets.sparkSession.sparkContext.broadcast(commonness)
-        prefixes = sets.select("node", "shingles").mapInArrow(lambda it: _prefixes(it, held, percent), "node bigint, key bigint")
+        prefixes = sets.select("node", "shingles").mapInArrow(
+            lambda it: _prefixes(it, held, percent), "node bigint, key bigint, place bigint"
+        )
         prefixes = materialise(prefixes.join(crowd, "node"), "prefixes")
         held.destroy()
-        rest = rest.unionByName(apart(prefixes))
-    done = found.select("a", "b")
-    return found.unionByName(similar(rest.join(done, ["a", "b"], "left_anti")))
+        left = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
+        rest = rest.unionByName(apart(prefixes, left >= enough("a.n", "b.n")))
+    return found.unionByName(similar(rest))
 
 
 def least_keys(sketched: DataFrame, one: DataFrame, links: DataFrame) -> DataFrame:
-    """Per row of ``sketched``: ``k``, ``n``, ``component_id``, the least key of its component; its own key with an empty set."""
-    first = sketched.filter("n > 0").groupBy("digest").agg(F.min("k").alias("first"))
+    """``digest`` of every set and ``component_id``, the least key of its component (null if all its keys are null)."""
+    first = sketched.groupBy("digest").agg(F.min("k").alias("first"))
     labels = components(links, "a", "b")
     labelled = one.select("node", "digest").join(first, "digest").join(labels, "node", "left").select(
         "digest", "first", F.coalesce("label", "node").alias("label")
     )
     least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    classes = materialise(labelled.join(least, "label").select("digest", "component_id"), "classes")
-    return sketched.join(classes, "digest", "left").select(
-        "k", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("k")).alias("component_id")
-    )
-
-
-def differing(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
+    return materialise(labelled.join(least, "label").select("digest", "component_id"), "classes")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailrisk.llm.set_links import PAIR_BUCKET, fold_sets, least_keys, link_sets, set_digest, shingle_set
+from mailrisk.llm.set_links import PAIR_BUCKET, fold_sets, least_keys, link_sets, odd_sketch, set_digest, shingle_set
 from mailrisk.llm.words import mix
 from mailrisk.session import materialise
 
@@ -86,18 +86,29 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _sketch_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingle_set(text.as_py(), width) for text in batch.column(2)]
         keys = band_keys(signatures(sets)) if sets else np.empty((0, BANDS), dtype=np.int64)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(map(set_digest, sets), pa.binary()),
-             pa.array([len(s) for s in sets], pa.int64()),
+             pa.array([len(s) for s in sets], pa.int64()), pa.array(map(odd_sketch, sets), pa.list_(pa.int64())),
              pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))],
-            ["row", "k", "digest", "n", "keys"],
+            ["row", "k", "digest", "n", "odd", "keys"],
         )
 
 
+def sketch(rows: DataFrame, width: int) -> DataFrame:
+    """``row``, ``k``, ``digest``, ``n``, ``odd``, ``keys`` of every row (``k``, ``x``), written."""
+    kind = rows.schema["k"].dataType.simpleString()
+    return materialise(
+        rows.select(F.monotonically_increasing_id().alias("row"), "k", "x").mapInArrow(
+            lambda it: _sketch_rows(it, width), f"row bigint, k {kind}, digest binary, n bigint, odd array<bigint>, keys array<bigint>"
+        ),
+        "sketches",
+    )
+
+
 def near_duplicates(
     df: DataFrame, key: str, text: str, width: int = 4, percent: int = 80, pair_bucket: int = PAIR_BUCKET
 ) -> DataFrame:
@@ -110,17 +121,12 @@ def near_duplicates(
     ``BAND_ROWS`` registers each: at 0.8 all but three pairs in a million do. Links are confirmed on the whole sets. A
     repeated key keeps its rows. An empty table gives an empty result, and other columns of the input are not read.
     """
-    kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("x"))
-    sketched = materialise(
-        rows.select(F.monotonically_increasing_id().alias("row"), "k", "x").mapInArrow(
-            lambda it: _sketch(it, width), f"row bigint, k {kind}, digest binary, n bigint, keys array<bigint>"
-        ),
-        "sketches",
-    )
+    sketched = sketch(rows, width)
     one = materialise(fold_sets(sketched), "sets")
-    links = link_sets(one, rows, width, percent, pair_bucket)
-    return least_keys(sketched, one, links).select(
-        F.col("k").alias(key), F.col("n").alias("n_shingles"), "component_id",
-        F.coalesce(F.col("k") == F.col("component_id"), F.lit(False)).alias("kept"),
+    classes = least_keys(sketched, one, link_sets(one, rows, width, percent, pair_bucket))
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("k"))
+    return sketched.join(classes, "digest").select(
+        F.col("k").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"),
+        F.coalesce(F.col("k") == component, F.lit(False)).alias("kept"),
     )
