@@ -12,21 +12,20 @@ linked to the least fingerprint of each. That is linear and yields the same comp
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations, repeat
 from math import acos, pi, sqrt
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailrisk.llm.bitmap import maybe_member
 from mailrisk.llm.components import components
-from mailrisk.llm.words import hash_words, mix, rolling
+from mailrisk.llm.set_links import PAIR_BUCKET, fold_sets, least_keys, link_sets
+from mailrisk.llm.superminhash import sketch
+from mailrisk.llm.words import mix
 from mailrisk.session import materialise
 
 BITS = 64
@@ -155,17 +154,9 @@ def near_duplicates(
 
 
 # Similar texts: 4 bits of 64 only hold pairs together that are nearly equal (a pair of five-word Jaccard similarity
-# 0.8 differs in some ten), so candidates are sifted by wide fingerprints and similarity is decided on the shingles.
+# 0.8 differs in some ten), so candidates come from banded signatures, are sifted by wide fingerprints, and decided on the shingles.
 WIDE = 512
-BANDS = 32
-BAND_ROWS = 5
 SIFT = 4.0  # standard deviations of the differing bits that a candidate may have
-# Blocks of a fingerprint of word pairs; they are not used for finding candidates any more.
-KEY_WIDTH = 2
-KEY_SOURCE = 256
-KEYS = 64
-KEY_BITS = 22
-_PLACES = np.random.default_rng(5).permuted(np.tile(np.arange(KEY_SOURCE), (KEYS, 1)), axis=1)[:, :KEY_BITS]
 
 
 def wide_votes(h: np.ndarray, bits: int = WIDE) -> np.ndarray:
@@ -178,46 +169,8 @@ def wide_votes(h: np.ndarray, bits: int = WIDE) -> np.ndarray:
     return 2 * votes > len(h)
 
 
-def _shingles(text: str | None, width: int) -> tuple[bytes, np.ndarray]:
-    """Digest of the words, and the set of shingle hashes."""
-    words = [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
-    h = hash_words(words)
-    return xxhash.xxh3_128_digest(b" ".join(words)), np.unique(rolling(h, min(width, max(1, len(h)))))
-
-
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """Keys of a set: ``BANDS`` hashes of ``BAND_ROWS`` least hashes each. Sets of similarity J share each with chance J ** 5."""
-    keys = np.zeros(BANDS, dtype=np.uint64)
-    if len(shingles):
-        for i in range(BANDS * BAND_ROWS):
-            least = mix(shingles, 1000 + i).min()
-            keys[i // BAND_ROWS] = mix(keys[i // BAND_ROWS : i // BAND_ROWS + 1] ^ least, 5)[0]
-    return keys.view(np.int64)
-
-
-def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [_shingles(text.as_py(), width) for text in batch.column(0)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([d for d, _ in found], pa.binary()), pa.array([s.view(np.int64) for _, s in found], pa.list_(pa.int64()))],
-            ["digest", "shingles"],
-        )
-
-
-def _wide_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        prints, keys, digests = [], [], []
-        for text in batch.column(1):
-            digest, shingles = _shingles(text.as_py(), width)
-            prints.append(np.packbits(wide_votes(shingles), bitorder="little").view("<i8"))
-            keys.append(band_keys(shingles))
-            digests.append(digest)
-        fps = np.array(prints, dtype=np.int64).reshape(-1, WIDE // BITS)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(digests, pa.binary()), *(pa.array(fps[:, i]) for i in range(fps.shape[1])),
-             pa.array(keys, pa.list_(pa.int64()))],
-            ["k", "digest", *(f"f{i}" for i in range(fps.shape[1])), "keys"],
-        )
+def wide_print(h: np.ndarray) -> np.ndarray:
+    return np.packbits(wide_votes(h), bitorder="little").view("<i8")
 
 
 def most_bits(similarity: float, deviations: float = 1.0) -> int:
@@ -227,98 +180,29 @@ def most_bits(similarity: float, deviations: float = 1.0) -> int:
 
 
 def similar_documents(
-    df: DataFrame, key: str, text: str, width: int = 5, similarity: float = 0.8, pair_bucket: int = 64
+    df: DataFrame, key: str, text: str, width: int = 5, percent: int = 80, pair_bucket: int = PAIR_BUCKET
 ) -> DataFrame:
     """``key``, ``component_id`` for every distinct key: documents joined by a chain of similar ones.
 
-    Two documents are similar if the Jaccard similarity of their sets of ``width``-word shingles is at least
-    ``similarity``. Candidates share one of ``BANDS`` keys, of ``BAND_ROWS`` least hashes of the shingles each: at 0.8
-    all but three pairs in a million do, whatever the kind of edit. They are sifted by ``WIDE``-bit fingerprints, with
-    ``SIFT`` standard deviations to spare, and decided on the sets.
-
-    Buckets of up to ``pair_bucket`` documents are compared in pairs. In a larger one every document is first
-    compared with two pivots; then the pairs follow that these links have not joined. No pair is left out but those
-    already in one component.
+    Two documents are similar if the Jaccard similarity of their sets of ``width``-word shingles is at least ``percent``
+    of 100. Candidates share a band of their signatures: at 0.8 all but three pairs in a million do, whatever the kind of
+    edit. They are sifted by ``WIDE``-bit fingerprints, with ``SIFT`` standard deviations to spare, and decided on the sets
+    (``set_links``), however many documents share a bucket.
 
     Words are lower-cased (A-Z), texts of equal words are one document, and texts without words are equal. Rows with one
-    key count as one document; a null key takes no part. ``component_id`` is the least key. An empty table
-    gives an empty result; other columns are not read.
+    key count as one document; a null key takes no part. The key keeps its type, and ``component_id`` is the least key. An
+    empty table gives an empty result; other columns are not read.
     """
-    parts = WIDE // BITS
-    names = [f"f{i}" for i in range(parts)]
-    rows = df.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("x")).filter("k IS NOT NULL")
-    wide = materialise(
-        rows.mapInArrow(
-            lambda it: _wide_rows(it, width),
-            "k bigint, digest binary, " + ", ".join(f"{n} bigint" for n in names) + ", keys array<bigint>",
-        ),
-        "wide",
-    )
-    # One row per text: the least key stands for all, and the others are linked to it.
-    first = wide.groupBy("digest").agg(F.min("k").alias("k"))
-    copies = wide.join(first.withColumnRenamed("k", "a"), "digest").filter("k > a").select("a", F.col("k").alias("b"))
-    one = materialise(wide.join(first, ["digest", "k"], "left_semi").dropDuplicates(["digest"]), "texts")
-
-    keys = one.select("k", "digest", F.posexplode("keys").alias("block", "key"))
-    shared = keys.groupBy("block", "key").agg(
-        F.count(F.lit(1)).alias("n"), F.min("digest").alias("p0"), F.min_by("digest", F.xxhash64("digest", "block")).alias("p1")
-    ).filter("n > 1")
-    shared = materialise(shared, "shared")
-    members = materialise(
-        keys.drop("k").join(shared, ["block", "key"]).join(one.select("digest", "k", *names), "digest"), "buckets"
-    )
-    most = most_bits(similarity, SIFT)
-
-    def near(a: str, b: str) -> Column:
-        return reduce(Column.__add__, [F.bit_count(F.col(f"{a}.{n}").bitwiseXOR(F.col(f"{b}.{n}"))) for n in names]) <= most
-
-    def links_of(candidates: DataFrame) -> DataFrame:
-        """The pairs of digests that are similar, as keys."""
-        candidates = materialise(candidates.distinct(), "candidates")
-        needed = candidates.select(F.col("a").alias("digest")).unionByName(candidates.select(F.col("b").alias("digest"))).distinct()
-        of_keys = materialise(needed.join(one.select("digest", "k"), "digest"), "needed")
-        texts = rows.filter(maybe_member(of_keys, "k")(F.col("k"))).select("x").mapInArrow(
-            lambda it: _sets(it, width), "digest binary, shingles array<bigint>"
-        )
-        sets = materialise(texts.join(of_keys, "digest").dropDuplicates(["digest"]), "sets")
-        sides = [sets.select(*[F.col(c).alias(f"{x}_{c}") for c in ("digest", "k", "shingles")]) for x in "ab"]
-        both = candidates.join(sides[0], F.col("a") == F.col("a_digest")).join(sides[1], F.col("b") == F.col("b_digest"))
-        common = F.size(F.array_intersect("a_shingles", "b_shingles"))
-        either = F.size("a_shingles") + F.size("b_shingles") - common
-        return materialise(
-            both.filter(common >= similarity * either).select(F.col("a_k").alias("a"), F.col("b_k").alias("b")), "similar"
-        )
-
-    same_bucket = (F.col("a.block") == F.col("b.block")) & (F.col("a.key") == F.col("b.key"))
-    pair = [F.least("a.digest", "b.digest").alias("a"), F.greatest("a.digest", "b.digest").alias("b")]
-    small, crowd = members.filter(F.col("n") <= pair_bucket), members.filter(F.col("n") > pair_bucket)
-    candidates = small.alias("a").join(
-        small.alias("b"), same_bucket & (F.col("a.digest") < F.col("b.digest")) & near("a", "b")
-    ).select(*pair)
-    to_pivot = crowd.select("digest", *names, F.explode(F.array("p0", "p1")).alias("pivot")).filter("digest <> pivot")
-    candidates = candidates.unionByName(
-        to_pivot.dropDuplicates(["digest", "pivot"]).alias("a")
-        .join(one.select("digest", *names).alias("b"), (F.col("a.pivot") == F.col("b.digest")) & near("a", "b"))
-        .select(*pair)
-    )
-    found = links_of(candidates).unionByName(copies)
-    if not crowd.isEmpty():
-        joined = components(found, "a", "b").withColumnRenamed("node", "k")
-        crowd = materialise(
-            crowd.join(joined, "k", "left").withColumn("label", F.coalesce("label", "k")).drop("n", "p0", "p1"), "crowds"
-        )
-        # All pairs of a bucket but those inside a component; pairs inside its largest one are not even met.
-        sizes = crowd.groupBy("block", "key", "label").count()
-        largest = sizes.groupBy("block", "key").agg(
-            F.max_by("label", F.struct("count", "label")).alias("largest"), F.count(F.lit(1)).alias("labels")
-        ).filter("labels > 1")
-        mixed = materialise(crowd.join(largest, ["block", "key"]), "mixed")
-        apart = mixed.filter("label <> largest").alias("a").join(
-            mixed.alias("b"), same_bucket & (F.col("a.label") != F.col("b.label")) & near("a", "b")
-        ).select(*pair)
-        found = found.unionByName(links_of(apart))
-    labels = components(found, "a", "b")
-    ids = wide.select("k").distinct()
-    return ids.join(labels.withColumnRenamed("node", "k"), "k", "left").select(
-        F.col("k").alias(key), F.coalesce("label", "k").alias("component_id")
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("x")).filter("k IS NOT NULL")
+    sketched = sketch(rows, width)
+    one = materialise(fold_sets(sketched), "sets")
+    found = link_sets(one, rows, width, percent, pair_bucket, wide_print, most_bits(percent / 100, SIFT))
+    # Rows of one key with several texts: all their sets belong together.
+    several = sketched.groupBy("k").agg(F.min("digest").alias("l"), F.max("digest").alias("m")).filter("l < m").select("k")
+    own = sketched.join(several, "k", "left_semi").select("k", "digest").distinct().join(one.select("digest", "node"), "digest")
+    least = own.groupBy("k").agg(F.min("node").alias("a"))
+    found = found.unionByName(own.join(least, "k").filter("node > a").select("a", F.col("node").alias("b")))
+    classes = least_keys(sketched, one, found)
+    return sketched.select("k", "digest").join(classes, "digest").groupBy(F.col("k").alias(key)).agg(
+        F.min("component_id").alias("component_id")
     )
