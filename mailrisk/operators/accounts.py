@@ -263,6 +263,16 @@ def watched_accounts(users: DataFrame, emails: DataFrame, as_of: Column, cfg: Sc
     )
 
 
+def watched_list(watched: DataFrame) -> DataFrame:
+    """Per guardian the addresses watched, in ascending order, with the state and risk of each; null addresses first.
+
+    A guardian's list is in one row, as it is shown; accounts have one guardian each.
+    """
+    entry = F.array_sort(F.collect_list(F.struct("email", "user_id", "state", "risk_score")))
+    of = lambda name: F.transform(F.col("entries"), lambda e: e[name]).alias(f"{name}s")
+    return watched.groupBy("guardian_id").agg(entry.alias("entries")).select("guardian_id", of("email"), of("state"), of("risk_score"))
+
+
 def guardian_dashboard(
     users: DataFrame, emails: DataFrame, alerts: DataFrame, as_of: Column, cfg: ScoringConfig = DEFAULT
 ) -> DataFrame:

@@ -448,7 +448,7 @@ def errors(df: DataFrame, cfg: ScoringConfig = DEFAULT) -> DataFrame:
     """Every wrong verdict with kind, language, sender presence and what drove the score.
 
     Needs the texts of ``shown_text``, source, language, label, v_ensemble, v_model, v_rules. The
-    narrow facts are written once; a filter on them must not send the scoring over the texts again.
+    facts are written once, as a filter on them must not send the scoring over the texts again; texts are written for wrong verdicts only.
     """
     wrong = (F.col("v_ensemble") >= cfg.threshold) != (F.col("label") == 1)
     has_sender = tx.strip_space(F.col("sender")) != ""
@@ -466,9 +466,7 @@ def errors(df: DataFrame, cfg: ScoringConfig = DEFAULT) -> DataFrame:
         .when(F.col("v_model") >= cfg.threshold, "model")
         .otherwise("both")
         .alias("driver"),
-        "sender",
-        "subject",
-        "content",
+        *[F.when(wrong, F.col(c)).alias(c) for c in ("sender", "subject", "content")],
     )
     return materialise(facts, "errors").filter("kind IS NOT NULL")
 

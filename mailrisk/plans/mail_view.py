@@ -13,35 +13,33 @@ from mailrisk.functions.text import draw, pick
 from mailrisk.session import spread
 
 SENDERS = [
-    "newsletter@company.com", "info@netflix.com", "noreply@cal-online.co.il", "transaction@temu.com",
-    "noreply@malwarebytes.com", "no-reply@accounts.google.com", "security-rn@paypal-verify.xyz",
-    "service@bank-leumi-secure.com", "cal-service@secure-billing.info", "ms-support@office365-alert.net",
-    "billing@partner-il-secure.net", "noreply@mailer.net", "service@gmail.com", "user@malicious.xyz123",
-    "updates-noreply@linkedin.com", "orders@mail.ksp.co.il", "Ann.Lee+promo@GMail.com", "", "", "office@",
+    "gardenclub@rosehill-society.org", "deliveries@ksp.co.il", "Marta.Quinn+shop@GMail.com", "dispatch@parcelbird.net",
+    "security@accounts.google.com", "no-reply@ebay.com", "helpdesk@paypal-unlock.xyz", "desk@hapoalim-login.top",
+    "cal-desk@card-review.info", "admin@microsoft-renewal.club", "cashier@partner-debt.net", "rota@northwind-clinic.org",
+    "tomer.bar@gmail.com", "x9@qzt.zzz123", "jobs@mail.linkedin.com", "noreply@stmt.leumi.co.il", "", "", "frontdesk@",
+    "updates@mailer.net",
 ]
 SUBJECTS = [
-    "Monthly update", "Your invoice", "כאל — חיוב חודשי", "Your order has shipped",
-    "Your subscription renews soon", "Password reset requested", "URGENT: verify your account",
-    "חשבונך ייחסם", "כאל: חיוב חריג בכרטיס", "Action required: your mailbox is full",
-    "partner - חשבונית לתשלום", "בנק לאומי - אימות חשבון", "Your network: a partner update",
-    "Yes, your order shipped - next steps", "Google account notice", "Meeting notes",
+    "Rota for week twelve", "Statement ready", "כאל — פירוט עסקאות", "Parcel on the van today", "Renewal of your plan",
+    "Sign-in code asked for", "URGENT - confirm who you are", "הגישה לחשבון הוגבלה", "כאל: עסקה לא מוכרת", "Action required before noon",
+    "partner - חוב פתוח", "בנק הפועלים - עדכון פרטים", "Seed swap with a partner club", "Re: order 5518", "Google storage notice", "Choir rehearsal",
 ]
 PASSAGES = [
     "",
-    "Hello, your monthly Netflix invoice is attached. You can view it in your account settings.",
-    "Your order has been shipped and is on its way. Track it at https://www.temu.com/track?id=5",
-    "We received a request to reset the password. https://accounts.google.com/reset Ignore it if unasked.",
-    "Your account has been suspended. Click here: http://paypal-verify.xyz/login",
-    "זוהתה פעילות חריגה בחשבונך. יש לאמת תוך 24 שעות: http://bank-leumi-secure.com/verify",
-    "Confirm your credentials now to restore Microsoft access. http://office365-alert.net/signin",
-    "לתשלום: https://partner-pay.info/x",
-    "Pay here http://192.0.2.5/login or http://bit.ly/xyz",
-    "See http://a.example.org http://b.example.org:8080/x http://user@c.example.org/?q=1 now",
-    "Unsubscribe at any time. 20% off, free shipping, shop now!",
-    "PayPal and Amazon gift: you have won, claim your prize at https://prize.top/now",
-    "Your receipt and tracking: https://e.ksp.co.il/order/7 https://www.dhl.com/track",
-    "read more at https://www.paypal.com/help about PayPal security",
-    "מבצע: משלוח חינם, הנחה לחברים. להסרה מרשימת התפוצה השב",
+    "The seed catalogue is in the hall cupboard; bring your own pots on Sunday.",
+    "Parcel 5518 left the depot. Where it is: https://www.ebay.com/where?n=5518",
+    "Somebody asked for a sign-in code. https://accounts.google.com/codes You need not do anything.",
+    "We suspended your wallet. To keep it, click here: http://paypal-unlock.xyz/keep",
+    "נמצאה כניסה ממכשיר זר. יש לאמת את הפרטים: http://hapoalim-login.top/enter",
+    "Your Microsoft licence ends; verify your password within the day. http://microsoft-renewal.club/now",
+    "להסדרת החוב: https://partner-debt.info/y",
+    "Forms at http://198.51.100.7/form and http://tinyurl.com/abc",
+    "Maps: http://north.example.org http://south.example.org:8081/p http://me@west.example.org/?k=2 tonight",
+    "Half price until Friday, free shipping on all bulbs. Unsubscribe below.",
+    "PayPal and Amazon draw: you are a winner, claim your reward at https://lucky.top/go",
+    "Receipt 77 and tracking: https://e.ksp.co.il/r/77 https://www.dhl.com/t",
+    "see https://www.paypal.com/about on how PayPal keeps records",
+    "הנחה לחברי המועדון ומשלוח חינם עד הבית. להסרה לחצו",
 ]
 HEADERS = [
     "From: Ann Lee <{a}>\nTo: you@example.org\nSubject: hello there\nDate: Mon, 1 Jan 2024\n\n",

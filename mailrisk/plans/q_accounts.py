@@ -155,6 +155,16 @@ def watched_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ac.watched_accounts(users(spark, sf_dir), emails(spark, sf_dir), as_of())
 
 
+@register("watched_list", f"""WITH {BASE},
+WA AS (SELECT guardian_id, user_id, email, CASE WHEN NOT has_account THEN 'needs_account' WHEN coalesce(total_scanned, 0) = 0 THEN 'needs_extension' ELSE 'active' END AS state,
+  coalesce(risk_score, 0e0) AS risk_score FROM U LEFT JOIN TT USING (user_id) LEFT JOIN RR USING (user_id) WHERE guardian_id IS NOT NULL)
+SELECT guardian_id, list(email ORDER BY email, user_id) AS emails, list(state ORDER BY email, user_id) AS states,
+  list(risk_score ORDER BY email, user_id) AS risk_scores FROM WA GROUP BY guardian_id""")
+def watched_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The watched accounts as their guardian sees them: one list, by address."""
+    return ac.watched_list(ac.watched_accounts(users(spark, sf_dir), emails(spark, sf_dir), as_of()))
+
+
 @register("daily_user_counts", f"WITH {BASE} SELECT * FROM TD")
 def daily_user_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ac.today_counts(emails(spark, sf_dir), as_of())

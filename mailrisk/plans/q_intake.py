@@ -57,6 +57,15 @@ def training_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loaded.groupBy("label", "split").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+@register("training_frames_prepared", f"""WITH {ob.CORPUS}, {SPLIT_SQL.format(src='C')}
+SELECT split, label, count(*) AS n_rows FROM SP WHERE text IS NOT NULL AND label IS NOT NULL GROUP BY split, label""")
+def training_frames_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prepared splits are taken as they are, whatever raw frames there are besides."""
+    path = _written_splits(spark, sf_dir)
+    loaded = lb.load_training(spark, path, [corpus_view(spark, sf_dir).select("text", "label", "source")])
+    return loaded.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def _written_splits(spark: SparkSession, sf_dir: str) -> str:
     path = _folder(spark, "splits")
     sinks.write_splits(cp.stratified_split(corpus_view(spark, sf_dir)).drop("lang", "source_rank"), path)
