@@ -57,6 +57,20 @@ def score_stream(stream: DataFrame, cfg: ScoringConfig = DEFAULT) -> DataFrame:
     return en.score_ensemble(stream, cfg)
 
 
+def windowed_counts(
+    verdicts: DataFrame, width: str = "1 hour", delay: str = "10 minutes", cfg: ScoringConfig = DEFAULT
+) -> DataFrame:
+    """Scans and phishing per user and tumbling window of event time, each window written once, when the watermark passes it.
+
+    The watermark trails the latest event by ``delay``. A row that comes after its window was written is late and dropped. Rows without a time belong to no window; state holds the open windows only.
+    """
+    timed = verdicts.filter("scanned_at IS NOT NULL").withWatermark("scanned_at", delay)
+    counted = timed.groupBy("user_id", F.window("scanned_at", width).alias("w")).agg(
+        F.count(F.lit(1)).alias("n_scans"), F.count_if(F.col("risk_score") >= cfg.threshold).alias("n_phishing")
+    )
+    return counted.select("user_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n_scans", "n_phishing")
+
+
 def high_risk(scored: DataFrame, cfg: ScoringConfig = DEFAULT) -> DataFrame:
     """Verdicts worth a push notification."""
     return scored.filter(F.col("risk_score") >= cfg.push_score).select(
