@@ -23,6 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mailrisk.llm.words import KEPT
+
 TIERS = (1024, 512, 256)
 END = 0
 STEP_WINDOWS = 64
@@ -117,6 +119,7 @@ class Encoder:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+KEPT.append(_ENCODERS)
 
 
 def _encoder(path: str) -> Encoder:

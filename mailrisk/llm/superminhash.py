@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailrisk.llm.set_links import PAIR_BUCKET, fold_sets, least_keys, link_sets, odd_sketch, set_digest, shingle_set
-from mailrisk.llm.words import mix
+from mailrisk.llm.words import free_kept, mix
 from mailrisk.session import materialise
 
 BANDS = 32
@@ -87,6 +87,7 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
 
 
 def _sketch_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    free_kept()
     for batch in batches:
         sets = [shingle_set(text.as_py(), width) for text in batch.column(2)]
         keys = band_keys(signatures(sets)) if sets else np.empty((0, BANDS), dtype=np.int64)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so it can be inverted modulo 2**64
@@ -12,6 +13,16 @@ _PUNCTUATION = bytes(c for c in range(128) if not chr(c).isalnum())
 _TO_SPACE = bytes.maketrans(_PUNCTUATION, b" " * len(_PUNCTUATION))
 
 
+KEPT: list[dict] = []  # caches that a worker keeps from task to task
+
+
+def free_kept() -> None:
+    """Empty the caches that tasks of another kind left in this worker, and give unused buffers back."""
+    for cache in KEPT:
+        cache.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def split_words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` as UTF-8; a null text has none."""
     return [] if text is None else text.encode("utf-8", "surrogatepass").split()
