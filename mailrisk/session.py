@@ -36,8 +36,8 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
-# Rows are whole texts: the default of 10,000 to a batch would hold tens of megabytes several times over.
-ARROW_ROWS = 1000
+# Rows are whole texts, some very long: the default of 10,000 to a batch would hold tens of megabytes several times over.
+ARROW_ROWS = 200
 _SHIPPED: set[str] = set()
 
 
