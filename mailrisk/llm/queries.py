@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators: thin calls over whole tables, and their SQL."""
+"""Registered queries of the operators: thin calls over whole tables, and their SQL."""
 
 from __future__ import annotations
 
