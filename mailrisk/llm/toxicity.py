@@ -1,28 +1,25 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two interpolated Kneser-Ney models of word pairs, toxic and ordinary, are compared word by word. Pairs are counted by
-occurrence, words by their distinct left neighbours. One absolute discount per order and class comes from
-the counts of counts, n1 / (n1 + 2 n2), and every context gives the mass its discounts free to the next lower order. Words
-back off, with one weight in both models, to a distribution shared by the classes and counted over
-the whole corpus, labelled or not. A word too rare for either class thus has the same share in both.
-
-Pairs seen once weigh much in a class of few texts, so two models of single words stand beside them: shares of the
-documents a word is in, less ``DISCOUNT`` documents, with the same shared distribution behind them.
-
-Both log-likelihood ratios are normalised by length: over the whole text, and over its best passages of 1, 4 and 16
-words, since a few words make a long text toxic. A logistic calibration weighs these eight. It is
-learned by cross-fitting: training rows fall into two folds, and rows of one are measured by counts of
-the other.
-
-Counts are exact, by 64-bit hashes of words, in tables that Spark groups and writes; they grow with the corpus. The ratio of a
-word after another is a sum of up to three table entries: what the earlier word says as a context, what
-the later one says, and what the pair adds if a class holds it. Entries of the commonest expressions, at
-most ``HOT``, are broadcast; a bit map tells which others a text may need, and those are joined.
+A word's context is the class of the document it stands in: toxic or ordinary. Each class has an interpolated Kneser-Ney
+model with modified discounts: a count is the number of documents of the class that hold the word, and an absolute discount
+for words of one, two, and three or more documents comes from the counts of counts of the class. What the discounts free goes to
+the lower order, which the classes share: the continuation count of a word, in how many documents of the whole
+corpus, labelled or not, it occurs. Both classes back off with one weight, the larger, so a word too rare for either has
+the same share in both and says nothing.
+
+The log-likelihoods are compared word by word and normalised by length: over the whole text, over its best
+passages of 1, 4 and 16 words, and over its best 2, 4 and 8 words wherever they stand, since a few words make a long text
+toxic. A logistic calibration weighs these seven. It is learned by leaving one out: a labelled text is measured with its own
+document taken from the counts of its class. Copies of texts make words look commoner than they are, so the discounts
+are also tried at the multiples ``SCALES``; the one of least left-out loss is kept.
+
+Counts are exact, by 64-bit hashes of words, in a table that Spark groups and writes; it grows with the corpus. Entries of
+the commonest words, at most ``HOT``, are broadcast; a bit map tells which others a text may need. A text that
+needs none is measured on the spot; only the others send one number per word to meet the rest of the table.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -37,138 +34,51 @@ from mailrisk.llm.bitmap import collect_bits, has_bits, maybe_member
 from mailrisk.llm.words import hash_words, mix, plain_words
 from mailrisk.session import materialise
 
-WORDS = 1 << 20
-PAIRS = 1 << 21
-BLOCK = 1 << 14
-GROUPS = 4  # (fold, label)
-SHARED = 4
-DISCOUNT = 2.0  # documents of a word, in the word models
 HOT = 1 << 18
 MAP_CELLS = 1 << 28
-FLUSH_WORDS = 1 << 19
-START = 0  # left neighbour of a text's first word
-FOLDS = ((0, 1), (1,), (0,))  # what the models are learned from: all, and for measuring fold 0 and fold 1
+FLUSH_WORDS = 1 << 20
+SCALES = (1.0, 1.5, 2.0)
 PASSAGES = (1, 4, 16)
+BEST_WORDS = (2, 4, 8)
+FEATURES = 1 + len(PASSAGES) + len(BEST_WORDS)
 CALIBRATION_ROWS = 20_000
-SALTS = 16
-_ORDER = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _expressions(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Table positions of the words and of the pairs of neighbours."""
-    h = hash_words(plain_words(text))
-    words = (h & np.uint64(WORDS - 1)).astype(np.int64)
-    pairs = (mix(h[:-1] * _ORDER ^ h[1:], 3) & np.uint64(PAIRS - 1)).astype(np.int64)
-    return words, pairs
+def _map_of(keys: DataFrame, number: int) -> tuple[np.ndarray, int]:
+    """Bit map with two cells set for each of some ``number`` values of ``key``, and how many cells it has."""
+    cells = min(MAP_CELLS, max(bitmap.BLOCK, 1 << (32 * number).bit_length()))
+    last = F.lit(cells - 1)
+    places = F.array(F.col("key").bitwiseAND(last), F.shiftrightunsigned("key", 32).bitwiseAND(last))
+    return collect_bits(keys.select(F.lit(0).alias("depth"), F.explode(places).alias("cell")), 1, cells)[0], cells
 
 
-_COUNTS = "table string, block int, salt int, counts binary"
+def _maybe(bits: np.ndarray, cells: int, w: np.ndarray) -> np.ndarray:
+    last = np.uint64(cells - 1)
+    return has_bits(bits, (w & last).astype(np.int64)) & has_bits(bits, ((w >> np.uint64(32)) & last).astype(np.int64))
 
 
-def _blocks(table: str, counts: np.ndarray, salt: int) -> Iterator[pa.RecordBatch]:
-    for i in range(0, counts.shape[1], BLOCK):
-        part = counts[:, i : i + BLOCK]
-        if part.any():
-            yield pa.RecordBatch.from_pydict(
-                {"table": [table], "block": pa.array([i // BLOCK], pa.int32()), "salt": pa.array([salt], pa.int32()),
-                 "counts": [zlib.compress(part.astype("<u8").tobytes(), 1)]}
-            )
+def _documents_of_words(batches: Iterator[pa.RecordBatch], held=None) -> Iterator[pa.RecordBatch]:
+    """Documents of each word, by class where the rows have one; added up over some texts at a time.
 
-
-def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros((1, WORDS), dtype=np.uint32)
-    salt = 0
-    for batch in batches:
-        for text in batch.column(0):
-            words = _expressions(text.as_py())[0]
-            counts[0, np.unique(words)] += 1
-            salt = (salt + len(words)) % SALTS
-    yield from _blocks("shared", counts, salt)
-
-
-def _count_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = np.zeros((GROUPS, WORDS), dtype=np.uint32)
-    pairs = np.zeros((GROUPS, PAIRS), dtype=np.uint32)
-    salt = 0
-    for batch in batches:
-        for text, group in zip(batch.column(0), batch.column(1).to_pylist()):
-            w, p = _expressions(text.as_py())
-            words[group, np.unique(w)] += 1
-            pairs[group, np.unique(p)] += 1
-            salt = (salt + len(w)) % SALTS
-    yield from _blocks("words", words, salt)
-    yield from _blocks("pairs", pairs, salt)
-
-
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[tuple, np.ndarray] = {}
-    for batch in batches:
-        for row in batch.to_pylist():
-            at = (row["table"], row["block"])
-            counts = np.frombuffer(zlib.decompress(row["counts"]), dtype="<u8")
-            sums[at] = sums[at] + counts if at in sums else counts
-    for (table, block), counts in sums.items():
-        yield pa.RecordBatch.from_pydict(
-            {"table": [table], "block": pa.array([block], pa.int32()), "salt": pa.array([0], pa.int32()),
-             "counts": [zlib.compress(counts.tobytes(), 1)]}
-        )
-
-
-@dataclass
-class Counts:
-    """Documents per expression: words and pairs by group, words of all documents."""
-
-    words: np.ndarray
-    pairs: np.ndarray
-    shared: np.ndarray
-
-    @staticmethod
-    def merge(parts: DataFrame) -> Counts:
-        """Add up partial tables, first in salted groups of a bounded number of parts."""
-        out = Counts(
-            np.zeros((GROUPS, WORDS), np.float32), np.zeros((GROUPS, PAIRS), np.float32), np.zeros((1, WORDS), np.float32)
-        )
-        once = parts.repartition("table", "block", "salt").mapInArrow(_add, _COUNTS)
-        summed = once.repartition("table", "block").mapInArrow(_add, _COUNTS).repartition(8)
-        for row in summed.toLocalIterator(prefetchPartitions=True):
-            table = getattr(out, row["table"])
-            counts = np.frombuffer(zlib.decompress(row["counts"]), dtype="<u8").reshape(len(table), BLOCK)
-            table[:, row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = counts
-        return out
-
-
-def _neighbours(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every word: the hash of the word before it, its own, and that of the pair."""
-    w = hash_words(plain_words(text))
-    v = np.concatenate((np.full(min(1, len(w)), START, dtype=np.uint64), w[:-1]))
-    return v, w, mix(v * _ORDER ^ w, 3)
-
-
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences of each pair in each group, and how many brought a text its second word first; over some texts at a time."""
-    held: list[tuple] = []
+    ``held``: broadcast bit map of the only words asked for.
+    """
+    kept: dict[int, list[np.ndarray]] = {}
     size = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        v, w, p, d, g = (np.concatenate(x) for x in zip(*held))
-        for group in np.unique(g):
-            own = np.flatnonzero(g == group)
-            _, at, which, n = np.unique(p[own], return_index=True, return_inverse=True, return_counts=True)
-            new = np.bincount(which, weights=d[own], minlength=len(n)).astype(np.int64)
-            at = own[at]
+        for y, parts in kept.items():
+            w, n = np.unique(np.concatenate(parts), return_counts=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x[at].view(np.int64)) for x in (v, w, p)]
-                + [pa.array(np.full(len(at), group, np.int32)), pa.array(n), pa.array(new)],
-                ["v", "w", "p", "g", "n", "d"],
-            )
-        held.clear()
+                [pa.array(w.view(np.int64)), pa.array(np.full(len(w), y, np.int32)), pa.array(n.astype(np.int32))], ["w", "y", "n"])
+        kept.clear()
 
     for batch in batches:
-        for text, group in zip(batch.column(0), batch.column(1).to_pylist()):
-            v, w, p = _neighbours(text.as_py())
-            first = np.zeros(len(w), dtype=bool)
-            first[np.unique(w, return_index=True)[1]] = True
-            held.append((v, w, p, first, np.full(len(w), group, np.int32)))
+        classes = batch.column(1).to_pylist() if batch.num_columns > 1 else [0] * batch.num_rows
+        for text, y in zip(batch.column(0), classes):
+            w = np.unique(hash_words(plain_words(text.as_py())))
+            if held is not None:
+                w = w[_maybe(*held.value, w)]
+            kept.setdefault(y, []).append(w)
             size += len(w)
             if size >= FLUSH_WORDS:
                 yield from flush()
@@ -177,236 +87,178 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of each word, added up over some texts at a time."""
-    held: list[np.ndarray] = []
-    size = 0
+_COUNTED = "w bigint, y int, n int"
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        w, n = np.unique(np.concatenate(held), return_counts=True)
-        held.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n)], ["w", "n"])
 
-    for batch in batches:
-        for text in batch.column(0):
-            held.append(np.unique(hash_words(plain_words(text.as_py()))))
-            size += len(held[-1])
-            if size >= FLUSH_WORDS:
-                yield from flush()
-                size = 0
-    if size:
-        yield from flush()
+def word_counts(documents: DataFrame, labelled: DataFrame) -> DataFrame:
+    """Every word of the classes (``key``) with the documents of each class that hold it, ``c0`` and ``c1``, and of the corpus, ``n``.
 
-
-def pair_counts(labelled: DataFrame) -> DataFrame:
-    """Occurrences ``n0`` to ``n3`` by group of every pair ``v``, ``w``, from texts ``x`` and groups ``g``.
-
-    ``d0`` to ``d3`` are those that are the first occurrence of ``w`` in a text: over all ``v``, the texts that hold ``w``.
+    ``documents`` has texts ``x``, ``labelled`` also classes ``y``. Words that no labelled text holds are left out before
+    the shuffle: they say nothing.
     """
-    found = labelled.select("x", "g").mapInArrow(_pairs, "v bigint, w bigint, p bigint, g int, n bigint, d bigint")
-    return found.groupBy("v", "w", "p").agg(*[
-        F.sum(F.when(F.col("g") == g, F.col(x)).otherwise(0)).alias(f"{x}{g}") for x in "nd" for g in range(GROUPS)
-    ])
-
-
-def _discount(ones: int | None, twos: int | None) -> float:
-    """Absolute discount by the counts of counts, strictly between 0 and 1."""
-    ones, twos = ones or 0, twos or 0
-    return min(max(ones / max(1, ones + 2 * twos), 0.05), 0.95)
-
-
-_KINDS = [(m, y) for m in range(len(FOLDS)) for y in (0, 1)]
-
+    by_class = labelled.select("x", "y").mapInArrow(_documents_of_words, _COUNTED).groupBy(F.col("w").alias("key")).agg(
+        *[F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)).alias(f"c{y}") for y in (0, 1)])
+    by_class = materialise(by_class, "class-words")
+    held = documents.sparkSession.sparkContext.broadcast(_map_of(by_class, by_class.count()))
+    shared = documents.select("x").mapInArrow(lambda it: _documents_of_words(it, held), _COUNTED)
+    return by_class.join(shared.groupBy(F.col("w").alias("key")).agg(F.sum("n").alias("n")), "key", "left").fillna(0, ["n"])
 
-def _by_kind(name: str) -> dict[tuple[int, int], Column]:
-    """Counts of both classes over each of ``FOLDS``."""
-    return {(m, y): reduce(Column.__add__, [F.col(f"{name}{2 * fold + y}") for fold in FOLDS[m]]) for m, y in _KINDS}
 
+def modified_discounts(counts: list[int]) -> tuple[float, float, float]:
+    """Discounts of words of one, two, and three or more documents, from how many words have 1, 2, 3 and 4."""
+    n = [max(1, int(x or 0)) for x in counts]
+    share = n[0] / (n[0] + 2 * n[1])
+    return tuple(min(max(k - (k + 1) * share * n[k] / n[k - 1], 0.05), k - 0.05) for k in (1, 2, 3))
 
-def _number(x: Column) -> Column:
-    return F.sum(x.cast("bigint"))
 
+def _left(count: Column, discounts: tuple[float, float, float], scale: float) -> Column:
+    """What its discount leaves of a count."""
+    one, two, more = (scale * d for d in discounts)
+    taken = F.when(count == 1, one).when(count == 2, two).otherwise(more)
+    return F.when(count > 0, F.greatest(count - taken, F.lit(0.0))).otherwise(0.0)
 
-def word_shares(pairs: DataFrame, shared: DataFrame) -> tuple[DataFrame, dict[tuple[int, int], float]]:
-    """Every word of the classes (``key``), and the discount of pairs, for each of ``FOLDS`` and each class.
 
-    ``p``: share of the word in the Kneser-Ney model; ``q``: in the word model; ``c``, ``b``: its
-    occurrences as a context, and the mass it leaves to the lower order.
-    """
-    c, d = _by_kind("n"), _by_kind("d")
-    contexts = pairs.groupBy(F.col("v").alias("key")).agg(*[
-        x.alias(f"{name}{m}{y}") for m, y in _KINDS for name, x in (("c", F.sum(c[m, y])), ("t", _number(c[m, y] > 0)))
-    ])
-    ends = pairs.groupBy(F.col("w").alias("key")).agg(*[
-        x.alias(f"{name}{m}{y}") for m, y in _KINDS for name, x in (("k", _number(c[m, y] > 0)), ("d", F.sum(d[m, y])))
-    ])
-    words = materialise(
-        contexts.join(ends, "key", "full").join(shared.select(F.col("w").alias("key"), "n"), "key", "left").fillna(0), "words"
-    )
-    of_pairs = pairs.agg(*[_number(c[m, y] == i).alias(f"{i}{m}{y}") for m, y in _KINDS for i in (1, 2)]).first()
-    of_words = words.agg(*[
-        F.coalesce(x, F.lit(0)).alias(f"{name}{m}{y}") for m, y in _KINDS for k, n in [(F.col(f"k{m}{y}"), F.col(f"d{m}{y}"))]
-        for name, x in (("1", _number(k == 1)), ("2", _number(k == 2)), ("t", _number(k > 0)), ("s", _number(k)),
-                        ("n", F.sum(n)), ("l", F.sum(F.greatest(n - DISCOUNT, F.lit(0.0)))))
-    ]).first()
-    total, number = shared.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    base = F.when(F.col("key") == START, 0.0).otherwise((F.col("n") + 0.5) / (total + 0.5 * max(1, number)))
-    discounts, columns = {}, []
-    for m in range(len(FOLDS)):
-        sums = {}
-        for y in (0, 1):
-            of = lambda x: float(of_words[f"{x}{m}{y}"])  # noqa: B023, E731
-            low = _discount(of("1"), of("2"))
-            # For the shares p and q: discount, sum of the counts, sum of what the discounts leave.
-            sums[y] = (("p", "k", low, of("s"), of("s") - low * of("t")), ("q", "d", DISCOUNT, of("n"), of("l")))
-        for own in zip(*sums.values()):
-            # One backoff weight for both models, the larger: words that neither knows then weigh nothing.
-            weight = max(1 - left / max(1.0, every) for _, _, _, every, left in own)
-            for y, (name, count, low, _, left) in enumerate(own):
-                kept = F.greatest(F.col(f"{count}{m}{y}") - low, F.lit(0.0)) / max(left, 1e-9)
-                columns.append(((1 - weight) * kept + weight * base).alias(f"{name}{m}{y}"))
-        for y in (0, 1):
-            discounts[m, y] = _discount(of_pairs[f"1{m}{y}"], of_pairs[f"2{m}{y}"])
-            back = discounts[m, y] * F.col(f"t{m}{y}") / F.col(f"c{m}{y}")
-            columns += [F.when(F.col(f"c{m}{y}") > 0, back).otherwise(1.0).alias(f"b{m}{y}"), F.col(f"c{m}{y}")]
-    return materialise(words.select("key", "n", *columns), "shares"), discounts
-
-
-def entries(pairs: DataFrame, shared: DataFrame) -> DataFrame:
-    """What expressions add to the ratios: ``key``, ``n``, and for each of ``FOLDS`` ``here`` and, as a context, ``next``
-    in the Kneser-Ney models, and ``word`` in the word models.
-
-    The former are p(w|v) = max(c(v,w) - D, 0) / c(v) + D t(v) / c(v) p(w), where t(v) is the number of words seen after v.
-    """
-    words, discounts = word_shares(pairs, shared)
-    c = _by_kind("n")
-    as_context = words.select(F.col("key").alias("v"), *[F.col(f"{x}{m}{y}") for m, y in _KINDS for x in "bc"])
-    as_word = words.select(F.col("key").alias("w"), *[F.col(f"p{m}{y}") for m, y in _KINDS])
-    joined = pairs.join(as_context, "v").join(as_word, "w")
-
-    def added(m: int, y: int) -> Column:
-        own = F.greatest(c[m, y] - discounts[m, y], F.lit(0.0)) / F.greatest(F.col(f"c{m}{y}"), F.lit(1))
-        return F.log1p(own / (F.col(f"b{m}{y}") * F.col(f"p{m}{y}")))
-
-    of_pair, of_word = [], []
-    start = F.col("key") == START
-    for m in range(len(FOLDS)):
-        ratio = {x: F.log(F.col(f"{x}{m}1") / F.col(f"{x}{m}0")) for x in "pqb"}
-        of_pair += [(added(m, 1) - added(m, 0)).alias(f"here{m}"), F.lit(0.0).alias(f"next{m}"), F.lit(0.0).alias(f"word{m}")]
-        of_word += [F.when(start, 0.0).otherwise(ratio["p"]).alias(f"here{m}"), ratio["b"].alias(f"next{m}"),
-                    F.when(start, 0.0).otherwise(ratio["q"]).alias(f"word{m}")]
-    n = reduce(Column.__add__, [F.col(f"n{g}") for g in range(GROUPS)])
-    return words.select("key", F.when(start, F.lit(1 << 40)).otherwise(F.col("n")).alias("n"), *of_word).unionByName(
-        joined.select(F.col("p").alias("key"), n.alias("n"), *of_pair)
-    )
-
-
-_VALUES = ("here", "next", "word")
+@dataclass
+class Models:
+    """The written counts of words with what the models need to know of all of them."""
 
+    words: DataFrame
+    discounts: list[tuple[float, float, float]]
+    total: float
+    number: int
+    sums: dict[tuple[float, int], float]
+    backoff: dict[float, float]
 
-def _held(table: DataFrame, m: int) -> tuple:
+    @staticmethod
+    def of(words: DataFrame) -> Models:
+        """Discounts, sums of what they leave, and backoff weights, for each of ``SCALES``."""
+        seen = words.agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("number"),
+            *[F.coalesce(F.sum(f"c{y}"), F.lit(0)).alias(f"sum{y}") for y in (0, 1)],
+            *[F.count(F.when(F.col(f"c{y}") == i, 1)).alias(f"n{i}{y}") for y in (0, 1) for i in (1, 2, 3, 4)],
+        ).first()
+        discounts = [modified_discounts([seen[f"n{i}{y}"] for i in (1, 2, 3, 4)]) for y in (0, 1)]
+        left = words.agg(*[
+            F.coalesce(F.sum(_left(F.col(f"c{y}"), discounts[y], s)), F.lit(0.0)) for s in SCALES for y in (0, 1)
+        ]).first()
+        sums = dict(zip([(s, y) for s in SCALES for y in (0, 1)], left))
+        backoff = {s: max(1 - sums[s, y] / max(1, seen[f"sum{y}"]) for y in (0, 1)) for s in SCALES}
+        return Models(words, discounts, float(seen["total"]), seen["number"], sums, backoff)
+
+    def share(self, y: int, scale: float, without: int | None = None) -> Column:
+        """Share of a word in class ``y``; ``without``: with one document less in that class."""
+        base = (F.col("n") + 0.5) / (self.total + 0.5 * self.number)
+        count = F.col(f"c{y}") - (1 if without == y else 0)
+        own = _left(count, self.discounts[y], scale) / max(self.sums[scale, y], 1e-9)
+        return (1 - self.backoff[scale]) * own + self.backoff[scale] * base
+
+    def ratio(self, scale: float, without: int | None = None) -> Column:
+        return F.log(self.share(1, scale, without) / self.share(0, scale, without))
+
+    def entries(self, values: dict[str, Column]) -> DataFrame:
+        """``key``, ``n`` and the given ratios, for words that say anything."""
+        rows = self.words.select("key", "n", *[v.cast("float").alias(name) for name, v in values.items()])
+        return rows.filter(reduce(Column.__or__, [F.col(name) != 0 for name in values]))
+
+
+def _held(table: DataFrame, values: list[str]) -> tuple:
     """Broadcast of the commonest entries and of a bit map of the others, and the others."""
-    steps = table.groupBy(F.floor(4 * F.log2(F.col("n") + 1)).alias("step")).count().collect()
+    step = F.floor(4 * F.log2(F.col("n") + 1))
+    steps = table.groupBy(step.alias("step")).count().collect()
     least, total = None, 0
-    for step, n in sorted(((r["step"], r["count"]) for r in steps), reverse=True):
+    for at, n in sorted(((r["step"], r["count"]) for r in steps), reverse=True):
         if total + n > HOT:
             break
-        least, total = step, total + n
-    many = F.lit(False) if least is None else F.floor(4 * F.log2(F.col("n") + 1)) >= least
-    one = table.select("key", "n", *[F.col(f"{x}{m}").alias(x) for x in _VALUES])
-    hot = one.filter(many).select("key", *_VALUES).toPandas().sort_values("key")
-    cold = one.filter(~many).filter("here <> 0 OR next <> 0 OR word <> 0").select("key", *_VALUES)
-    left = max(1, sum(r["count"] for r in steps) - total)
-    cells = min(MAP_CELLS, max(bitmap.BLOCK, 1 << (8 * left).bit_length()))
-    bits = collect_bits(cold.select(F.lit(0).alias("depth"), F.col("key").bitwiseAND(F.lit(cells - 1)).alias("cell")), 1, cells)[0]
-    arrays = [hot[x].to_numpy() for x in ("key", *_VALUES)]
-    return table.sparkSession.sparkContext.broadcast((arrays, bits, cells)), cold
+        least, total = at, total + n
+    many = F.lit(False) if least is None else step >= least
+    hot = table.filter(many).select("key", *values).toPandas()
+    keys = hot["key"].to_numpy(dtype=np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    said = hot[values].to_numpy(dtype=np.float32)[order].T.copy()
+    cold = table.filter(~many).select("key", *values)
+    held = (keys[order], said, *_map_of(cold, sum(r["count"] for r in steps) - total))
+    return table.sparkSession.sparkContext.broadcast(held), cold
 
 
-def _lookups(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
-    """A head row per text, with what the common expressions say word by word, and a row per entry to be joined."""
-    (keys, here, after, alone), bits, cells = held.value
+def length_normalised(r: np.ndarray) -> list[float]:
+    """Ratios of the whole text, of its best passages, and of its best words. Zeros without words."""
+    if not len(r):
+        return [0.0] * FEATURES
+    sums = np.concatenate(([0.0], np.cumsum(r, dtype=np.float64)))
+    out = [sums[-1] / len(r)]
+    for width in PASSAGES:
+        w = min(width, len(r))
+        out.append(float((sums[w:] - sums[:-w]).max()) / width)
+    best = np.sort(r)[::-1][: max(BEST_WORDS)].astype(np.float64)
+    return out + [float(best[:k].sum()) / k for k in BEST_WORDS]
 
-    def common(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(keys, k), max(0, len(keys) - 1))
-        return at, keys[at] == k if len(keys) else np.zeros(len(k), dtype=bool)
 
+def _features(said: np.ndarray) -> list[float]:
+    return [x for r in said for x in length_normalised(r)]
+
+
+def _lookups(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
+    """A head row per text, measured or with what the common words say, and a row per word that may be among the others."""
+    keys, values, bits, cells = held.value
     for batch in batches:
         rows = batch.column(0).to_numpy()
-        heads, found = [], []
+        heads, features, found = [], [], []
         for row, text in zip(rows, batch.column(1)):
-            _, w, p = _neighbours(text.as_py())
-            said = np.zeros((2, len(w)), dtype=np.float32)
-            if len(w):
-                words = np.concatenate((np.full(1, START, dtype=np.uint64), w)).view(np.int64)
-                for k, first in ((words, -1), (p.view(np.int64), 0)):
-                    at, is_common = common(k)
-                    if len(keys):
-                        said[0] += np.where(is_common, here[at], 0)[-len(w):]
-                        if first:
-                            said[0] += np.where(is_common, after[at], 0)[:-1]
-                            said[1] += np.where(is_common, alone[at], 0)[1:]
-                    rest = np.flatnonzero(~is_common & has_bits(bits, k & (cells - 1)))
-                    found.append((np.full(len(rest), row), k[rest], rest + first))
-            heads.append(said.tobytes())
-        none = len(rows)
+            w = hash_words(plain_words(text.as_py()))
+            said = np.zeros((len(values), len(w)), dtype=np.float32)
+            rest = np.ones(len(w), dtype=bool)
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, w), len(keys) - 1)
+                common = keys[at] == w
+                said[:, common] = values[:, at[common]]
+                rest = ~common
+            rest = np.flatnonzero(rest & _maybe(bits, cells, w))
+            heads.append(said.tobytes() if len(rest) else None)
+            features.append(None if len(rest) else _features(said))
+            found.append((np.full(len(rest), row), w[rest].view(np.int64), rest))
         own = [np.concatenate(x) for x in zip(*found)] if found else [np.empty(0, dtype=np.int64)] * 3
+        more = len(own[0])
         # A head's key is its own, so that heads are spread over the join.
         yield pa.RecordBatch.from_arrays([
             pa.array(np.concatenate((rows, own[0]))),
             pa.array(np.concatenate((mix(rows.astype(np.uint64), 7).view(np.int64), own[1]))),
-            pa.array(np.concatenate((np.full(none, -2), own[2])).astype(np.int32)),
-            pa.array(heads + [None] * len(own[0]), pa.binary()),
-            pa.concat_arrays([batch.column(2), pa.nulls(len(own[0]), batch.column(2).type)]),
-        ], ["row", "key", "at", "said", "k"])
-
-
-def length_normalised(r: np.ndarray) -> list[float]:
-    """Ratios of the whole text and of its best passages. Zeros without words."""
-    if not len(r):
-        return [0.0] * (1 + len(PASSAGES))
-    sums = np.concatenate(([0.0], np.cumsum(r)))
-    out = [sums[-1] / len(r)]
-    for width in PASSAGES:
-        w = min(width, len(r))
-        out.append(float((sums[w:] - sums[:-w]).max()) / width)
-    return out
+            pa.array(np.concatenate((np.full(len(rows), -1), own[2])).astype(np.int32)),
+            pa.array(heads + [None] * more, pa.binary()),
+            pa.array(features + [None] * more, pa.list_(pa.float64())),
+            pa.concat_arrays([batch.column(2), pa.nulls(more, batch.column(2).type)]),
+        ], ["row", "key", "at", "said", "f", "k"])
 
 
-def _ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _finish(batches: Iterator[pa.RecordBatch], n_values: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lists = batch.column(2)
-        parts = lists.flatten()
-        at, here, after, alone = (parts.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-        edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         out = []
-        for i, said in enumerate(batch.column(1)):
-            r = np.frombuffer(said.as_py(), dtype=np.float32).astype(np.float64).reshape(2, -1)
-            part = slice(edges[i], edges[i + 1])
-            # Sorted, so that sums do not depend on the order of arrival.
-            order = np.lexsort((alone[part], after[part], here[part], at[part]))
-            a, h, n, o = (x[part][order] for x in (at, here, after, alone))
-            np.add.at(r[0], a[a >= 0], h[a >= 0])
-            np.add.at(r[1], a[a >= 0], o[a >= 0])
-            inside = a + 1 < r.shape[1]
-            np.add.at(r[0], a[inside] + 1, n[inside])
-            out.append(length_normalised(r[0]) + length_normalised(r[1]))
+        for f, said, parts in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+            if f is None:
+                r = np.frombuffer(said.as_py(), dtype=np.float32).reshape(n_values, -1).copy()
+                inner = parts.values
+                if inner is not None and len(inner):
+                    at = inner.field(0).to_numpy(zero_copy_only=False)
+                    for i in range(n_values):
+                        r[i, at] = inner.field(1 + i).to_numpy(zero_copy_only=False)
+                f = _features(r)
+            out.append(f)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], ["k", "f"])
 
 
-def measured(rows: DataFrame, table: DataFrame, m: int) -> DataFrame:
-    """``k`` and features ``f`` of every row (``k``, ``x``) by the models of ``FOLDS[m]``."""
-    held, cold = _held(table, m)
+def measured(rows: DataFrame, table: DataFrame, values: list[str]) -> DataFrame:
+    """``k`` and the features ``f`` of every row (``k``, ``x``), ``FEATURES`` of them by each of the ``values`` of ``table``."""
+    held, cold = _held(table, values)
     kind = rows.schema["k"].dataType.simpleString()
     lines = rows.select(F.monotonically_increasing_id().alias("row"), "x", "k").mapInArrow(
-        lambda it: _lookups(it, held), f"row bigint, key bigint, at int, said binary, k {kind}"
+        lambda it: _lookups(it, held), f"row bigint, key bigint, at int, said binary, f array<double>, k {kind}"
     )
-    met = lines.join(cold, "key", "left").filter("at = -2 OR here IS NOT NULL")
+    met = lines.join(cold, "key", "left").filter((F.col("at") < 0) | F.col(values[0]).isNotNull())
     texts = met.groupBy("row").agg(
-        F.first(F.when(F.col("at") == -2, F.col("k")), ignorenulls=True).alias("k"), F.first("said", ignorenulls=True).alias("said"),
-        F.collect_list(F.when(F.col("at") > -2, F.struct("at", *_VALUES))).alias("parts"),
+        *[F.first(F.when(F.col("at") < 0, F.col(x)), ignorenulls=True).alias(x) for x in ("k", "f", "said")],
+        F.collect_list(F.when(F.col("at") >= 0, F.struct("at", *values))).alias("parts"),
     )
-    return texts.select("k", "said", "parts").mapInArrow(_ratios, f"k {kind}, f array<double>")
+    number = len(values)
+    return texts.select("k", "f", "said", "parts").mapInArrow(lambda it: _finish(it, number), f"k {kind}, f array<double>")
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 100) -> np.ndarray:
@@ -426,10 +278,18 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
     return np.append(weights, w[-1] - weights @ mean)
 
 
+def log_loss(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> float:
+    z = np.clip(x @ weights[:-1] + weights[-1], -35, 35)
+    return float(np.mean(np.logaddexp(0, z) - y * z))
+
+
 @dataclass
 class ToxicityModel:
-    tables: DataFrame | None
-    weights: np.ndarray | None
+    """Written counts, the multiple of the discounts that was kept, and the weights of the calibration."""
+
+    models: Models | None
+    scale: float = 1.0
+    weights: np.ndarray | None = None
 
     def score(self, features: Column) -> Column:
         """Probability of label 1 for a column of features."""
@@ -449,30 +309,27 @@ def fit(documents: DataFrame, key: str, text: str, labels: DataFrame, label: str
         labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull())
         .groupBy(F.col(key).alias("k"))
         .agg(F.max((F.col(label) > 0).cast("int")).alias("y"))
-        .withColumn("fold", F.pmod(F.xxhash64("k", F.lit("fold")), F.lit(2)).cast("int"))
     )
     both = known.agg(F.min("y"), F.max("y")).first()
     if tuple(both) != (0, 1):
-        return ToxicityModel(None, None)
-    maybe = docs.filter(maybe_member(known, "k")(F.col("k")))
-    labelled = maybe.join(known, "k").select("x", (2 * F.col("fold") + F.col("y")).alias("g"))
-    pairs = materialise(pair_counts(labelled), "pairs")
-    shared = materialise(docs.select("x").mapInArrow(_words, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n")), "shared")
-    table = materialise(entries(pairs, shared), "entries")
+        return ToxicityModel(None)
+    labelled = docs.filter(maybe_member(known, "k")(F.col("k"))).join(known, "k")
+    models = Models.of(materialise(word_counts(docs, labelled), "words"))
 
     sample = F.broadcast(known.orderBy(F.xxhash64("k"), "k").limit(CALIBRATION_ROWS))
+    texts = docs.join(sample, "k").select(F.struct(F.col("k").alias("id"), "y", F.xxhash64("x").alias("h")).alias("k"), "x")
+    values = {f"r{i}{y}": models.ratio(s, y) for i, s in enumerate(SCALES) for y in (0, 1)}
+    found = measured(texts, models.entries(values), list(values))
     # One text for each id: repeated ids crowd out no others.
-    texts = docs.join(sample, "k").groupBy("k", "y", "fold").agg(F.min(F.struct(F.xxhash64("x").alias("h"), "x")).alias("t"))
-    texts = materialise(texts.select("y", "fold", "t.x"), "sample")
-    rows = []
-    for fold in (0, 1):
-        part = texts.filter(F.col("fold") == fold).select(F.col("y").alias("k"), "x")
-        rows += measured(part, table, 1 + fold).collect()
-    x = np.array([r["f"] for r in rows], dtype=np.float64).reshape(len(rows), 2 * (1 + len(PASSAGES)))
-    y = np.array([r["k"] for r in rows], dtype=np.float64)
+    rows = found.groupBy("k.id").agg(F.min(F.struct("k.h", "k.y", "f")).alias("t")).select("id", "t.y", "t.f").orderBy("id").collect()
+    y = np.array([r["y"] for r in rows], dtype=np.float64)
     if not 0 < y.sum() < len(y):
-        return ToxicityModel(None, None)
-    return ToxicityModel(table, fit_logistic(x, y))
+        return ToxicityModel(None)
+    x = np.array([r["f"] for r in rows]).reshape(len(rows), len(SCALES), 2, FEATURES)
+    x = x[np.arange(len(rows)), :, y.astype(int)]
+    fitted = [(fit_logistic(x[:, i], y), x[:, i]) for i in range(len(SCALES))]
+    best = min(range(len(SCALES)), key=lambda i: log_loss(fitted[i][1], y, fitted[i][0]))
+    return ToxicityModel(models, SCALES[best], fitted[best][0])
 
 
 def score_documents(model: ToxicityModel, documents: DataFrame, key: str, text: str, cut: float) -> DataFrame:
@@ -483,8 +340,9 @@ def score_documents(model: ToxicityModel, documents: DataFrame, key: str, text:
     and null keys are kept; an empty table gives an empty result; other columns are not read.
     """
     rows = documents.select(F.col(key).alias("k"), F.col(text).alias("x"))
-    if model.tables is None:
+    if model.models is None:
         scored = rows.select(F.col("k").alias(key), F.lit(0.0).alias("score"))
     else:
-        scored = measured(rows, model.tables, 0).select(F.col("k").alias(key), model.score(F.col("f")).alias("score"))
+        found = measured(rows, model.models.entries({"r": model.models.ratio(model.scale)}), ["r"])
+        scored = found.select(F.col("k").alias(key), model.score(F.col("f")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= cut).cast("int"))

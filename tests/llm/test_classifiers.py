@@ -1,5 +1,7 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -63,24 +65,13 @@ def test_toxic_words_decide_and_shared_ones_do_not(spark):
     assert len(toxicity.score_documents(model, odd(spark), "doc_id", "text", 0.7).collect()) == 13
 
 
-def test_counts_are_the_documents_of_each_class(spark):
-    documents, marks = labelled(spark, 40)
-    known = documents.join(marks, "doc_id").selectExpr("text AS x", "y AS g")
-    shared = documents.select("text").repartition(3).mapInArrow(toxicity._count_shared, toxicity._COUNTS)
-    counts = toxicity.Counts.merge(shared.unionByName(known.repartition(5).mapInArrow(toxicity._count_classes, toxicity._COUNTS)))
-    want = np.zeros(toxicity.WORDS)
-    for r in documents.collect():
-        want[np.unique(toxicity._expressions(r["text"])[0])] += 1
-    assert np.array_equal(counts.shared[0], want) and np.array_equal(counts.words.sum(axis=0), want)
-
-
 def test_without_both_classes(spark):
     documents, marks = labelled(spark, 20)
     none = toxicity.fit(documents, "doc_id", "text", marks.filter("y = 0"), "y")
     assert {r["score"] for r in toxicity.score_documents(none, documents, "doc_id", "text", 0.7).collect()} == {0.0}
     assert toxicity.score_documents(none, empty(spark), "doc_id", "text", 0.7).count() == 0
     odd_marks = spark.createDataFrame([(None, 1), (1, None), (2, 0)], "doc_id int, y int")
-    assert toxicity.fit(odd(spark), "doc_id", "text", odd_marks, "y").tables is None
+    assert toxicity.fit(odd(spark), "doc_id", "text", odd_marks, "y").models is None
     assert quality.fit(odd(spark), "doc_id", "text", odd_marks, "y") is None
     assert {r["predicted"] for r in quality.score_documents(None, odd(spark), "doc_id", "text", 0.3).collect()} == {1}
 
@@ -105,24 +96,6 @@ def test_quality_of_odd_rows(spark):
     assert quality.score_documents(model, empty(spark), "doc_id", "text", 0.3).count() == 0
 
 
-def test_pairs_are_counted_by_their_words_alone(spark):
-    documents, marks = labelled(spark, 40)
-    texts = {r["doc_id"]: toxicity.plain_words(r["text"]) for r in documents.collect()}
-    rows = toxicity.pair_counts(documents.join(marks, "doc_id").selectExpr("text AS x", "y AS g").repartition(5)).collect()
-    names = {int(h.view(np.int64)): w for t in texts.values() for w, h in zip(t, toxicity.hash_words(t))} | {toxicity.START: None}
-    want, holding = {}, {}
-    for i, t in texts.items():
-        for v, w in zip([None, *t], t):
-            want.setdefault((v, w), [0, 0, 0, 0])[int(i % 4 == 0)] += 1
-        for w in set(t):
-            holding.setdefault(w, [0, 0, 0, 0])[int(i % 4 == 0)] += 1
-    assert {(names[r["v"]], names[r["w"]]): [r[f"n{g}"] for g in range(4)] for r in rows} == want
-    got = {w: np.zeros(4, dtype=int) for w in holding}
-    for r in rows:
-        got[names[r["w"]]] += [r[f"d{g}"] for g in range(4)]
-    assert {w: n.tolist() for w, n in got.items()} == holding
-
-
 def test_scores_do_not_depend_on_what_is_broadcast(spark, monkeypatch):
     documents, marks = labelled(spark)
     new = spark.createDataFrame([(i, f"w{i} w{i + 1} {'fool' if i % 2 else 'w7'} w{i + 2}") for i in range(60)], "doc_id int, text string")
@@ -131,23 +104,78 @@ def test_scores_do_not_depend_on_what_is_broadcast(spark, monkeypatch):
         monkeypatch.setattr(toxicity, "HOT", hot)
         model = toxicity.fit(documents, "doc_id", "text", marks, "y")
         scores.append({r["doc_id"]: r["score"] for r in toxicity.score_documents(model, new, "doc_id", "text", 0.7).collect()})
-    assert scores[0] == pytest.approx(scores[1], abs=1e-4) and scores[0] == pytest.approx(scores[2], abs=1e-4)
+    assert scores[0] == pytest.approx(scores[1], abs=1e-9) and scores[0] == pytest.approx(scores[2], abs=1e-9)
     assert min(scores[0][i] for i in range(1, 60, 2)) > max(scores[0][i] for i in range(0, 60, 2))
 
 
-def test_every_context_sums_to_one(spark):
+def plain_model(texts, marks):
+    """Counts, discounts, ratios and calibration of a small corpus in plain Python."""
+    sets = {i: set(w.decode() for w in toxicity.plain_words(t)) for i, t in texts.items()}
+    count = {y: Counter(w for i in marks if marks[i] == y for w in sets[i]) for y in (0, 1)}
+    vocabulary = set(count[0]) | set(count[1])
+    shared = Counter(w for s in sets.values() for w in s if w in vocabulary)
+    discounts = [toxicity.modified_discounts([sum(c == i for c in count[y].values()) for i in (1, 2, 3, 4)]) for y in (0, 1)]
+
+    def left(c, y, scale):
+        return max(c - scale * discounts[y][min(c, 3) - 1], 0.0) if c > 0 else 0.0
+
+    sums = {(s, y): sum(left(c, y, s) for c in count[y].values()) for s in toxicity.SCALES for y in (0, 1)}
+
+    def ratio(word, scale, without=None):
+        back = max(1 - sums[scale, y] / sum(count[y].values()) for y in (0, 1))
+        base = (shared[word] + 0.5) / (sum(shared.values()) + 0.5 * len(vocabulary))
+        p = [(1 - back) * left(count[y][word] - (without == y), y, scale) / max(sums[scale, y], 1e-9) + back * base for y in (0, 1)]
+        return math.log(p[1] / p[0]) if word in vocabulary else 0.0
+
+    def features(text, scale, without=None):
+        r = [ratio(w.decode(), scale, without) for w in toxicity.plain_words(text)]
+        if not r:
+            return [0.0] * 7
+        passages = [max(sum(r[i:i + min(n, len(r))]) for i in range(len(r) - min(n, len(r)) + 1)) / n for n in (1, 4, 16)]
+        best = sorted(r, reverse=True)
+        return [sum(r) / len(r), *passages, *[sum(best[:n]) / n for n in (2, 4, 8)]]
+
+    return features
+
+
+def test_scores_equal_plain_ones(spark):
+    documents, marks = labelled(spark, 40)
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    known = {r["doc_id"]: r["y"] for r in marks.collect() if r["doc_id"] % 5 != 2}
+    features = plain_model(texts, known)
+    y = np.array([known[i] for i in sorted(known)], dtype=float)
+    fits = []
+    for scale in toxicity.SCALES:
+        x = np.array([features(texts[i], scale, known[i]) for i in sorted(known)])
+        weights = toxicity.fit_logistic(x, y)
+        p = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -35, 35)))
+        fits.append((-np.mean(np.log(np.where(y == 1, p, 1 - p))), scale, weights))
+    model = toxicity.fit(documents, "doc_id", "text", marks.filter("doc_id % 5 <> 2"), "y")
+    loss, scale, weights = min(fits, key=lambda f: f[0])
+    assert model.scale == scale
+    got = toxicity.score_documents(model, documents, "doc_id", "text", 0.7).collect()
+    assert len(got) == 40
+    for r in got:
+        want = 1 / (1 + math.exp(-float(np.clip(np.dot(features(texts[r["doc_id"]], scale), weights[:-1]) + weights[-1], -35, 35))))
+        assert r["score"] == pytest.approx(want, abs=2e-3) and r["predicted"] == (r["score"] >= 0.7)
+
+
+def test_shares_of_each_class_sum_to_one(spark):
     documents, marks = labelled(spark, 80)
-    groups = documents.join(marks, "doc_id").selectExpr("text AS x", "2 * (doc_id % 2) + y AS g")
-    pairs = toxicity.pair_counts(groups).cache()
-    shared = documents.select("text").mapInArrow(toxicity._words, "w bigint, n bigint").groupBy("w").sum("n").toDF("w", "n")
-    words, discounts = toxicity.word_shares(pairs, shared)
-    words, seen = {r["key"]: r for r in words.collect()}, pairs.collect()
-    for (m, y), discount in discounts.items():
-        assert 0 < discount < 1
-        assert sum(r[f"p{m}{y}"] for r in words.values()) == pytest.approx(1) == sum(r[f"q{m}{y}"] for r in words.values())
-        own = dict.fromkeys(words, 0.0)
-        for r in seen:
-            n = sum(r[f"n{2 * fold + y}"] for fold in toxicity.FOLDS[m])
-            own[r["v"]] += max(n - discount, 0) / max(1, words[r["v"]][f"c{m}{y}"])
-        assert all(own[v] + r[f"b{m}{y}"] == pytest.approx(1) for v, r in words.items())
-    pairs.unpersist()
+    known = documents.join(marks, "doc_id").selectExpr("text AS x", "y")
+    models = toxicity.Models.of(toxicity.word_counts(documents.selectExpr("text AS x"), known).cache())
+    holding = Counter(w for r in documents.collect() for w in set(toxicity.plain_words(r["text"])))
+    names = {int(h.view(np.int64)): w for w in holding for h in toxicity.hash_words([w])}
+    rows = models.words.collect()
+    assert {names[r["key"]]: r["n"] for r in rows} == holding and all(r["c0"] + r["c1"] == r["n"] for r in rows)
+    for s in toxicity.SCALES:
+        sums = models.words.agg(*[toxicity.F.sum(models.share(y, s)) for y in (0, 1)]).first()
+        assert list(sums) == pytest.approx([1, 1])
+    models.words.unpersist()
+
+
+def test_discounts_come_from_counts_of_counts():
+    one, two, more = toxicity.modified_discounts([100, 40, 20, 12])
+    share = 100 / 180
+    assert (one, two, more) == pytest.approx((1 - 2 * share * 0.4, 2 - 3 * share * 0.5, 3 - 4 * share * 0.6))
+    assert toxicity.modified_discounts([None, 0, 0, 9]) == pytest.approx((1 - 2 / 3, 1.0, 0.05))
