@@ -15,7 +15,8 @@ are also tried at the multiples ``SCALES``; the one of least left-out loss is ke
 
 Counts are exact, by 64-bit hashes of words, in a table that Spark groups and writes; it grows with the corpus. Entries of
 the commonest words, at most ``HOT``, are broadcast; a bit map tells which others a text may need. A text that
-needs none is measured on the spot; only the others send one number per word to meet the rest of the table.
+needs none is measured on the spot; only the others send two bytes per word to meet the rest of the table. Ratios are
+rounded to half precision wherever they are kept, so that both ways give one result.
 """
 
 from __future__ import annotations
@@ -174,7 +175,7 @@ def _held(table: DataFrame, values: list[str]) -> tuple:
     hot = table.filter(many).select("key", *values).toPandas()
     keys = hot["key"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(keys)
-    said = hot[values].to_numpy(dtype=np.float32)[order].T.copy()
+    said = hot[values].to_numpy(dtype=np.float16)[order].T.copy()
     cold = table.filter(~many).select("key", *values)
     held = (keys[order], said, *_map_of(cold, sum(r["count"] for r in steps) - total))
     return table.sparkSession.sparkContext.broadcast(held), cold
@@ -194,7 +195,7 @@ def length_normalised(r: np.ndarray) -> list[float]:
 
 
 def _features(said: np.ndarray) -> list[float]:
-    return [x for r in said for x in length_normalised(r)]
+    return [x for r in said.astype(np.float32) for x in length_normalised(r)]
 
 
 def _lookups(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
@@ -205,7 +206,7 @@ def _lookups(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch
         heads, features, found = [], [], []
         for row, text in zip(rows, batch.column(1)):
             w = hash_words(plain_words(text.as_py()))
-            said = np.zeros((len(values), len(w)), dtype=np.float32)
+            said = np.zeros((len(values), len(w)), dtype=np.float16)
             rest = np.ones(len(w), dtype=bool)
             if len(keys):
                 at = np.minimum(np.searchsorted(keys, w), len(keys) - 1)
@@ -234,7 +235,7 @@ def _finish(batches: Iterator[pa.RecordBatch], n_values: int) -> Iterator[pa.Rec
         out = []
         for f, said, parts in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
             if f is None:
-                r = np.frombuffer(said.as_py(), dtype=np.float32).reshape(n_values, -1).copy()
+                r = np.frombuffer(said.as_py(), dtype=np.float16).reshape(n_values, -1).copy()
                 inner = parts.values
                 if inner is not None and len(inner):
                     at = inner.field(0).to_numpy(zero_copy_only=False)
