@@ -137,16 +137,3 @@ def evolve(table: DataFrame, defaults: dict[str, str]) -> DataFrame:
         if name not in table.columns:
             table = table.withColumn(name, F.lit(value))
     return table
-
-
-def write_version(store: DataFrame, folder: str, version: int) -> str:
-    """Write the store after one batch. The same batch overwrites its own folder only."""
-    path = f"{folder}/store-{version:012d}"
-    store.write.mode("overwrite").parquet(path)
-    return path
-
-
-def read_version(spark: SparkSession, folder: str, version: int) -> DataFrame:
-    if version < 0:
-        return empty_store(spark)
-    return spark.read.schema(STORE_SCHEMA).parquet(f"{folder}/store-{version:012d}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,23 +13,28 @@ from mailrisk.functions import text as tx
 from mailrisk.operators import ensemble as en
 from mailrisk.operators import store as st
 from mailrisk.operators import trust as tr
+from mailrisk.operators.bucketed import BucketedStore
 from mailrisk.plans import oracle_base as ob
 from mailrisk.plans.mail_view import mail_view
 from mailrisk.plans.registry import register
-from mailrisk.session import materialise
+from mailrisk.session import materialise, work_dir
 
-START, THIRD = 1704067200, 864000
+START, THIRD, BATCHES = 1704067200, 864000, 3
 
 
-def replay(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Three batches of ten days; the model is not ready during the first."""
-    mail = mail_view(spark, sf_dir)
+def replayed_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mail and the batch it comes in; there are no model scores in the first."""
     number = F.floor((F.unix_timestamp("scanned_at") - START) / THIRD)
-    mail = mail.withColumn("batch", number).withColumn(
+    return mail_view(spark, sf_dir).withColumn("batch", number).withColumn(
         "model_score", F.when(F.col("batch") > 0, F.col("model_score"))
     )
+
+
+def replay(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Three batches of ten days; the model is not ready during the first."""
+    mail = replayed_mail(spark, sf_dir)
     store, flagged = st.empty_store(spark), None
-    for n in range(3):
+    for n in range(BATCHES):
         batch = mail.filter(F.col("batch") == n)
         plan = st.plan_scans(store, batch, model_ready=n > 0)
         # Deciding comes first: only what is due is scored.
@@ -85,6 +92,22 @@ def rules_only_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.rules_backlog(replay(spark, sf_dir)[0]).select("msg_key", "email_id")
 
 
+@register("bucketed_verdict_store", f"""WITH RECURSIVE {REPLAY},
+N AS (SELECT *, ('0x' || substring(msg_key, 1, 8))::BIGINT % 256 AS bucket FROM WALK),
+V AS (SELECT bucket, max(batch) FILTER (WHERE was_scored) AS bucket_version FROM N GROUP BY bucket)
+SELECT msg_key, email_id, content_hash, risk_score, bucket::INTEGER AS bucket, bucket_version::BIGINT AS bucket_version FROM N JOIN V USING (bucket)
+QUALIFY row_number() OVER (PARTITION BY msg_key ORDER BY rn DESC) = 1""")
+def bucketed_verdict_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same three batches against a store in buckets, with the version that wrote each bucket last."""
+    mail, kept = replayed_mail(spark, sf_dir), BucketedStore(f"{work_dir(spark)}/verdicts-{uuid.uuid4().hex}")
+    for n in range(BATCHES):
+        kept.advance(mail.filter(F.col("batch") == n), n, n > 0, en.score_ensemble)
+    kept.drop_before(spark, BATCHES - 1)
+    written = spark.createDataFrame(sorted(kept.manifest(spark, BATCHES - 1).items()), "bucket int, bucket_version bigint")
+    rows = kept.read(spark, BATCHES - 1).select("msg_key", "email_id", "content_hash", "risk_score", kept.bucket().alias("bucket"))
+    return rows.join(F.broadcast(written), "bucket")  # at most as many rows as there are buckets
+
+
 # Known senders ---------------------------------------------------------------------------------
 
 SHAPES = 5

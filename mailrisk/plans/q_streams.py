@@ -15,7 +15,7 @@ from mailrisk.plans.q_store import walk_sql
 from mailrisk.plans.registry import register
 from mailrisk.session import work_dir
 from mailrisk.streaming import messages as ms
-from mailrisk.operators import store as st
+from mailrisk.operators.bucketed import BucketedStore
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -89,9 +89,10 @@ SELECT msg_key, email_id, content_hash, risk_score, phish AS is_phishing, '{CFG.
 FROM WALK QUALIFY row_number() OVER (PARTITION BY msg_key ORDER BY rn DESC) = 1""")
 def stream_verdict_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark, "store")
-    step = ms.store_step(spark, f"{folder}/out", model_ready=False)
+    kept = BucketedStore(f"{folder}/out")
+    step = ms.store_step(kept, model_ready=False)
     ms.run_to_end(ms.per_batch(_documents(spark, sf_dir), step, f"{folder}/checkpoint"))
-    store = st.read_version(spark, f"{folder}/out", ms.newest_version(spark, f"{folder}/out", "store"))
+    store = kept.read(spark, ms.newest_version(spark, kept.folder, "manifest"))
     return store.select("msg_key", "email_id", "content_hash", "risk_score", "is_phishing", "scoring_version")
 
 

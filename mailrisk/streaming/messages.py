@@ -19,7 +19,7 @@ from mailrisk.config import DEFAULT, ScoringConfig
 from mailrisk.functions import text as tx
 from mailrisk.operators import accounts as ac
 from mailrisk.operators import ensemble as en
-from mailrisk.operators import store as st
+from mailrisk.operators.bucketed import BucketedStore
 
 MESSAGE_SCHEMA = (
     "msg_id bigint, user_id bigint, sender string, subject string, content string, scanned_at timestamp"
@@ -97,18 +97,12 @@ def notify_step(folder: str) -> Callable[[DataFrame, int], None]:
 
 
 def store_step(
-    spark: SparkSession, folder: str, model_ready: bool, cfg: ScoringConfig = DEFAULT
+    store: BucketedStore, model_ready: bool, cfg: ScoringConfig = DEFAULT
 ) -> Callable[[DataFrame, int], None]:
-    """Advance the verdict store by one micro-batch of messages."""
+    """Advance the verdict store by one micro-batch of messages; only the buckets of its messages are rewritten."""
 
     def step(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        before = st.read_version(session, folder, number - 1)
-        plan = st.plan_scans(before, batch, model_ready, cfg)
-        due = batch.join(plan.filter("scored").select("msg_id"), "msg_id", "left_semi")
-        verdicts = score_stream(due, cfg)
-        after, _ = st.apply_scans(before, verdicts, plan, cfg)
-        st.write_version(after, folder, number)
+        store.advance(batch, number, model_ready, lambda due: score_stream(due, cfg), cfg)
 
     return step
 

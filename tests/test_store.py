@@ -12,6 +12,7 @@ from mailrisk.operators import accounts as ac
 from mailrisk.operators import ensemble as en
 from mailrisk.operators import store as st
 from mailrisk.operators import trust as tr
+from mailrisk.operators.bucketed import BucketedStore
 from mailrisk.session import materialise
 from mailrisk.streaming import messages as ms
 
@@ -83,22 +84,54 @@ def test_stream_equals_batch(spark, tmp_path):
     rows = random_messages(3, 60)
     for part in range(3):
         spark.createDataFrame(rows[part * 20:(part + 1) * 20], SCHEMA).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    kept = BucketedStore(str(tmp_path / "out"), 16)
     stream = ms.read_stream(spark, str(tmp_path / "in"), files_per_batch=1)
-    run = ms.per_batch(stream, ms.store_step(spark, str(tmp_path / "out"), False), str(tmp_path / "cp"))
+    run = ms.per_batch(stream, ms.store_step(kept, False), str(tmp_path / "cp"))
     ms.run_to_end(run)
-    last = ms.newest_version(spark, str(tmp_path / "out"), "store")
-    assert last == 2 and ms.newest_version(spark, str(tmp_path / "none"), "store") == -1
+    last = ms.newest_version(spark, kept.folder, "manifest")
+    assert last == 2 and ms.newest_version(spark, str(tmp_path / "none"), "manifest") == -1
     ms.run_to_end(run)  # a restart that finds nothing new
-    assert ms.newest_version(spark, str(tmp_path / "out"), "store") == 2
-    got = {(r.user_id, r.sender): r.risk_score for r in st.read_version(spark, str(tmp_path / "out"), last).collect()}
+    assert ms.newest_version(spark, kept.folder, "manifest") == 2
+    got = {(r.user_id, r.sender): r.risk_score for r in kept.read(spark, last).collect()}
     df = spark.createDataFrame(rows, SCHEMA)
     score = {r.msg_id: r.risk_score for r in ms.score_stream(df).collect()}
-    versions = [st.read_version(spark, str(tmp_path / "out"), n).count() for n in range(3)]
+    versions = [kept.read(spark, n).count() for n in range(3)]
     assert versions == sorted(versions) and len(got) == versions[-1]
     want, _ = one_by_one(rows, {True: score, False: score}, lambda r: 0)
     assert set(got) == {(k[0], k[1]) for k in want}
 
 
+def test_a_small_batch_writes_its_own_buckets_only(spark, tmp_path):
+    at = datetime(2024, 1, 1)
+    first = [(i, i, f"a{i}@b.com", "s", "hello there", at) for i in range(400)]
+    small = [(1000 + i, 40 * i, f"a{40 * i}@b.com", "s", "hello there, and more", at) for i in range(8)]
+    small += [(1100, 7, "a7@b.com", "s", "hello there", at), (1101, 9000, "new@b.com", "s", "x", at)]
+    kept = BucketedStore(str(tmp_path / "s"), 64)
+    step = ms.store_step(kept, False)
+    frames = [spark.createDataFrame(rows, SCHEMA) for rows in (first, small)]
+    step(frames[0], 0)
+    (tmp_path / "s" / "data-000000000001" / "bucket=3").mkdir(parents=True)  # what a batch that stopped half way leaves
+    assert ms.newest_version(spark, kept.folder, "manifest") == 0
+    step(frames[1], 1)
+    step(frames[1], 1)  # the batch again, as after a restart
+    written = {p.name for p in (tmp_path / "s" / "data-000000000001").glob("bucket=*")}
+    held = kept.manifest(spark, 1)
+    assert {f"bucket={b}" for b, v in held.items() if v == 1} == written and len(written) <= 9
+    assert set(held) == set(kept.manifest(spark, 0)) | {int(b[7:]) for b in written} and set(held.values()) == {0, 1}
+    plan = st.plan_scans(kept.read(spark, 0), frames[1], False)
+    whole, _ = st.apply_scans(kept.read(spark, 0), ms.score_stream(frames[1]), plan)
+    assert sorted(kept.read(spark, 1).collect()) == sorted(whole.collect())
+    assert {r.user_id: r.email_id for r in kept.read(spark, 1).collect()}[9000] == 1101
+    before = sorted(kept.read(spark, 1).collect())
+    replaced = [b for b in written if (tmp_path / "s" / "data-000000000000" / b).exists()]
+    assert kept.drop_before(spark, 1) == len(replaced)
+    assert sorted(kept.read(spark, 1).collect()) == before and ms.newest_version(spark, kept.folder, "manifest") == 1
+    step(frames[0].limit(0), 2)
+    assert kept.manifest(spark, 2) == held and sorted(kept.read(spark, 2).collect()) == before
+    step(frames[1], 3)
+    assert kept.manifest(spark, 3) == held
+
+
 def test_user_state_stream_equals_batch(spark, tmp_path):
     rng = random.Random(5)
     events = [(i, 0 if i % 3 else rng.randrange(5), datetime(2024, 1, 1) + timedelta(minutes=i), round(rng.random() * 100, 2)) for i in range(300)]
