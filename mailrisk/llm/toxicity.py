@@ -29,10 +29,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mailrisk.llm import bitmap
 from mailrisk.llm.bitmap import collect_bits, has_bits, maybe_member
-from mailrisk.llm.words import hash_words, mix, plain_words
+from mailrisk.llm.words import hash_words, plain_words
 from mailrisk.session import materialise
 
 HOT = 1 << 18
@@ -43,6 +44,8 @@ PASSAGES = (1, 4, 16)
 BEST_WORDS = (2, 4, 8)
 FEATURES = 1 + len(PASSAGES) + len(BEST_WORDS)
 CALIBRATION_ROWS = 20_000
+COPIES = 1 << 16
+BROADCAST_IDS = 1 << 19  # labelled ids, of a fixed width, that are broadcast; more are joined by key
 
 
 def _map_of(keys: DataFrame, number: int) -> tuple[np.ndarray, int]:
@@ -198,36 +201,46 @@ def _features(said: np.ndarray) -> list[float]:
     return [x for r in said.astype(np.float32) for x in length_normalised(r)]
 
 
-def _lookups(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
-    """A head row per text, measured or with what the common words say, and a row per word that may be among the others."""
+def _said(text: str | None, held) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of a text's words, what the common ones say, and the places of those that may be among the others."""
     keys, values, bits, cells = held.value
+    w = hash_words(plain_words(text))
+    said = np.zeros((len(values), len(w)), dtype=np.float16)
+    rest = np.ones(len(w), dtype=bool)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, w), len(keys) - 1)
+        common = keys[at] == w
+        said[:, common] = values[:, at[common]]
+        rest = ~common
+    return w, said, np.flatnonzero(rest & _maybe(bits, cells, w))
+
+
+def _heads(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
+    """A row per text: its features if common words are all it has, else what they say."""
     for batch in batches:
-        rows = batch.column(0).to_numpy()
-        heads, features, found = [], [], []
-        for row, text in zip(rows, batch.column(1)):
-            w = hash_words(plain_words(text.as_py()))
-            said = np.zeros((len(values), len(w)), dtype=np.float16)
-            rest = np.ones(len(w), dtype=bool)
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, w), len(keys) - 1)
-                common = keys[at] == w
-                said[:, common] = values[:, at[common]]
-                rest = ~common
-            rest = np.flatnonzero(rest & _maybe(bits, cells, w))
-            heads.append(said.tobytes() if len(rest) else None)
-            features.append(None if len(rest) else _features(said))
-            found.append((np.full(len(rest), row), w[rest].view(np.int64), rest))
-        own = [np.concatenate(x) for x in zip(*found)] if found else [np.empty(0, dtype=np.int64)] * 3
-        more = len(own[0])
-        # A head's key is its own, so that heads are spread over the join.
-        yield pa.RecordBatch.from_arrays([
-            pa.array(np.concatenate((rows, own[0]))),
-            pa.array(np.concatenate((mix(rows.astype(np.uint64), 7).view(np.int64), own[1]))),
-            pa.array(np.concatenate((np.full(len(rows), -1), own[2])).astype(np.int32)),
-            pa.array(heads + [None] * more, pa.binary()),
-            pa.array(features + [None] * more, pa.list_(pa.float64())),
-            pa.concat_arrays([batch.column(2), pa.nulls(more, batch.column(2).type)]),
-        ], ["row", "key", "at", "said", "f", "k"])
+        said, features = [], []
+        for text in batch.column("x"):
+            _, own, rest = _said(text.as_py(), held)
+            said.append(own.tobytes() if len(rest) else None)
+            features.append(None if len(rest) else _features(own))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(c) for c in ("r1", "r2", "k")] + [pa.array(said, pa.binary()), pa.array(features, pa.list_(pa.float64()))],
+            ["r1", "r2", "k", "said", "f"])
+
+
+def _asked(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
+    """A row per word that may be among the others."""
+    for batch in batches:
+        row, keys, places = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for i, text in enumerate(batch.column("x")):
+            w, _, rest = _said(text.as_py(), held)
+            row.append(np.full(len(rest), i))
+            keys.append(w[rest].view(np.int64))
+            places.append(rest)
+        row = pa.array(np.concatenate(row))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("r1").take(row), batch.column("r2").take(row), pa.array(np.concatenate(keys)),
+             pa.array(np.concatenate(places).astype(np.int32))], ["r1", "r2", "key", "at"])
 
 
 def _finish(batches: Iterator[pa.RecordBatch], n_values: int) -> Iterator[pa.RecordBatch]:
@@ -243,23 +256,33 @@ def _finish(batches: Iterator[pa.RecordBatch], n_values: int) -> Iterator[pa.Rec
                         r[i, at] = inner.field(1 + i).to_numpy(zero_copy_only=False)
                 f = _features(r)
             out.append(f)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], ["k", "f"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64())), batch.column(4)], ["k", "f", "n"])
 
 
 def measured(rows: DataFrame, table: DataFrame, values: list[str]) -> DataFrame:
-    """``k`` and the features ``f`` of every row (``k``, ``x``), ``FEATURES`` of them by each of the ``values`` of ``table``."""
+    """``k`` and the features ``f`` of every row (``k``, ``x``), ``FEATURES`` of them by each of the ``values`` of ``table``.
+
+    Texts are read twice, for the rare words they ask for and for what the common ones say, so that the latter is
+    sent once. A row is known by a hash of 128 bits of key and text; rows repeated with both are measured once.
+    """
     held, cold = _held(table, values)
     kind = rows.schema["k"].dataType.simpleString()
-    lines = rows.select(F.monotonically_increasing_id().alias("row"), "x", "k").mapInArrow(
-        lambda it: _lookups(it, held), f"row bigint, key bigint, at int, said binary, f array<double>, k {kind}"
-    )
-    met = lines.join(cold, "key", "left").filter((F.col("at") < 0) | F.col(values[0]).isNotNull())
-    texts = met.groupBy("row").agg(
-        *[F.first(F.when(F.col("at") < 0, F.col(x)), ignorenulls=True).alias(x) for x in ("k", "f", "said")],
-        F.collect_list(F.when(F.col("at") >= 0, F.struct("at", *values))).alias("parts"),
+    absent = (F.col("k").isNull(), F.col("x").isNull())
+    known = rows.select(F.xxhash64("k", "x", *absent).alias("r1"), F.xxhash64(F.lit(1), "x", "k", *absent).alias("r2"), "x", "k")
+    heads = known.mapInArrow(lambda it: _heads(it, held), f"r1 bigint, r2 bigint, k {kind}, said binary, f array<double>")
+    asked = known.select("r1", "r2", "x").mapInArrow(lambda it: _asked(it, held), "r1 bigint, r2 bigint, key bigint, at int")
+    met = asked.join(cold, "key").select("r1", "r2", F.struct("at", *values).alias("part"))
+    both = heads.withColumn("n", F.lit(1)).unionByName(met.withColumn("n", F.lit(0)), allowMissingColumns=True)
+    texts = both.groupBy("r1", "r2").agg(
+        *[F.first(x, ignorenulls=True).alias(x) for x in ("k", "f", "said")], F.collect_set("part").alias("parts"), F.sum("n").alias("n")
     )
     number = len(values)
-    return texts.select("k", "f", "said", "parts").mapInArrow(lambda it: _finish(it, number), f"k {kind}, f array<double>")
+    once = texts.select("k", "f", "said", "parts", "n").mapInArrow(
+        lambda it: _finish(it, number), f"k {kind}, f array<double>, n bigint")
+    # In two steps, so that no list of copies is long.
+    part = F.col("n") - F.col("part") * COPIES
+    parted = once.select("*", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {COPIES}"))).alias("part"))
+    return parted.select("k", "f", F.explode(F.sequence(F.lit(1), F.least(part, F.lit(COPIES)))).alias("copy")).drop("copy")
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 100) -> np.ndarray:
@@ -306,15 +329,16 @@ def fit(documents: DataFrame, key: str, text: str, labels: DataFrame, label: str
     any label is; null ids and labels are left out. Null and empty texts have no words.
     """
     docs = documents.select(F.col(key).alias("k"), F.col(text).alias("x"))
-    known = (
+    known = materialise(
         labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull())
         .groupBy(F.col(key).alias("k"))
-        .agg(F.max((F.col(label) > 0).cast("int")).alias("y"))
+        .agg(F.max((F.col(label) > 0).cast("int")).alias("y")), "known"
     )
     both = known.agg(F.min("y"), F.max("y")).first()
     if tuple(both) != (0, 1):
         return ToxicityModel(None)
-    labelled = docs.filter(maybe_member(known, "k")(F.col("k"))).join(known, "k")
+    narrow = known.schema["k"].dataType not in (T.StringType(), T.BinaryType()) and known.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    labelled = docs.filter(maybe_member(known, "k")(F.col("k"))).join(F.broadcast(known) if narrow else known, "k")
     models = Models.of(materialise(word_counts(docs, labelled), "words"))
 
     sample = F.broadcast(known.orderBy(F.xxhash64("k"), "k").limit(CALIBRATION_ROWS))
