@@ -58,9 +58,28 @@ def risk_trajectory(emails: DataFrame, cfg: ScoringConfig = DEFAULT) -> DataFram
 STATES = 101  # the weighted risk is rounded to a whole number from 0 to 100 after every message
 
 
-def _weighted_step(state, score: float):
-    """One message applied to a state, or to the table of all states."""
-    return (state * 0.8 + score * 0.2 + 0.5) // 1
+def step_tables(scores: np.ndarray) -> np.ndarray:
+    """Row i: the state after message i for every state before it. A message without a score changes nothing."""
+    before = np.arange(STATES)
+    after = np.floor(before * 0.8 + scores[:, None] * 0.2 + 0.5)
+    return np.where(np.isnan(scores)[:, None], before, after).astype("int16")
+
+
+def fold_tables(group: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """One table per run of equal ``group`` numbers: its tables applied in order.
+
+    Neighbours of a run are put together two by two, in all runs at once, until each run is one table.
+    """
+    while True:
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        place = np.arange(len(group)) - np.repeat(first, np.diff(np.r_[first, len(group)]))
+        left = np.flatnonzero(place % 2 == 0)
+        paired = np.isin(left + 1, np.flatnonzero(place % 2))
+        if not paired.any():
+            return tables
+        merged = tables[left]
+        merged[paired] = np.take_along_axis(tables[left[paired] + 1], tables[left[paired]], axis=1)
+        group, tables = group[left], merged
 
 
 def weighted_runs(emails: DataFrame) -> DataFrame:
@@ -68,7 +87,7 @@ def weighted_runs(emails: DataFrame) -> DataFrame:
 
     The rounded state has 101 values, so any run of messages is such a table. Rows are
     range-partitioned by user and time, which cuts a heavy user into many runs; there is at most
-    one run per user and partition.
+    one run per user and partition. A batch folds all its users at once, in columns.
     """
     ordered = (
         emails.select("user_id", "scanned_at", "email_id", "risk_score")
@@ -77,27 +96,29 @@ def weighted_runs(emails: DataFrame) -> DataFrame:
     )
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        user, first, count, state = None, None, 0, None
-
-        def run() -> pd.DataFrame:
-            table = np.broadcast_to(np.asarray(state), (STATES,)).astype("int32").tolist()
-            return pd.DataFrame({
-                "user_id": [user], "first_at": [first[0]], "first_id": [first[1]], "n": [count], "after": [table],
-            })
-
+        held = None  # the last run, which the next batch may continue
         for batch in batches:
-            for u, at, i, score in zip(batch.user_id, batch.scanned_at, batch.email_id, batch.risk_score):
-                if u != user:
-                    if user is not None:
-                        yield run()
-                    user, first, count, state = u, (at, i), 0, np.arange(STATES, dtype="float64")
-                state = _weighted_step(state, score)
-                count += 1
-                # The step is monotone: once the ends agree, every earlier state leads here.
-                if count % 8 == 0 and isinstance(state, np.ndarray) and state[0] == state[-1]:
-                    state = float(state[0])
-        if user is not None:
-            yield run()
+            if batch.empty:
+                continue
+            user = batch["user_id"]
+            same = (user == user.shift()) | (user.isna() & user.shift().isna())
+            same.iloc[0] = False
+            group = (~same).cumsum().to_numpy()
+            runs = batch[~same][["user_id", "scanned_at", "email_id"]].reset_index(drop=True)
+            runs.columns = ["user_id", "first_at", "first_id"]
+            runs["n"] = np.bincount(group)[1:]
+            runs["after"] = list(fold_tables(group, step_tables(batch["risk_score"].to_numpy("float64"))).astype("int32"))
+            if held is not None:
+                before, after = held.iloc[0], runs.iloc[0]
+                if before.user_id == after.user_id or (pd.isna(before.user_id) and pd.isna(after.user_id)):
+                    held["n"] += after.n
+                    held["after"] = [after.after[before.after]]
+                    runs = runs.iloc[1:]
+                runs = pd.concat([held, runs], ignore_index=True) if len(runs) else held
+            yield runs.iloc[:-1]
+            held = runs.iloc[-1:].reset_index(drop=True)
+        if held is not None:
+            yield held
 
     return ordered.mapInPandas(
         fold, "user_id bigint, first_at timestamp, first_id bigint, n bigint, after array<int>"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,27 +108,45 @@ def _deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = F.expr(f"(unix_micros(ts) - lo) * {ARRIVALS} div (hi - lo + 1)")
     late = F.when(F.col("event_id") % 37 == 0, 2).otherwise(0)
     return events.join(F.broadcast(ends)).select(  # one row
-        "user_id", F.col("ts").alias("scanned_at"), F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("value"))).alias("risk_score"),
+        "user_id", F.col("event_id").alias("email_id"), F.col("ts").alias("scanned_at"),
+        F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("value"))).alias("risk_score"),
         F.least(share + late, F.lit(ARRIVALS + 1)).cast("int").alias("delivery"))
 
 
-@register("stream_event_windows", f"""WITH B AS (SELECT epoch_us(min(ts)) AS lo, epoch_us(max(ts)) AS hi FROM events WHERE ts IS NOT NULL),
-D AS (SELECT user_id, ts, greatest(0e0, least(1e2, value)) AS risk_score, time_bucket(INTERVAL '1 hour', ts) AS ws,
+DELIVERIES = f"""B AS (SELECT epoch_us(min(ts)) AS lo, epoch_us(max(ts)) AS hi FROM events WHERE ts IS NOT NULL),
+D AS (SELECT user_id, event_id, ts, greatest(0e0, least(1e2, value)) AS risk_score, time_bucket(INTERVAL '1 hour', ts) AS ws,
   least((epoch_us(ts) - lo) * {ARRIVALS} // (hi - lo + 1) + CASE WHEN event_id % 37 = 0 THEN 2 ELSE 0 END, {ARRIVALS + 1}) AS d FROM events, B WHERE ts IS NOT NULL),
-M AS (SELECT x.d, max(D.ts) - INTERVAL '10 minutes' AS passed FROM (SELECT DISTINCT d FROM D) x LEFT JOIN D ON D.d < x.d GROUP BY x.d),
+M AS (SELECT x.d, max(D.ts) - INTERVAL '10 minutes' AS passed FROM (SELECT DISTINCT d FROM D) x LEFT JOIN D ON D.d < x.d GROUP BY x.d)"""
+
+
+@register("stream_event_windows", f"""WITH {DELIVERIES},
 K AS (SELECT D.* FROM D JOIN M USING (d) WHERE passed IS NULL OR ws + INTERVAL '1 hour' > date_trunc('milliseconds', passed))
 SELECT user_id, ws AS window_start, ws + INTERVAL '1 hour' AS window_end, count(*) AS n_scans,
   count(*) FILTER (WHERE risk_score >= {CFG.threshold}) AS n_phishing
 FROM K WHERE ws + INTERVAL '1 hour' <= (SELECT date_trunc('milliseconds', max(ts) - INTERVAL '10 minutes') FROM D) GROUP BY user_id, ws""")
 def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of event time over deliveries, one micro-batch each; rows that come too late for their window are dropped."""
-    folder = _folder(spark, "windows")
-    rows = _deliveries(spark, sf_dir)
-    for number in range(ARRIVALS + 2):  # a delivery arrives, the stream is started again and takes it
+    return _deliver(spark, _deliveries(spark, sf_dir), "windows", ms.windowed_counts)
+
+
+def _deliver(spark: SparkSession, rows: DataFrame, name: str, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``operator`` writes when the deliveries arrive one by one and the stream is started again for each."""
+    folder = _folder(spark, name)
+    for number in range(ARRIVALS + 2):
         rows.filter(F.col("delivery") == number).drop("delivery").write.parquet(f"{folder}/in/{number:06d}")
         stream = spark.readStream.schema(rows.drop("delivery").schema).option("recursiveFileLookup", True).parquet(f"{folder}/in")
-        counted = ms.windowed_counts(stream)
+        result = operator(stream)
         ms.run_to_end(
-            counted.writeStream.format("parquet").option("path", f"{folder}/out")
+            result.writeStream.format("parquet").option("path", f"{folder}/out")
             .option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True))
-    return spark.read.schema(counted.schema).parquet(f"{folder}/out")
+    return spark.read.schema(result.schema).parquet(f"{folder}/out")
+
+
+@register("stream_user_slices", f"""WITH {DELIVERIES},
+K AS (SELECT D.* FROM D JOIN M USING (d) WHERE user_id IS NOT NULL AND (passed IS NULL OR ts > date_trunc('milliseconds', passed)))
+SELECT user_id, count(*) AS total_scanned, count(*) FILTER (WHERE risk_score >= {CFG.threshold}) AS phishing_blocked,
+  list_reduce(list_prepend(0e0, list(risk_score ORDER BY ws, d, ts, event_id)), lambda a, x: floor(a * 8e-1 + x * 2e-1 + 5e-1))::INTEGER AS weighted_risk
+FROM K WHERE ws + INTERVAL '1 hour' < (SELECT date_trunc('milliseconds', max(ts) - INTERVAL '10 minutes') FROM D) GROUP BY user_id""")
+def stream_user_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User state from the state store after all deliveries: every hour that the watermark has passed."""
+    return ms.state_from_slices(_deliver(spark, _deliveries(spark, sf_dir), "slices", ms.user_slices))

@@ -8,11 +8,14 @@ user or message key with most of the rows is still spread over tasks.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from mailrisk.config import DEFAULT, ScoringConfig
@@ -71,6 +74,69 @@ def windowed_counts(
     return counted.select("user_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n_scans", "n_phishing")
 
 
+SLICE_STATE = "n_scans bigint, n_blocked bigint, after binary"  # a byte for each of the 101 states before
+SLICE = "user_id bigint, slice bigint, closed_ms bigint, n_scans bigint, n_blocked bigint, after array<int>"
+
+
+def user_slices(
+    verdicts: DataFrame, seconds: int = 3600, delay: str = "10 minutes", cfg: ScoringConfig = DEFAULT
+) -> DataFrame:
+    """Running user state in the state store, kept per user and slice of event time, so that a heavy user is many keys.
+
+    Takes user_id, email_id, scanned_at, risk_score. An open slice holds its counts and the table "risk before -> risk
+    after" of its messages: in a micro-batch by time and id, across micro-batches as they arrive. A timer at the end of
+    the slice writes it once the watermark, ``delay`` behind the latest message, has passed, and frees the state; so an
+    idle user costs none. Rows not later than the watermark are late and dropped, rows without user or time belong to no
+    slice, a message without a score counts and changes no risk. One call holds what a micro-batch brings for one user
+    and slice, 24 bytes a message; ``files_per_batch`` of the source bounds that.
+    """
+    timed = verdicts.filter("user_id IS NOT NULL AND scanned_at IS NOT NULL").withWatermark("scanned_at", delay)
+    sliced = timed.select(
+        "user_id", "email_id", "scanned_at", F.col("risk_score").cast("double").alias("risk_score"),
+        (F.floor(F.unix_seconds("scanned_at") / seconds) * seconds).alias("slice"),
+    )
+    threshold = cfg.threshold
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        user, start = int(key[0]), int(key[1])
+        if state.hasTimedOut:
+            n, blocked, after = state.get
+            closed = state.getCurrentWatermarkMs()
+            state.remove()
+            yield pd.DataFrame({
+                "user_id": [user], "slice": [start], "closed_ms": [closed], "n_scans": [n], "n_blocked": [blocked],
+                "after": [np.frombuffer(after, "uint8").astype("int32")],
+            })
+            return
+        rows = pd.concat([b[["scanned_at", "email_id", "risk_score"]] for b in batches])
+        scores = rows.sort_values(["scanned_at", "email_id"], kind="stable")["risk_score"].to_numpy("float64")
+        table = ac.fold_tables(np.zeros(len(scores), "int64"), ac.step_tables(scores))[0]
+        n, blocked = len(scores), int((scores >= threshold).sum())
+        if state.exists:
+            earlier, held, after = state.get
+            n, blocked, table = n + earlier, blocked + held, table[np.frombuffer(after, "uint8")]
+        state.update((n, blocked, table.astype("uint8").tobytes()))
+        state.setTimeoutTimestamp(max((start + seconds) * 1000, state.getCurrentWatermarkMs() + 1))
+
+    closed = sliced.groupBy("user_id", "slice").applyInPandasWithState(
+        step, SLICE, SLICE_STATE, "append", GroupStateTimeout.EventTimeTimeout
+    )
+    return closed.select(
+        "user_id", F.timestamp_seconds("slice").alias("slice_start"), F.timestamp_millis("closed_ms").alias("closed_at"),
+        "n_scans", "n_blocked", "after",
+    )
+
+
+def state_from_slices(slices: DataFrame) -> DataFrame:
+    """Totals, blocked messages and weighted risk per user after its closed slices, in order of time."""
+    chained = slices.groupBy("user_id").agg(
+        F.sum("n_scans").alias("total_scanned"), F.sum("n_blocked").alias("phishing_blocked"),
+        F.array_sort(F.collect_list(F.struct("slice_start", "closed_at", "after"))).alias("_runs"),
+    )
+    risk = F.aggregate("_runs", F.lit(0), lambda s, r: F.element_at(r["after"], s + 1))
+    return chained.select("user_id", "total_scanned", "phishing_blocked", risk.alias("weighted_risk"))
+
+
 def high_risk(scored: DataFrame, cfg: ScoringConfig = DEFAULT) -> DataFrame:
     """Verdicts worth a push notification."""
     return scored.filter(F.col("risk_score") >= cfg.push_score).select(

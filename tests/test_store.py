@@ -143,6 +143,64 @@ def test_user_state_stream_equals_batch(spark, tmp_path):
     assert sorted(state.collect()) == sorted(whole.collect())
 
 
+def _risk_after(scores, state=0):
+    for x in scores:
+        state = state if x is None else int((state * 0.8 + x * 0.2 + 0.5) // 1)
+    return state
+
+
+def test_runs_of_messages_fold_like_single_steps(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice([None, 1, 1, 1, 2, 3]), datetime(2024, 1, 1) + timedelta(seconds=rng.randrange(400)), i,
+             rng.choice([None, 0.0, 100.0, round(rng.random() * 100, 2)])) for i in range(700)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")  # runs go on across batches
+    try:
+        df = spark.createDataFrame(rows, "user_id long, scanned_at timestamp, email_id long, risk_score double")
+        got = {r.user_id: (r.n_messages, r.weighted_risk) for r in ac.weighted_user_risk(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {}
+    for user in (None, 1, 2, 3):
+        own = [r[3] for r in sorted((r for r in rows if r[0] == user), key=lambda r: r[1:3])]
+        want[user] = (len(own), _risk_after(own))
+    assert got == want
+    assert ac.weighted_user_risk(df.limit(0)).count() == 0
+
+
+def test_keyed_state_survives_restarts_and_drops_late_rows(spark, tmp_path):
+    rng = random.Random(7)
+    start = datetime(2024, 1, 1)
+    rows = [(i, 0 if i % 3 else rng.randrange(1, 5), start + timedelta(minutes=7 * i), rng.choice([None, round(rng.random() * 100, 2)]) if i % 5 == 0
+             else round(rng.random() * 100, 2)) for i in range(200)]
+    schema = "email_id long, user_id long, scanned_at timestamp, risk_score double"
+    odd = [(900, None, start, 5.0), (901, 1, None, 5.0)]  # no user, no time: in no slice
+    late = [(902, 1, start, 99.0)]  # comes days after its hour was written
+    ahead = [(999, -1, start + timedelta(days=30), 1.0)]  # its time passes all other slices
+
+    def deliver(files):
+        for number, part in files:
+            spark.createDataFrame(part, schema).coalesce(1).write.json(str(tmp_path / "in" / f"{number:03d}"))
+        stream = ms.read_stream(spark, str(tmp_path / "in" / "*"), schema, files_per_batch=1)
+        ms.run_to_end(
+            ms.user_slices(stream).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+            .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True))
+        return spark.read.parquet(str(tmp_path / "out"))
+
+    first = deliver([(n, rows[40 * n:40 * n + 40]) for n in range(3)])
+    # Hours that the watermark has not passed yet are held back.
+    assert 0 < first.agg(F.sum("n_scans")).first()[0] < 120
+    deliver([(3, rows[120:160] + odd), (4, rows[160:])])
+    slices = deliver([(5, late), (6, ahead)])
+    got = {r.user_id: tuple(r)[1:] for r in ms.state_from_slices(slices).collect()}
+    want = {}
+    for user in range(5):
+        own = [r[3] for r in rows if r[1] == user]
+        want[user] = (len(own), sum(x is not None and x >= CFG.threshold for x in own), _risk_after(own))
+    assert got == want
+    assert slices.groupBy("user_id", "slice_start").count().filter("count > 1").isEmpty()
+
+
 def test_normalise_entries(spark):
     raws = {
         "  Ann@B.com ": ("ann@b.com", False, None), "\tfoo@bar.com\n": ("foo@bar.com", False, None), "@Studio.org": ("studio.org", True, None), "": ("", False, "empty"),
