@@ -22,6 +22,7 @@ from mailrisk.sources import labelled as lb
 from mailrisk.sources import profile as pf
 from mailrisk.sources import raw_mail as rm
 from mailrisk.sources import sinks as sk
+from mailrisk.sources.quoted_csv import read_quoted_csv
 
 
 @register("sender_facts", f"""WITH {ob.MAIL}, T AS (SELECT *, lower(trim(sender)) AS s, split_part(lower(trim(sender)), '@', 1) AS loc, split_part(lower(trim(sender)), '@', 2) AS dm FROM M)
@@ -183,6 +184,9 @@ def _write_csv(df: DataFrame, path: str) -> str:
     return path
 
 
+CSV_CHUNK = 1 << 20  # small chunks, so that records cross them
+
+
 @register("labelled_sources", f"""WITH {ob.CORPUS}, T AS (
   SELECT 'mixed' AS source, CASE WHEN label = 1 THEN 1 ELSE 0 END AS label, text FROM C
   UNION ALL SELECT 'links', 1, url FROM pages
@@ -202,10 +206,10 @@ def labelled_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = F.when(F.col("row_id") % 7 == 0, "unknown").otherwise((F.col("label") * 3).cast("string"))
     plain = _write_csv(corpus.select("text", odd.alias("label")), f"{folder}/plain")
     frames = [
-        lb.mixed_corpus(lb.read_csv(spark, mixed)).withColumn("source", F.lit("mixed")),
-        lb.positive_corpus(lb.read_csv(spark, links)).withColumn("source", F.lit("links")),
-        lb.spam_corpus(lb.read_csv(spark, spam)).withColumn("source", F.lit("spam")),
-        lb.plain_corpus(lb.read_csv(spark, plain)).withColumn("source", F.lit("plain")),
+        lb.mixed_corpus(read_quoted_csv(spark, mixed, CSV_CHUNK)).withColumn("source", F.lit("mixed")),
+        lb.positive_corpus(read_quoted_csv(spark, links, CSV_CHUNK)).withColumn("source", F.lit("links")),
+        lb.spam_corpus(read_quoted_csv(spark, spam, CSV_CHUNK)).withColumn("source", F.lit("spam")),
+        lb.plain_corpus(read_quoted_csv(spark, plain, CSV_CHUNK)).withColumn("source", F.lit("plain")),
     ]
     return cp.union_sources(frames).groupBy("source", "label").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_distinct(F.md5("text")).alias("n_texts"),
