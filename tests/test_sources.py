@@ -3,6 +3,7 @@
 import base64
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,3 +207,32 @@ def test_quoted_csv_that_never_closes_is_an_error(spark, tmp_path):
     (tmp_path / "bad.csv").write_text('"text","label"\n"one","0"\n"two,"1"\n')
     with pytest.raises(Exception, match="never closed"):
         read_quoted_csv(spark, str(tmp_path)).count()
+
+
+def test_a_fit_ends_at_the_optimum(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(" ".join(rng.choices(words[:30] if i % 2 else words[10:], k=12)), float(i % 2)) for i in range(160)]
+    df = spark.createDataFrame(rows, "text string, label double")
+    table = dg.word_features(df).transform(df).select("features", "label").cache()
+    model = dg.classifier(len(rows)).setTol(1e-6).fit(table)
+    got = table.collect()
+    x = np.array([r.features.toArray() for r in got])
+    x1, y = np.c_[x, np.ones(len(x))], np.array([r.label for r in got])
+    ridge = np.r_[np.full(x.shape[1], 1 / len(x)), 0.0]  # the intercept is free
+
+    def loss(w):
+        z = x1 @ w
+        return np.mean(np.logaddexp(0, z) - y * z) + (ridge * w * w).sum() / 2
+
+    def gradient(w):
+        return x1.T @ (1 / (1 + np.exp(-x1 @ w)) - y) / len(x) + ridge * w
+
+    w = np.zeros(x1.shape[1])
+    for _ in range(30):  # Newton's method on the dense features
+        p = 1 / (1 + np.exp(-x1 @ w))
+        w = w - np.linalg.solve((x1.T * (p * (1 - p))) @ x1 / len(x) + np.diag(ridge), gradient(w))
+    fitted = np.r_[model.coefficients.toArray(), model.intercept]
+    assert np.linalg.norm(gradient(w)) < 1e-10
+    assert loss(fitted) - loss(w) <= 1e-5 * loss(w)
+    assert np.linalg.norm(gradient(fitted)) < 1e-3
