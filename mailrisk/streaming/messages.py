@@ -74,51 +74,78 @@ def windowed_counts(
     return counted.select("user_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n_scans", "n_phishing")
 
 
-SLICE_STATE = "n_scans bigint, n_blocked bigint, after binary"  # a byte for each of the 101 states before
+SLICE_STATE = "users binary, n_scans binary, n_blocked binary, after binary"  # per user: two counts, a byte for each of the 101 states before
 SLICE = "user_id bigint, slice bigint, closed_ms bigint, n_scans bigint, n_blocked bigint, after array<int>"
+SLICE_BUCKETS = 16  # keys of one slice: each call folds all its users in columns
+FOLD_ROWS = 1 << 14  # tables made at once, 202 bytes each
+
+
+def _fold_users(users: np.ndarray, scores: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
+    """Users, their messages, those at the threshold, and the table of their run; rows come by user and in order."""
+    first = np.flatnonzero(np.r_[True, users[1:] != users[:-1]])
+    owners, tables = [], []
+    for at in range(0, len(users), FOLD_ROWS):
+        part = users[at : at + FOLD_ROWS]
+        owners.append(part[np.r_[True, part[1:] != part[:-1]]])
+        tables.append(ac.fold_tables(part, ac.step_tables(scores[at : at + FOLD_ROWS])))
+    after = ac.fold_tables(np.concatenate(owners), np.concatenate(tables)).astype("uint8")
+    blocked = np.add.reduceat((scores >= threshold).astype("int64"), first)
+    return users[first], np.diff(np.r_[first, len(users)]), blocked, after
 
 
 def user_slices(
-    verdicts: DataFrame, seconds: int = 3600, delay: str = "10 minutes", cfg: ScoringConfig = DEFAULT
+    verdicts: DataFrame, seconds: int = 3600, delay: str = "10 minutes", cfg: ScoringConfig = DEFAULT,
+    buckets: int = SLICE_BUCKETS,
 ) -> DataFrame:
-    """Running user state in the state store, kept per user and slice of event time, so that a heavy user is many keys.
-
-    Takes user_id, email_id, scanned_at, risk_score. An open slice holds its counts and the table "risk before -> risk
-    after" of its messages: in a micro-batch by time and id, across micro-batches as they arrive. A timer at the end of
-    the slice writes it once the watermark, ``delay`` behind the latest message, has passed, and frees the state; so an
-    idle user costs none. Rows not later than the watermark are late and dropped, rows without user or time belong to no
-    slice, a message without a score counts and changes no risk. One call holds what a micro-batch brings for one user
-    and slice, 24 bytes a message; ``files_per_batch`` of the source bounds that.
+    """Running user state in the state store, kept per bucket of users and slice of event time: a heavy user is many keys, and
+    many users with a message or two share one.
+
+    Takes user_id, email_id, scanned_at, risk_score. An open slice holds, for each of its users, the counts and the table
+    "risk before -> risk after" of the messages: in a micro-batch by time and id, across micro-batches as they arrive. A
+    timer at the end of the slice writes it once the watermark, ``delay`` behind the latest message, has passed, and frees
+    the state; so an idle user costs none. Rows not later than the watermark are late and dropped, rows without user or
+    time belong to no slice, a message without a score counts and changes no risk. One call holds what a micro-batch
+    brings for one bucket and slice, 32 bytes a message, and 125 bytes for each user seen there; ``files_per_batch`` of the
+    source and ``buckets`` bound that. A running stream keeps the number of buckets it began with.
     """
     timed = verdicts.filter("user_id IS NOT NULL AND scanned_at IS NOT NULL").withWatermark("scanned_at", delay)
     sliced = timed.select(
         "user_id", "email_id", "scanned_at", F.col("risk_score").cast("double").alias("risk_score"),
         (F.floor(F.unix_seconds("scanned_at") / seconds) * seconds).alias("slice"),
+        F.pmod(F.xxhash64("user_id"), F.lit(buckets)).alias("bucket"),
     )
     threshold = cfg.threshold
 
+    def held(state: GroupState) -> list[np.ndarray]:
+        users, n, blocked, after = state.get
+        return [*(np.frombuffer(part, "int64") for part in (users, n, blocked)), np.frombuffer(after, "uint8").reshape(-1, ac.STATES)]
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        user, start = int(key[0]), int(key[1])
+        start = int(key[1])
         if state.hasTimedOut:
-            n, blocked, after = state.get
+            users, n, blocked, after = held(state)
             closed = state.getCurrentWatermarkMs()
             state.remove()
-            yield pd.DataFrame({
-                "user_id": [user], "slice": [start], "closed_ms": [closed], "n_scans": [n], "n_blocked": [blocked],
-                "after": [np.frombuffer(after, "uint8").astype("int32")],
-            })
+            for at in range(0, len(users), FOLD_ROWS):
+                part = slice(at, at + FOLD_ROWS)
+                yield pd.DataFrame({
+                    "user_id": users[part], "slice": start, "closed_ms": closed, "n_scans": n[part], "n_blocked": blocked[part],
+                    "after": list(after[part].astype("int32")),
+                })
             return
-        rows = pd.concat([b[["scanned_at", "email_id", "risk_score"]] for b in batches])
-        scores = rows.sort_values(["scanned_at", "email_id"], kind="stable")["risk_score"].to_numpy("float64")
-        table = ac.fold_tables(np.zeros(len(scores), "int64"), ac.step_tables(scores))[0]
-        n, blocked = len(scores), int((scores >= threshold).sum())
-        if state.exists:
-            earlier, held, after = state.get
-            n, blocked, table = n + earlier, blocked + held, table[np.frombuffer(after, "uint8")]
-        state.update((n, blocked, table.astype("uint8").tobytes()))
+        rows = pd.concat([b[["user_id", "scanned_at", "email_id", "risk_score"]] for b in batches])
+        rows = rows.sort_values(["user_id", "scanned_at", "email_id"], kind="stable")
+        found = _fold_users(rows["user_id"].to_numpy("int64"), rows["risk_score"].to_numpy("float64"), threshold)
+        if state.exists:  # what is held comes first
+            users, n, blocked, after = map(np.concatenate, zip(held(state), found))
+            order = np.argsort(users, kind="stable")
+            users = users[order]
+            first = np.flatnonzero(np.r_[True, users[1:] != users[:-1]])
+            found = users[first], np.add.reduceat(n[order], first), np.add.reduceat(blocked[order], first), ac.fold_tables(users, after[order])
+        state.update((*(part.astype("int64").tobytes() for part in found[:3]), found[3].tobytes()))
         state.setTimeoutTimestamp(max((start + seconds) * 1000, state.getCurrentWatermarkMs() + 1))
 
-    closed = sliced.groupBy("user_id", "slice").applyInPandasWithState(
+    closed = sliced.groupBy("bucket", "slice").applyInPandasWithState(
         step, SLICE, SLICE_STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
     return closed.select(

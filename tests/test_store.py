@@ -201,6 +201,27 @@ def test_keyed_state_survives_restarts_and_drops_late_rows(spark, tmp_path):
     assert slices.groupBy("user_id", "slice_start").count().filter("count > 1").isEmpty()
 
 
+def test_users_of_an_hour_share_the_keys_of_the_state_store(spark, tmp_path):
+    rng = random.Random(9)
+    start = datetime(2024, 1, 1)
+    rows = [(i, i % 150, start + timedelta(seconds=rng.randrange(7200)), float(rng.randrange(101))) for i in range(900)]
+    schema = "email_id long, user_id long, scanned_at timestamp, risk_score double"
+    parts = [rows[:450], rows[450:], [(999, -1, start + timedelta(days=1), 1.0)]]
+    for number, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.json(str(tmp_path / "in" / f"{number:03d}"))
+    query = ms.user_slices(ms.read_stream(spark, str(tmp_path / "in" / "*"), schema, files_per_batch=1), delay="3 hours").writeStream
+    query = query.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    keys = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert 0 < max(keys) <= 2 * ms.SLICE_BUCKETS + 1  # not one for every user and hour
+    got = {r.user_id: (r.total_scanned, r.phishing_blocked, r.weighted_risk) for r in ms.state_from_slices(spark.read.parquet(str(tmp_path / "out"))).collect()}
+    want = {}
+    for user in range(150):
+        own = sorted((r[2].replace(minute=0, second=0), part, r[2], r[0], r[3]) for part in (0, 1) for r in parts[part] if r[1] == user)
+        want[user] = (len(own), sum(r[4] >= CFG.threshold for r in own), _risk_after([r[4] for r in own]))
+    assert got == want
+
+
 def test_normalise_entries(spark):
     raws = {
         "  Ann@B.com ": ("ann@b.com", False, None), "\tfoo@bar.com\n": ("foo@bar.com", False, None), "@Studio.org": ("studio.org", True, None), "": ("", False, "empty"),
