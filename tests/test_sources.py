@@ -13,6 +13,7 @@ from mailrisk.functions import text as tx
 from mailrisk.operators import backfill as bf
 from mailrisk.operators import corpus as cp
 from mailrisk.operators import diagnose as dg
+from mailrisk.operators import joint_fits as jf
 from mailrisk.sources import labelled as lb
 from mailrisk.sources import profile as pf
 from mailrisk.sources import raw_mail as rm
@@ -236,3 +237,37 @@ def test_a_fit_ends_at_the_optimum(spark):
     assert np.linalg.norm(gradient(w)) < 1e-10
     assert loss(fitted) - loss(w) <= 1e-5 * loss(w)
     assert np.linalg.norm(gradient(fitted)) < 1e-3
+
+
+def test_held_out_models_share_their_passes_and_equal_dense_optima(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(rng.choices(words[:22] if i % 2 else words[8:], k=10)) + " rare" * (i % 60 == 0), i % 2, "abc"[i % 3]) for i in range(240)]
+    df = spark.createDataFrame(rows, "row_id long, text string, label int, source string")
+    passes = []
+    shared = jf._pass
+    monkeypatch.setattr(jf, "_pass", lambda *a: passes.append(len(a[2])) or shared(*a))
+    got = {r.source: r for r in dg.leave_one_source_out(df).collect()}
+    assert passes[0] == 3 and len(passes) < 60  # all models in one pass
+    cut = dg.word_terms().transform(df)
+    for part in "abc":
+        train, test = cut.filter(F.col("source") != part), cut.filter(F.col("source") == part)
+        features = dg.weigh_terms(train)
+        x, y = (np.array(v) for v in zip(*[(r.features.toArray(), r.label) for r in features.transform(train).collect()]))
+        x1 = np.c_[x, np.ones(len(x))]
+        ridge = np.r_[np.ones(x.shape[1]), 0.0]
+        w = np.zeros(x1.shape[1])
+        for _ in range(30):  # Newton's method
+            p = 1 / (1 + np.exp(-x1 @ w))
+            w = w - np.linalg.solve((x1.T * (p * (1 - p))) @ x1 + np.diag(ridge), x1.T @ (p - y) + ridge * w)
+        held = features.transform(test).collect()
+        z = np.array([r.features.toArray() for r in held]) @ w[:-1] + w[-1]
+        clear = np.abs(z) > 0.02
+        right = (z > 0) == np.array([r.label for r in held])
+        assert abs(got[part].accuracy - right.mean()) <= (~clear).mean() + 1e-9
+
+
+def test_joint_fits_of_several_classes(spark):
+    rows = [(i, f"text of {'red green blue'.split()[i % 3]} kind {i % 7}", "abc"[i % 3]) for i in range(120)]
+    df = spark.createDataFrame([*rows, (998, "", "a"), (999, "?", "b")], "row_id long, text string, source string")
+    assert dg.source_separability(df).first().accuracy > 0.95
