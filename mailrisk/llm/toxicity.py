@@ -14,7 +14,7 @@ document taken from the counts of its class. Copies of texts make words look com
 are also tried at the multiples ``SCALES``; the one of least left-out loss is kept.
 
 Counts are exact, by 64-bit hashes of words, in a table that Spark groups and writes; it grows with the corpus. Entries of
-the commonest words, at most ``HOT``, are broadcast; a bit map tells which others a text may need. A text that
+the words that one document in ``COMMON`` holds, at most ``HOT``, are broadcast, so that the share of words sent does not hang on the size of the corpus; a bit map tells which others a text may need. A text that
 needs none is measured on the spot; only the others send two bytes per word to meet the rest of the table. Ratios are
 rounded to half precision wherever they are kept, so that both ways give one result.
 """
@@ -37,6 +37,7 @@ from mailrisk.llm.words import hash_words, plain_words
 from mailrisk.session import materialise
 
 HOT = 1 << 18
+COMMON = 1 << 13  # a word is common if one document in so many holds it: few words are, whatever the corpus
 MAP_CELLS = 1 << 28
 FLUSH_WORDS = 1 << 20
 SCALES = (1.0, 1.5, 2.0)
@@ -132,9 +133,10 @@ class Models:
     number: int
     sums: dict[tuple[float, int], float]
     backoff: dict[float, float]
+    documents: int = 0
 
     @staticmethod
-    def of(words: DataFrame) -> Models:
+    def of(words: DataFrame, documents: int = 0) -> Models:
         """Discounts, sums of what they leave, and backoff weights, for each of ``SCALES``."""
         seen = words.agg(
             F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("number"),
@@ -147,7 +149,7 @@ class Models:
         ]).first()
         sums = dict(zip([(s, y) for s in SCALES for y in (0, 1)], left))
         backoff = {s: max(1 - sums[s, y] / max(1, seen[f"sum{y}"]) for y in (0, 1)) for s in SCALES}
-        return Models(words, discounts, float(seen["total"]), seen["number"], sums, backoff)
+        return Models(words, discounts, float(seen["total"]), seen["number"], sums, backoff, documents)
 
     def share(self, y: int, scale: float, without: int | None = None) -> Column:
         """Share of a word in class ``y``; ``without``: with one document less in that class."""
@@ -165,12 +167,12 @@ class Models:
         return rows.filter(reduce(Column.__or__, [F.col(name) != 0 for name in values]))
 
 
-def _held(table: DataFrame, values: list[str]) -> tuple:
-    """Broadcast of the commonest entries and of a bit map of the others, and the others."""
-    step = F.floor(4 * F.log2(F.col("n") + 1))
+def _held(table: DataFrame, values: list[str], documents: int = 0) -> tuple:
+    """Broadcast of the entries common among so many ``documents`` and of a bit map of the others, and the others."""
+    step = F.when(F.col("n") * COMMON >= documents, F.floor(4 * F.log2(F.col("n") + 1))).otherwise(-1)
     steps = table.groupBy(step.alias("step")).count().collect()
     least, total = None, 0
-    for at, n in sorted(((r["step"], r["count"]) for r in steps), reverse=True):
+    for at, n in sorted(((r["step"], r["count"]) for r in steps if r["step"] >= 0), reverse=True):
         if total + n > HOT:
             break
         least, total = at, total + n
@@ -259,13 +261,13 @@ def _finish(batches: Iterator[pa.RecordBatch], n_values: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64())), batch.column(4)], ["k", "f", "n"])
 
 
-def measured(rows: DataFrame, table: DataFrame, values: list[str]) -> DataFrame:
+def measured(rows: DataFrame, table: DataFrame, values: list[str], documents: int = 0) -> DataFrame:
     """``k`` and the features ``f`` of every row (``k``, ``x``), ``FEATURES`` of them by each of the ``values`` of ``table``.
 
     Texts are read twice, for the rare words they ask for and for what the common ones say, so that the latter is
     sent once. A row is known by a hash of 128 bits of key and text; rows repeated with both are measured once.
     """
-    held, cold = _held(table, values)
+    held, cold = _held(table, values, documents)
     kind = rows.schema["k"].dataType.simpleString()
     absent = (F.col("k").isNull(), F.col("x").isNull())
     known = rows.select(F.xxhash64("k", "x", *absent).alias("r1"), F.xxhash64(F.lit(1), "x", "k", *absent).alias("r2"), "x", "k")
@@ -286,17 +288,32 @@ def measured(rows: DataFrame, table: DataFrame, values: list[str]) -> DataFrame:
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 100) -> np.ndarray:
-    """Weights (last: bias) of a logistic regression by Newton's method on standardised columns."""
+    """Weights (last: bias) of a logistic regression by Newton's method on standardised columns.
+
+    A step is halved until the loss falls: whole steps may swing ever wider where classes are nearly separable.
+    """
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
     w = np.zeros(z.shape[1])
     penalty = ridge * np.eye(len(w))
     penalty[-1, -1] = 1e-9
+
+    def loss(w: np.ndarray) -> float:
+        m = z @ w
+        return float(np.sum(np.logaddexp(0, m) - y * m) + w @ penalty @ w / 2)
+
+    least = loss(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -35, 35)))
-        step = np.linalg.solve((z.T * np.maximum(p * (1 - p), 1e-9)) @ z + penalty, z.T @ (p - y) + penalty @ w)
-        w -= np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-9:
+        slope = z.T @ (p - y) + penalty @ w
+        step = np.linalg.solve((z.T * np.maximum(p * (1 - p), 1e-9)) @ z + penalty, slope)
+        gain, size = slope @ step, 1.0
+        while (found := loss(w - size * step)) > least - 1e-4 * size * gain and size > 1e-9:
+            size /= 2
+        if found >= least:
+            break
+        w, least = w - size * step, found
+        if size * np.abs(step).max() < 1e-9:
             break
     weights = w[:-1] / scale
     return np.append(weights, w[-1] - weights @ mean)
@@ -339,12 +356,12 @@ def fit(documents: DataFrame, key: str, text: str, labels: DataFrame, label: str
         return ToxicityModel(None)
     narrow = known.schema["k"].dataType not in (T.StringType(), T.BinaryType()) and known.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     labelled = docs.filter(maybe_member(known, "k")(F.col("k"))).join(F.broadcast(known) if narrow else known, "k")
-    models = Models.of(materialise(word_counts(docs, labelled), "words"))
+    models = Models.of(materialise(word_counts(docs, labelled), "words"), docs.count())
 
     sample = F.broadcast(known.orderBy(F.xxhash64("k"), "k").limit(CALIBRATION_ROWS))
     texts = docs.join(sample, "k").select(F.struct(F.col("k").alias("id"), "y", F.xxhash64("x").alias("h")).alias("k"), "x")
     values = {f"r{i}{y}": models.ratio(s, y) for i, s in enumerate(SCALES) for y in (0, 1)}
-    found = measured(texts, models.entries(values), list(values))
+    found = measured(texts, models.entries(values), list(values), models.documents)
     # One text for each id: repeated ids crowd out no others.
     rows = found.groupBy("k.id").agg(F.min(F.struct("k.h", "k.y", "f")).alias("t")).select("id", "t.y", "t.f").orderBy("id").collect()
     y = np.array([r["y"] for r in rows], dtype=np.float64)
@@ -368,6 +385,6 @@ def score_documents(model: ToxicityModel, documents: DataFrame, key: str, text:
     if model.models is None:
         scored = rows.select(F.col("k").alias(key), F.lit(0.0).alias("score"))
     else:
-        found = measured(rows, model.models.entries({"r": model.models.ratio(model.scale)}), ["r"])
+        found = measured(rows, model.models.entries({"r": model.models.ratio(model.scale)}), ["r"], model.models.documents)
         scored = found.select(F.col("k").alias(key), model.score(F.col("f")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= cut).cast("int"))

@@ -179,3 +179,30 @@ def test_discounts_come_from_counts_of_counts():
     share = 100 / 180
     assert (one, two, more) == pytest.approx((1 - 2 * share * 0.4, 2 - 3 * share * 0.5, 3 - 4 * share * 0.6))
     assert toxicity.modified_discounts([None, 0, 0, 9]) == pytest.approx((1 - 2 / 3, 1.0, 0.05))
+
+
+def test_calibration_reaches_its_least_loss():
+    # Whole Newton steps swing to and fro on these rows.
+    x = np.array([
+        (0.0, 3.7, 1.9, 0.6, 3.6, 3.5, 3.2), (-0.1, 0.9, 0.3, 0.1, 0.9, 0.8, 0.7), (-0.1, 3.7, 1.9, 0.7, 3.7, 3.7, 3.7),
+        (-0.1, 1.1, 0.6, 0.2, 1.1, 1.1, 1.0), (-0.1, 0.6, 0.3, 0.1, 0.5, 0.4, 0.3), (0.0, 1.8, 0.4, 0.1, 1.4, 0.9, 0.5),
+        (0.1, 3.7, 2.0, 0.5, 3.7, 3.6, 3.5), (0.1, 0.4, 0.4, 0.3, 0.4, 0.4, 0.4), (-0.1, 0.4, 0.1, 0.0, 0.3, 0.3, 0.3),
+        (-0.1, 3.0, 0.9, 0.3, 2.7, 2.0, 1.6), (-0.1, 1.5, 0.6, 0.2, 1.4, 1.3, 1.1),
+    ])
+    y = np.array([0.0, 0, 1, 0, 0, 0, 1, 0, 0, 0, 0])
+    weights = toxicity.fit_logistic(x, y)
+    assert toxicity.log_loss(x, y, weights) < 0.06
+    assert np.array_equal(x @ weights[:-1] + weights[-1] > 0, y == 1)
+
+
+def test_rare_words_are_joined_in_proportion(spark, monkeypatch):
+    # The same shares of words among five times the documents: as many common words, and rare ones five times as often.
+    monkeypatch.setattr(toxicity, "COMMON", 100)
+    sent = []
+    for times in (1, 5):
+        rows = [(k, times * (1 + k % 20), 1.0) for k in range(1, 401)]
+        table = spark.createDataFrame(rows, "key bigint, n bigint, r double")
+        held, cold = toxicity._held(table, ["r"], 1000 * times)
+        sent.append((len(held.value[0]), sum(rows[r["key"] - 1][1] for r in cold.collect())))
+    assert sent[0][0] == sent[1][0] == 220 and sent[0][1] > 0
+    assert sent[1][1] == 5 * sent[0][1]
