@@ -87,13 +87,14 @@ def apply_scans(
     ``batch`` carries the verdict columns of every message the plan marks as scored.
     """
     due = plan.filter("scored").select("msg_id", "msg_key", "content_hash")
-    fresh = batch.join(due, "msg_id").select(
-        "msg_id", "msg_key", "user_id", F.col("sender"),
+    # Cut before they meet their keys: no whole text is shuffled for it.
+    cut = batch.select(
+        "msg_id", "user_id", "sender",
         F.substring("subject", 1, cfg.subject_chars).alias("subject"),
         F.substring("content", 1, cfg.content_chars).alias("content"),
-        "scanned_at", "risk_score", "is_phishing", "scoring_version", "content_hash", "indicators",
+        "scanned_at", "risk_score", "is_phishing", "scoring_version", "indicators",
     )
-    fresh = materialise(fresh, "scan-fresh")
+    fresh = materialise(cut.join(due, "msg_id"), "scan-fresh")
     order = F.struct("scanned_at", "msg_id")
     folded = fresh.groupBy("msg_key").agg(
         F.max_by(F.struct(*[c for c in fresh.columns if c != "msg_key"]), order).alias("new"),

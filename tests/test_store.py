@@ -278,3 +278,13 @@ def test_trust_covers_subdomains_of_its_own_user_only(spark):
     )
     got = {r.msg_id for r in tr.with_user_trust(mail, entries).collect() if r.user_trusted}
     assert got == {1, 3}
+
+
+def test_texts_are_cut_before_they_meet_their_keys(spark, monkeypatch):
+    rows = spark.createDataFrame(random_messages(3)[:20], SCHEMA).withColumn("model_score", F.lit(90.0))
+    plan = st.plan_scans(st.empty_store(spark), rows, True)
+    seen = {}
+    monkeypatch.setattr(st, "materialise", lambda df, name: seen.setdefault(name, df))
+    st.apply_scans(st.empty_store(spark), en.score_ensemble(rows), plan)
+    tree = seen["scan-fresh"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring(content" not in tree[: tree.index("Join")]
