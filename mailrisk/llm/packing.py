@@ -23,13 +23,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailrisk.llm.words import KEPT
+from mailrisk.llm.words import KEPT, give_back
 
 TIERS = (1024, 512, 256)
 END = 0
 STEP_WINDOWS = 64
 PENDING_TOKENS = 2_000_000
-CACHE = 500_000  # words in each of two generations
+EMITTED = 256  # windows in a batch of results
+CACHE = 250_000  # words in each of two generations
 _MARKS = ".,;:!?"
 _LAST_LETTER = "\u052f"  # Latin, Greek and Cyrillic: letters that no library disputes
 
@@ -222,13 +223,18 @@ def _closing(left: list[_Piece], longest: int) -> list[tuple[int, list[_Piece]]]
 def _pack_partition(
     batches: Iterator[pa.RecordBatch], tokenizer: str, tiers: Sequence[int]
 ) -> Iterator[pa.RecordBatch]:
+    give_back()
     encoder = _encoder(tokenizer)
     base = TaskContext.get().partitionId() << 33
     made = 0
     in_tier = dict.fromkeys(tiers, 0)
     end = np.array([END], dtype="<u4").tobytes()
 
-    def emit(windows: list[tuple[int, list[_Piece]]]) -> pa.RecordBatch:
+    def emit(windows: list[tuple[int, list[_Piece]]]) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(windows), EMITTED):
+            yield table(windows[at : at + EMITTED])
+
+    def table(windows: list[tuple[int, list[_Piece]]]) -> pa.RecordBatch:
         nonlocal made
         rows: list[tuple] = []
         for tier, window in windows:
@@ -240,7 +246,7 @@ def _pack_partition(
                 rows.append((p.key, p.start, p.length, ids, len(p.tokens), base + made, offset, tier, group))
                 offset += p.length
             made += 1
-        columns = list(zip(*rows)) or [[]] * len(_SCHEMA)
+        columns = list(zip(*rows))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
 
     pending: list[_Piece] = []
@@ -253,9 +259,9 @@ def _pack_partition(
             if tokens >= PENDING_TOKENS:
                 windows, pending = pack(pending, tiers)
                 tokens = sum(p.length for p in pending)
-                yield emit(windows)
+                yield from emit(windows)
     windows, left = pack(pending, tiers)
-    yield emit(windows + _closing(left, tiers[0]))
+    yield from emit(windows + _closing(left, tiers[0]))
 
 
 _SCHEMA = pa.schema([

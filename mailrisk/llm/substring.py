@@ -198,7 +198,8 @@ def remove_repeats(
     copies = _copies(rows)
     copied = member_bits(copies, "k")
     plain = rows.select("k", "t", "x", "cell")
-    settled = keep_listed(plain, copied).join(copies, ["k", "t"], "left_anti").select(*plain.columns)
+    # Written, as three passes read it: chained to their Python step, it would double the workers of every executor for good.
+    settled = materialise(keep_listed(plain, copied).join(copies, ["k", "t"], "left_anti").select(*plain.columns), "settled")
     searched = plain.withColumn("sure", F.lit(False)).unionByName(settled.withColumn("sure", F.lit(True)))
     sketch = spark.sparkContext.broadcast(_repeated_cells(searched, window, cells, copied))
     likely = searched.mapInArrow(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -20,7 +22,14 @@ def free_kept() -> None:
     """Empty the caches that tasks of another kind left in this worker, and give unused buffers back."""
     for cache in KEPT:
         cache.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Return memory that earlier tasks of this worker freed, to the system."""
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
 
 
 def split_words(text: str | None) -> list[bytes]:

@@ -5,6 +5,7 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from frames import ROWS, empty, odd
@@ -98,3 +99,18 @@ def test_odd_rows(spark):
     assert sum(p["length"] for p in rows) == sum(len(plain(t or "")) + 1 for _, t in ROWS)
     assert sorted(p["length"] for p in rows if p["doc_id"] in (2, 3)) == [1, 1]
     assert packing.pack_documents(empty(spark), "doc_id", "text", PATH).count() == 0
+
+
+def test_results_leave_a_task_a_few_windows_at_a_time(monkeypatch):
+    class Task:
+        get = classmethod(lambda cls: cls())
+        partitionId = lambda self: 0
+
+    monkeypatch.setattr(packing, "TaskContext", Task)
+    texts = [f"some w{i} words " * 400 for i in range(400)]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(400), pa.int64()), pa.array(texts)], ["key", "text"])
+    out = list(packing._pack_partition(iter([rows]), PATH, packing.TIERS))
+    windows = [set(b.column("sequence_id").to_pylist()) for b in out]
+    assert len(out) > 1 and max(map(len, windows)) <= 256
+    assert sorted(i for w in windows for i in w) == list(range(sum(map(len, windows))))
+    assert sum(sum(b.column("length").to_pylist()) for b in out) == sum(len(plain(t)) + 1 for t in texts)

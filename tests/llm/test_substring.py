@@ -60,3 +60,16 @@ def test_odd_rows(spark):
     assert by_id[9]["n_removed"] == 60_000 and by_id[9]["kept"] == "tail"
     assert (by_id[3]["n_words"], by_id[3]["kept"]) == (0, "") and by_id[1]["n_removed"] == by_id[5]["n_removed"] == 0
     assert substring.remove_repeats(empty(spark), "doc_id", "text").count() == 0
+
+
+def test_texts_that_may_go_meet_one_python_step_at_a_time(spark, monkeypatch):
+    """Chained steps run at once: every task would start two workers, and all of them stay and are used in turn."""
+    plans = []
+    cells = substring._repeated_cells
+    monkeypatch.setattr(substring, "_repeated_cells", lambda searched, *rest: (
+        plans.append(searched._jdf.queryExecution().toString()), cells(searched, *rest))[1])
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, text), (2, text), (3, text + " end")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in substring.remove_repeats(df, "doc_id", "text").collect()}
+    assert got == {1: 0, 2: 60, 3: 60}
+    assert len(plans) == 1 and "MapInArrow" not in plans[0]
