@@ -90,12 +90,13 @@ def links(
     masks = block_masks(blocks)
     choices = list(combinations(range(blocks), blocks - distance))
     fp = F.col(column)
+    # Spark takes exploded rows for as few as they came from, and would collect them at the driver to broadcast them.
     keys = fingerprints.select(
         fp.alias("fp"),
         F.posexplode(F.array(*[
             fp.bitwiseAND(F.lit(_signed(sum(masks[i] for i in c)))) for c in choices
         ])).alias("choice", "key"),
-    )
+    ).hint("merge")
     # Written, so that Spark can split the join back where a bucket is hot.
     shared = materialise(keys.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared")
     members = materialise(keys.join(shared, ["choice", "key"]), "buckets")
@@ -110,7 +111,7 @@ def links(
     # The pair counts under its first choice: no block before the last of the choice agrees but those chosen.
     upto = F.array(*[F.lit((2 << c[-1]) - 1) for c in choices])[F.col("a.choice")]
     chosen = F.array(*[F.lit(sum(1 << i for i in c)) for c in choices])[F.col("a.choice")]
-    pairs = a.join(
+    pairs = a.hint("merge").join(
         b,
         (F.col("a.choice") == F.col("b.choice")) & (F.col("a.key") == F.col("b.key"))
         & (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(differ) <= distance)
@@ -125,7 +126,7 @@ def links(
         "fp", F.col("fp").bitwiseXOR(F.col("d")).alias("point")
     )
     least = points.groupBy("point").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a < z")
-    through = points.join(least, "point").filter("fp > a").select("a", F.col("fp").alias("b"))
+    through = points.hint("merge").join(least, "point").filter("fp > a").select("a", F.col("fp").alias("b"))
     return pairs.unionByName(through.distinct())
 
 
@@ -143,12 +144,12 @@ def near_duplicates(
     rows = materialise(df.select(F.col(key).alias("k"), fingerprint(F.col(text), width).alias("fp")), "simhash")
     folded = materialise(rows.groupBy("fp").agg(F.min("k").alias("first")), "fingerprints")
     labels = components(links(folded, "fp", distance, blocks), "a", "b")
-    labelled = folded.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(
+    labelled = folded.hint("merge").join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first", F.coalesce("label", "fp").alias("label")
     )
     least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    classes = labelled.join(least, "label").select("fp", "component_id")
-    return rows.join(classes, "fp").select(
+    classes = labelled.hint("merge").join(least, "label").select("fp", "component_id")
+    return rows.hint("merge").join(classes, "fp").select(
         F.col("k").alias(key), F.col("fp").alias("fingerprint"), "component_id"
     )
 

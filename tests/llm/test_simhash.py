@@ -65,6 +65,18 @@ def test_links_give_the_components_of_all_close_pairs(spark, blocks, bucket):
     assert all(((r["a"] ^ r["b"]) & (2**64 - 1)).bit_count() <= 4 for r in found.collect())
 
 
+def test_exploded_rows_are_never_broadcast(spark, monkeypatch):
+    """Spark sees only the size before the explosion; beyond some size the driver could not hold what it then collects."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    plans, write = [], simhash.materialise
+    monkeypatch.setattr(simhash, "materialise", lambda df, name: (plans.append(plan(df)), write(df, name))[1])
+    df = spark.createDataFrame([(1 << i,) for i in range(60)], "fp bigint")
+    found = simhash.links(write(df, "few"), "fp", 4, 6, 3)
+    plans.append(plan(found))
+    assert sum("Generate explode" in p or "Generate posexplode" in p for p in plans) >= 3
+    assert not any("BroadcastExchange" in p for p in plans)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, x) for x in range(8, 40)] + [(5, 5), (None, 3), (9, 7)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b").collect()}
