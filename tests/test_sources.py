@@ -2,6 +2,7 @@
 
 import base64
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -271,3 +272,33 @@ def test_joint_fits_of_several_classes(spark):
     rows = [(i, f"text of {'red green blue'.split()[i % 3]} kind {i % 7}", "abc"[i % 3]) for i in range(120)]
     df = spark.createDataFrame([*rows, (998, "", "a"), (999, "?", "b")], "row_id long, text string, source string")
     assert dg.source_separability(df).first().accuracy > 0.95
+
+
+def test_terms_of_held_out_models_are_counted_by_part_only_where_likely(spark, monkeypatch):
+    """Words that one source alone repeats push the others down the list of all; the words kept are still those of the definition."""
+    rng = random.Random(8)
+    common = [f"c{i}" for i in range(300)]
+    rows = []
+    for i in range(240):
+        part = "abc"[i % 3]
+        words = [common[int(300 * rng.random() ** 2)] for _ in range(40)] + [f"own{rng.randrange(60)}" for _ in range(60) if part == "a"]
+        rows.append((words, i % 2, part))
+    df = spark.createDataFrame(rows, "terms array<string>, label int, part string")
+    written, write = {}, dg.materialise
+    monkeypatch.setattr(dg, "materialise", lambda df, name: written.setdefault(f"{name}-{len(written)}", write(df, name)))
+    for size in (20, 1000):
+        written.clear()
+        blocks, weights, outside = dg.held_out_terms(df, ["a", "b", "c"], 2, size, "few")
+        want = []
+        for part in "abc":
+            train = [words for words, _, p in rows if p != part]
+            n, d = Counter(w for words in train for w in words), Counter(w for words in train for w in set(words))
+            kept = sorted((w for w in n if d[w] >= 2), key=lambda w: (-n[w], w))[:size]
+            want.append({w: np.log((len(train) + 1) / (d[w] + 1)) + 1 for w in kept})
+        vocabulary = sorted(set().union(*want))
+        assert np.allclose(weights, [[of.get(w, 0) for w in vocabulary] for of in want], rtol=1e-12) and outside.tolist() == [160] * 3
+        counted = [t.count() for name, t in written.items() if name.startswith("few-counts")]
+        assert len(counted) > 1 and max(counted) < 200 if size == 20 else len(counted) == 1
+        block = [r for r in blocks.collect()]
+        assert sum(r.rows for r in block) == 240
+        assert sum(np.frombuffer(r.n, "float32").sum() for r in block) == sum(w in vocabulary for words, _, _ in rows for w in words)
