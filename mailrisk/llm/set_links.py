@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailrisk.llm.bitmap import cell_of, listed, member_bits
+from mailrisk.llm.bitmap import cell_of, listed, maybe_member, member_bits
 from mailrisk.llm.components import components
 from mailrisk.llm.words import hash_words, rolling
 from mailrisk.session import materialise
@@ -85,14 +85,29 @@ def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts[cells])], ["cell", "n"])
 
 
+def _common_cells(batches: Iterator[pa.RecordBatch], width: int, bits) -> Iterator[pa.RecordBatch]:
+    """Counts of ``_cell_counts`` over the sets of the texts whose cell is listed or null."""
+    return _cell_counts(rows.select(["shingles"]) for rows in _set_rows(batches, width, None, bits))
+
+
+def _first_shingles(batches: Iterator[pa.RecordBatch], width: int, commonness, percent: int, bits) -> Iterator[pa.RecordBatch]:
+    """``digest`` and the shingles by which a set must meet every similar one, in order, of the texts whose cell is listed or null."""
+    for rows in _set_rows(batches, width, None, bits):
+        keys = [_prefix(shingles.values.to_numpy(), commonness.value, percent) for shingles in rows.column("shingles")]
+        yield pa.RecordBatch.from_arrays([rows.column("digest"), pa.array(keys, pa.list_(pa.int64()))], ["digest", "keys"])
+
+
+def _prefix(own: np.ndarray, commonness: np.ndarray, percent: int) -> np.ndarray:
+    order = np.lexsort((own, commonness[own & (CELLS - 1)]))
+    return own[order[: len(own) - least_overlap(len(own), percent) + 1]]
+
+
 def _prefixes(batches: Iterator[pa.RecordBatch], commonness, percent: int) -> Iterator[pa.RecordBatch]:
     """The shingles by which a set must meet every similar one, with their places in the order."""
     for batch in batches:
         nodes, tokens = [], []
         for node, shingles in zip(batch.column(0).to_numpy(), batch.column(1)):
-            own = shingles.values.to_numpy()
-            order = np.lexsort((own, commonness.value[own & (CELLS - 1)]))
-            tokens.append(own[order[: len(own) - least_overlap(len(own), percent) + 1]])
+            tokens.append(_prefix(shingles.values.to_numpy(), commonness.value, percent))
             nodes.append(np.full(len(tokens[-1]), node))
         if nodes:
             places = np.concatenate([np.arange(len(t)) for t in tokens])
@@ -109,13 +124,14 @@ def fold_sets(sketched: DataFrame) -> DataFrame:
 
 def link_sets(
     one: DataFrame, texts: DataFrame, width: int, percent: int, pair_bucket: int = PAIR_BUCKET,
-    prints: Prints | None = None, most_bits: int = 0,
+    prints: Prints | None = None, most_bits: int = 0, more: DataFrame | None = None, whole: bool = False,
 ) -> DataFrame:
-    """Links ``a``, ``b`` between nodes that give the components of all similar sets sharing a key.
+    """Links ``a``, ``b`` between nodes that give the components of all similar sets sharing a key, or with ``whole`` of all similar sets.
 
     ``one``: rows of ``fold_sets``; ``texts``: ``k``, ``x`` of the documents behind them. Two sets are similar if ``100 *
     intersection >= percent * union``. With ``prints``, fingerprints of 64-bit words, only proposals that differ in at most ``most_bits``
-    bits of them are decided on the sets.
+    bits of them are decided on the sets. ``more`` has further proposals. With ``whole``, keys and fingerprints only come first: what they
+    miss is then found by the exact rule of crowded buckets, over all sets.
     """
     nodes = one.select("node", "k", "digest", "n", "odd")
 
@@ -147,7 +163,7 @@ def link_sets(
         bits.destroy()
         return sets
 
-    def similar(proposed: DataFrame) -> DataFrame:
+    def similar(proposed: DataFrame, prints: Prints | None) -> DataFrame:
         """The pairs that are similar, decided on their whole sets."""
         facts = [nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}")) for x in "ab"]
         both = proposed.distinct().join(facts[0], "a").join(facts[1], "b").filter(may_be("n_a", "n_b", "odd_a", "odd_b"))
@@ -177,8 +193,39 @@ def link_sets(
             F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")
         ).distinct()
 
-    found = similar(members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+    def order_of(counts: DataFrame):
+        """Broadcast counts of all cells."""
+        commonness = np.zeros(CELLS, dtype=np.int64)
+        for row in counts.groupBy("cell").agg(F.sum("n").alias("n")).repartition(8).toLocalIterator(prefetchPartitions=True):
+            commonness[row["cell"]] = row["n"]
+        return one.sparkSession.sparkContext.broadcast(commonness)
+
+    left = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
+    proposed = members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    found = similar(proposed if more is None else proposed.unionByName(more), prints)
     labels = components(found, "a", "b")
+
+    if whole:
+        # Straight from the texts: the sets of all of them together are larger than the texts.
+        every = nodes.filter("n > 0").select("node", "k", "digest").join(labels, "node", "left").select(
+            "node", "k", "digest", F.coalesce("label", "node").alias("label"))
+        every = materialise(every, "every")
+        bits = member_bits(every, "k")
+        cells = texts.select(cell_of(F.col("k")), "x")
+        held = order_of(cells.mapInArrow(lambda it: _common_cells(it, width, bits), "cell bigint, n bigint"))
+        firsts = cells.mapInArrow(lambda it: _first_shingles(it, width, held, percent, bits), "digest binary, keys array<bigint>")
+        firsts = firsts.join(every.select("node", "digest", "label"), "digest").dropDuplicates(["node"])
+        firsts = materialise(firsts.select("node", "label", "keys"), "firsts")
+        held.destroy()
+        bits.destroy()
+        flat = firsts.select("node", "label", F.posexplode("keys").alias("place", "key"))
+        ends = flat.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).filter("l < m").select("key")
+        ends = materialise(ends, "ends")
+        # Most shingles stand in one component only; merged, as Spark sees only the size before the explosion.
+        flat = flat.filter(maybe_member(ends, "key")(F.col("key"))).hint("merge")
+        prefixes = materialise(flat.join(ends, "key").select("node", "key", "place", "label"), "prefixes")
+        return found.unionByName(similar(apart(prefixes, left >= enough("a.n", "b.n")), None))
+
     labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ends = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).filter("l < m").select("key")
     mixed = materialise(labelled.join(ends, "key", "left_semi"), "several")
@@ -187,19 +234,14 @@ def link_sets(
     crowd = materialise(mixed.filter(F.col("members") > pair_bucket).select("node", "label").distinct(), "crowd")
     if not crowd.isEmpty():
         sets = sets_of(crowd.select("node"))
-        counts = sets.select("shingles").mapInArrow(_cell_counts, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
-        commonness = np.zeros(CELLS, dtype=np.int64)
-        for row in counts.repartition(8).toLocalIterator(prefetchPartitions=True):
-            commonness[row["cell"]] = row["n"]
-        held = sets.sparkSession.sparkContext.broadcast(commonness)
+        held = order_of(sets.select("shingles").mapInArrow(_cell_counts, "cell bigint, n bigint"))
         prefixes = sets.select("node", "shingles").mapInArrow(
             lambda it: _prefixes(it, held, percent), "node bigint, key bigint, place bigint"
         )
         prefixes = materialise(prefixes.join(crowd, "node"), "prefixes")
         held.destroy()
-        left = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
         rest = rest.unionByName(apart(prefixes, left >= enough("a.n", "b.n")))
-    return found.unionByName(similar(rest))
+    return found.unionByName(similar(rest, prints))
 
 
 def least_keys(sketched: DataFrame, one: DataFrame, links: DataFrame) -> DataFrame:

@@ -155,7 +155,7 @@ def near_duplicates(
 
 
 # Similar texts: 4 bits of 64 only hold pairs together that are nearly equal (a pair of five-word Jaccard similarity
-# 0.8 differs in some ten), so candidates come from banded signatures, are sifted by wide fingerprints, and decided on the shingles.
+# 0.8 differs in some ten), so banded signatures, sifted by wide fingerprints, propose more, and an exact rule over all shingles the rest.
 WIDE = 512
 SIFT = 4.0  # standard deviations of the differing bits that a candidate may have
 
@@ -186,18 +186,28 @@ def similar_documents(
     """``key``, ``component_id`` for every distinct key: documents joined by a chain of similar ones.
 
     Two documents are similar if the Jaccard similarity of their sets of ``width``-word shingles is at least ``percent``
-    of 100. Candidates share a band of their signatures: at 0.8 all but three pairs in a million do, whatever the kind of
-    edit. They are sifted by ``WIDE``-bit fingerprints, with ``SIFT`` standard deviations to spare, and decided on the sets
-    (``set_links``), however many documents share a bucket.
+    of 100. First come the texts that the fingerprints of ``near_duplicates`` link and those that share a band of their
+    signatures, sifted by ``WIDE``-bit fingerprints; what these miss is found by the exact rule of ``set_links`` over all
+    documents. All pairs are decided on the sets, so that no pair is lost and none is below.
 
     Words are lower-cased (A-Z), texts of equal words are one document, and texts without words are equal. Rows with one
     key count as one document; a null key takes no part. The key keeps its type, and ``component_id`` is the least key. An
     empty table gives an empty result; other columns are not read.
     """
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("x")).filter("k IS NOT NULL")
-    sketched = sketch(rows, width)
+    sketched = sketch(rows, width, simhash)
     one = materialise(fold_sets(sketched), "sets")
-    found = link_sets(one, rows, width, percent, pair_bucket, wide_print, most_bits(percent / 100, SIFT))
+    # Texts that ``links`` joins are proposed through the least set of each fingerprint.
+    prints = materialise(
+        sketched.select("digest", F.col("of_text").alias("fp")).distinct().hint("merge").join(one.select("digest", "node"), "digest").select("fp", "node"),
+        "prints",
+    )
+    folded = materialise(prints.groupBy("fp").agg(F.min("node").alias("a")), "fingerprints")
+    close = links(folded.select("fp"), "fp").withColumnsRenamed({"a": "fp", "b": "other"})
+    close = close.hint("merge").join(folded, "fp").join(folded.select(F.col("fp").alias("other"), F.col("a").alias("b")), "other")
+    equal = prints.hint("merge").join(folded, "fp").filter("node > a").select("a", F.col("node").alias("b"))
+    proposed = equal.unionByName(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b"))
+    found = link_sets(one, rows, width, percent, pair_bucket, wide_print, most_bits(percent / 100, SIFT), proposed, whole=True)
     # Rows of one key with several texts: all their sets belong together.
     several = sketched.groupBy("k").agg(F.min("digest").alias("l"), F.max("digest").alias("m")).filter("l < m").select("k")
     own = sketched.join(several, "k", "left_semi").select("k", "digest").distinct().join(one.select("digest", "node"), "digest")

@@ -11,7 +11,7 @@ The steps run over many texts at once; permutations are drawn lazily and only fo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -86,25 +86,27 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def _sketch_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _sketch_rows(batches: Iterator[pa.RecordBatch], width: int, of_text: Callable | None) -> Iterator[pa.RecordBatch]:
     free_kept()
     for batch in batches:
         sets = [shingle_set(text.as_py(), width) for text in batch.column(2)]
+        more = [pa.array([of_text(text.as_py()) for text in batch.column(2)], pa.int64())] if of_text else []
         keys = band_keys(signatures(sets)) if sets else np.empty((0, BANDS), dtype=np.int64)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(map(set_digest, sets), pa.binary()),
              pa.array([len(s) for s in sets], pa.int64()), pa.array(map(odd_sketch, sets), pa.list_(pa.int64())),
-             pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))],
-            ["row", "k", "digest", "n", "odd", "keys"],
+             pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1))), *more],
+            ["row", "k", "digest", "n", "odd", "keys", *["of_text"] * len(more)],
         )
 
 
-def sketch(rows: DataFrame, width: int) -> DataFrame:
-    """``row``, ``k``, ``digest``, ``n``, ``odd``, ``keys`` of every row (``k``, ``x``), written."""
+def sketch(rows: DataFrame, width: int, of_text: Callable[[str | None], int] | None = None) -> DataFrame:
+    """``row``, ``k``, ``digest``, ``n``, ``odd``, ``keys`` of every row (``k``, ``x``), written; with ``of_text`` a number of the text too."""
     kind = rows.schema["k"].dataType.simpleString()
     return materialise(
         rows.select(F.monotonically_increasing_id().alias("row"), "k", "x").mapInArrow(
-            lambda it: _sketch_rows(it, width), f"row bigint, k {kind}, digest binary, n bigint, odd array<bigint>, keys array<bigint>"
+            lambda it: _sketch_rows(it, width, of_text),
+            f"row bigint, k {kind}, digest binary, n bigint, odd array<bigint>, keys array<bigint>" + ", of_text bigint" * bool(of_text),
         ),
         "sketches",
     )

@@ -148,6 +148,23 @@ def test_similar_documents_equals_true_jaccard(spark):
     assert got == want and 100 < sum(i != j for i, j in want.items()) < 140
 
 
+def test_similar_documents_that_keys_and_fingerprints_miss_are_found(spark, monkeypatch):
+    draw = random.Random(13)
+    new = lambda n: [f"w{draw.randrange(10**6)}" for _ in range(n)]
+    shared, rows = new(60), []
+    for n in (0, 5, 12, 38, 46, 3, 20, 50):
+        base = shared + new(240)
+        rows += [base, base[:100] + new(n) + base[100 + n:], shared]
+    texts = [" ".join(r) for r in rows]
+    sets = five_word_sets(rows)
+    monkeypatch.setattr(simhash, "most_bits", lambda *_: -1)  # the fingerprints rule out every pair
+    monkeypatch.setattr(simhash, "links", lambda prints, column: prints.selectExpr("fp AS a", "fp AS b").limit(0))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df, "doc_id", "text").collect()}
+    assert got == brute_components(range(len(texts)), lambda a, b: jaccard(sets[a], sets[b]) >= 0.8)
+    assert sum(i != j for i, j in got.items()) > 10
+
+
 def test_crowds_whose_original_is_not_the_least(spark):
     draw = random.Random(12)
     new = lambda n: [f"w{draw.randrange(10**6)}" for _ in range(n)]
